@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,9 @@ def percent(part: Column, whole: Column) -> Column:
 
 def percent_change(before: Column, after: Column) -> Column:
     return (ratio(after, before) - 1) * 100
+
+
+def across(aggregate: Column) -> Column:
+    """An aggregate over all rows of a report that has one row per segment, season or pair of
+    them; such a frame is a few rows, so one task may hold it."""
+    return aggregate.over(Window.partitionBy())

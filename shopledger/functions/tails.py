@@ -7,9 +7,15 @@ Arrow-batched functions.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Executors need not have this package: the functions travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -63,7 +69,7 @@ def f_tail(x: float, df1: float, df2: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - z) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(v) or k < 1 else chi2_tail(v, int(k)) for v, k in zip(x, df)],
@@ -71,7 +77,7 @@ def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p_value(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(
         [

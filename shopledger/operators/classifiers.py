@@ -44,8 +44,6 @@ FOREST_GRID = {
 MAX_BINS = 128
 DEEPEST = 30  # the deepest tree Spark ML grows; stands in for unbounded depth
 
-ACCURACY = MulticlassClassificationEvaluator(metricName="accuracy")
-
 
 def vip_frames(cust: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scaled train and test frames with ``label`` 1 for VIP; the scale is fitted on train."""
@@ -102,7 +100,7 @@ def cross_validate(
     search = CrossValidator(
         estimator=pipeline(estimator, features),
         estimatorParamMaps=list(grid),
-        evaluator=ACCURACY,
+        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
         numFolds=k,
         foldCol="fold",
         parallelism=parallelism,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import calendar
-from shopledger.functions.ratios import percent, percent_change, ratio
+from shopledger.functions.ratios import across, percent, percent_change, ratio
 from shopledger.operators.products import with_price_segment
 
 
@@ -223,7 +223,7 @@ def cohort_matrix_literal(activity: DataFrame) -> DataFrame:
     ``activity`` holds one row per pair of months, so the oldest cohort is found by a window
     over few rows.
     """
-    oldest = F.min("first_month").over(Window.partitionBy())
+    oldest = across(F.min("first_month"))
     row = Window.partitionBy("invoice_month")
     base = F.max(F.when(F.col("first_month") == F.col("oldest"), F.col("customers"))).over(row)
     return (

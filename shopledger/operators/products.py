@@ -12,15 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import calendar, segments
-from shopledger.functions.ratios import percent, ratio
+from shopledger.functions.ratios import across, percent, ratio
 from shopledger.plans.distribution import Distribution, as_scalar, one_row_quantiles
 from shopledger.plans.pinning import pin
 from shopledger.plans.placement import place, running_sums
 
-# A frame of one row per segment, season or pair of them: a few rows in one task.
-WHOLE = Window.partitionBy()
-
-
 def product_stats(tx: DataFrame) -> DataFrame:
     """First description, mean price, quantity and revenue per product.
 
@@ -111,7 +107,7 @@ def segment_season_pivot(stats: DataFrame, fill: float | None = 0) -> DataFrame:
 def price_segment_share(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Revenue and share of revenue per price segment."""
     rows = by_price_segment(tx, lookup, revenue=F.col("total_value"))
-    return rows.withColumn("share", percent(F.col("revenue"), F.sum("revenue").over(WHOLE)))
+    return rows.withColumn("share", percent(F.col("revenue"), across(F.sum("revenue"))))
 
 
 def season_revenue(tx: DataFrame) -> DataFrame:
@@ -162,7 +158,7 @@ def price_stats_by_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
         line_counts(tx, lookup, "price"), ["price"], ["price_segment"], "num_lines"
     ).describe()
     products = lookup.groupBy("price_segment").agg(F.count(F.lit(1)).alias("num_products"))
-    share = percent(F.col("num_products"), F.sum("num_products").over(WHOLE))
+    share = percent(F.col("num_products"), across(F.sum("num_products")))
     return (
         lines.join(products, "price_segment")
         .withColumn("product_share", share)
@@ -186,8 +182,8 @@ def segment_sales_performance(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     )
     return rows.withColumns(
         {
-            "quantity_share": percent(F.col("quantity"), F.sum("quantity").over(WHOLE)),
-            "revenue_share": percent(F.col("revenue"), F.sum("revenue").over(WHOLE)),
+            "quantity_share": percent(F.col("quantity"), across(F.sum("quantity"))),
+            "revenue_share": percent(F.col("revenue"), across(F.sum("revenue"))),
             "avg_line_value": ratio(F.col("revenue"), F.col("num_lines")),
         }
     )
@@ -210,7 +206,7 @@ def segment_performance_normalized(tx: DataFrame, lookup: DataFrame) -> DataFram
     )
     return rows.withColumns(
         {
-            f"{c}_norm": ratio(F.col(c), F.max(c).over(WHOLE))
+            f"{c}_norm": ratio(F.col(c), across(F.max(c)))
             for c in ("revenue", "quantity", "customers")
         }
     )

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopledger.functions.ratios import percent
+from shopledger.functions.ratios import across, percent
 from shopledger.plans.distribution import Distribution, as_scalar
 
-WHOLE = Window.partitionBy()  # only over frames of one row per segment
-
-
 def kpis(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Revenue, mean order value, customers, orders and percent VIP, in one row."""
     orders = tx.groupBy("invoice").agg(F.sum("total_value").alias("order_value"))
@@ -37,7 +34,7 @@ def kpis(tx: DataFrame, lookup: DataFrame) -> DataFrame:
 def segment_distribution(cust: DataFrame) -> DataFrame:
     """Customers per segment and their share, largest first."""
     rows = cust.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("customers"))
-    share = percent(F.col("customers"), F.sum("customers").over(WHOLE))
+    share = percent(F.col("customers"), across(F.sum("customers")))
     return rows.withColumn("share", share).orderBy(F.desc("customers"), "customer_segment")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopledger.functions import calendar
+from shopledger.functions.ratios import across
 from shopledger.functions.tails import chi2_p_value, f_p_value
 from shopledger.operators.products import by_price_segment, line_counts
 from shopledger.operators.reports import lines_with_segment
@@ -159,10 +160,7 @@ def segment_anova(cust: DataFrame) -> DataFrame:
         F.avg(value).alias("mean"),
         F.var_pop(value).alias("var"),
     )
-    # At most one row per segment.
-    grand = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy()) / F.sum("n").over(
-        Window.partitionBy()
-    )
+    grand = across(F.sum(F.col("n") * F.col("mean"))) / across(F.sum("n"))
     groups = groups.withColumn("between", F.col("n") * F.pow(F.col("mean") - grand, F.lit(2.0)))
     return (
         groups.agg(
