@@ -7,6 +7,7 @@ the last purchase: high scores here are no evidence of predictive power.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -41,7 +42,6 @@ FOREST_GRID = {
     "minInstancesPerNode": (1, 2, 4),
 }
 
-MAX_BINS = 128
 DEEPEST = 30  # the deepest tree Spark ML grows; stands in for unbounded depth
 
 
@@ -81,9 +81,9 @@ def vip_estimators(train_rows: int) -> dict[str, Estimator]:
         "logistic_regression": LogisticRegression(
             regParam=1.0 / train_rows, elasticNetParam=0.0, standardization=False
         ),
-        "decision_tree": DecisionTreeClassifier(maxDepth=DEEPEST, maxBins=MAX_BINS, seed=SEED),
+        "decision_tree": DecisionTreeClassifier(maxDepth=DEEPEST, seed=SEED),
         "random_forest": RandomForestClassifier(
-            numTrees=100, maxDepth=DEEPEST, maxBins=MAX_BINS, seed=SEED
+            numTrees=100, maxDepth=DEEPEST, seed=SEED
         ),
     }
 
@@ -94,7 +94,7 @@ def cross_validate(
     features: Sequence[str],
     k: int,
     grid: Sequence[dict] = ({},),
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> CrossValidatorModel:
     """k-fold accuracy of every grid point, and the best one fitted on all of ``train``."""
     search = CrossValidator(
@@ -108,30 +108,33 @@ def cross_validate(
     return search.fit(with_folds(train, k))
 
 
-def fit_vip_classifiers(train: DataFrame, k: int = 5) -> dict[str, CrossValidatorModel]:
-    """The three models, cross-validated and fitted."""
+def fit_vip_classifiers(train: DataFrame) -> dict[str, PipelineModel]:
     models = vip_estimators(train.count())
-    return {name: cross_validate(m, train, VIP_FEATURES, k) for name, m in models.items()}
+    return {name: pipeline(m, VIP_FEATURES).fit(train) for name, m in models.items()}
 
 
-def cross_validation_scores(models: dict[str, CrossValidatorModel], train: DataFrame) -> DataFrame:
-    """Mean and standard deviation of the fold accuracies per model."""
-    rows = [(n, float(m.avgMetrics[0]), float(m.stdMetrics[0])) for n, m in models.items()]
-    return train.sparkSession.createDataFrame(
-        rows, "model string, cv_mean double, cv_std double"
-    )
+def vip_cross_validation(train: DataFrame, k: int = 5) -> DataFrame:
+    """Mean and standard deviation of the fold accuracies of each model."""
+    rows = []
+    for name, estimator in vip_estimators(train.count()).items():
+        search = cross_validate(estimator, train, VIP_FEATURES, k)
+        rows.append((name, float(search.avgMetrics[0]), float(search.stdMetrics[0])))
+    return train.sparkSession.createDataFrame(rows, "model string, cv_mean double, cv_std double")
+
+
+def _per_model(frames: dict[str, DataFrame]) -> DataFrame:
+    named = [df.withColumn("model", F.lit(name)) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, named)
 
 
-def vip_reports(models: dict[str, CrossValidatorModel], test: DataFrame) -> DataFrame:
+def vip_reports(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
     """Classification report of each model on the test rows."""
-    reports = [
-        classification_report(m.bestModel.transform(test)).withColumn("model", F.lit(n))
-        for n, m in models.items()
-    ]
-    combined = reports[0]
-    for report in reports[1:]:
-        combined = combined.unionByName(report)
-    return combined
+    return _per_model({n: classification_report(m.transform(test)) for n, m in models.items()})
+
+
+def vip_importances(models: dict[str, PipelineModel], like: DataFrame) -> DataFrame:
+    """Importances (trees) and coefficients (regression) of each model."""
+    return _per_model({n: feature_importance(m, VIP_FEATURES, like) for n, m in models.items()})
 
 
 def feature_importance(
@@ -147,12 +150,12 @@ def feature_importance(
 
 
 def retention_tree(train: DataFrame) -> PipelineModel:
-    tree = DecisionTreeClassifier(maxDepth=3, maxBins=MAX_BINS, seed=SEED)
+    tree = DecisionTreeClassifier(maxDepth=3, seed=SEED)
     return pipeline(tree, RETENTION_FEATURES).fit(train)
 
 
 def retention_forest(train: DataFrame) -> PipelineModel:
-    forest = RandomForestClassifier(numTrees=100, maxDepth=10, maxBins=MAX_BINS, seed=SEED)
+    forest = RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED)
     return pipeline(forest, RETENTION_FEATURES).fit(train)
 
 
@@ -166,10 +169,10 @@ def tree_rules(model: PipelineModel, features: Sequence[str], like: DataFrame) -
 
 
 def grid_search(
-    train: DataFrame, grid: dict[str, Sequence] = FOREST_GRID, k: int = 3, parallelism: int = 4
+    train: DataFrame, grid: dict[str, Sequence] = FOREST_GRID, k: int = 3, parallelism: int = 8
 ) -> tuple[DataFrame, CrossValidatorModel]:
     """k-fold accuracy of every forest of ``grid``, best first, and the fitted search."""
-    forest = RandomForestClassifier(maxBins=MAX_BINS, seed=SEED)
+    forest = RandomForestClassifier(seed=SEED)
     points = ParamGridBuilder()
     for name, values in grid.items():
         points = points.addGrid(forest.getParam(name), list(values))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions import segments
-from shopledger.plans.distribution import as_scalar, one_row_quantiles
+from shopledger.plans.distribution import one_row_quantiles, with_row
 from shopledger.plans.pinning import pin
 from shopledger.plans.placement import place, running_sums
 
@@ -72,19 +72,18 @@ def rfm_scores(cust: DataFrame, recency: str = "tenure_days") -> DataFrame:
     """
     if recency == "days_since_last" and recency not in cust.columns:
         cust = with_days_since_last(cust)
-    limits = as_scalar(one_row_quantiles(cust, [recency, "frequency", "total_spend"]))
+    limits = one_row_quantiles(cust, [recency, "frequency", "total_spend"])
 
     def cuts(name: str) -> list[Column]:
-        return [limits[f"{name}_{q}"] for q in ("q1", "median", "q3")]
+        return [F.col("_limits")[f"{name}_{q}"] for q in ("q1", "median", "q3")]
 
     spend = F.col("total_spend").cast("double")
-    return cust.withColumns(
-        {
-            "r_score": segments.score_low(F.col(recency), *cuts(recency)),
-            "f_score": segments.score_high(F.col("frequency"), *cuts("frequency")),
-            "m_score": segments.score_high(spend, *cuts("total_spend")),
-        }
-    )
+    scores = {
+        "r_score": segments.score_low(F.col(recency), *cuts(recency)),
+        "f_score": segments.score_high(F.col("frequency"), *cuts("frequency")),
+        "m_score": segments.score_high(spend, *cuts("total_spend")),
+    }
+    return with_row(cust, limits, "_limits").withColumns(scores).drop("_limits")
 
 
 def customer_segments(scored: DataFrame) -> DataFrame:

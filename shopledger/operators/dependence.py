@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -72,7 +73,4 @@ def partial_dependences(
     points: int = 100,
 ) -> DataFrame:
     curves = [partial_dependence(model, df, c, points=points) for c in columns]
-    combined = curves[0]
-    for curve in curves[1:]:
-        combined = combined.unionByName(curve)
-    return combined
+    return reduce(DataFrame.unionByName, curves)

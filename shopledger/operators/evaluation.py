@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopledger.plans.distribution import as_scalar
+from shopledger.plans.distribution import with_row
 
 SEED = 42
 
@@ -48,14 +48,13 @@ def scaling(train: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def standard_scale(df: DataFrame, fitted: DataFrame, features: Sequence[str]) -> DataFrame:
     """z-scores by the statistics of :func:`scaling`; a constant feature is only centred."""
-    row = as_scalar(fitted)
-    return df.withColumns(
-        {
-            c: (F.col(c).cast("double") - row[f"{c}_mean"])
-            / F.when(row[f"{c}_std"] == 0, 1.0).otherwise(row[f"{c}_std"])
-            for c in features
-        }
-    )
+    row = F.col("_fit")
+    scaled = {
+        c: (F.col(c).cast("double") - row[f"{c}_mean"])
+        / F.when(row[f"{c}_std"] == 0, 1.0).otherwise(row[f"{c}_std"])
+        for c in features
+    }
+    return with_row(df, fitted, "_fit").withColumns(scaled).drop("_fit")
 
 
 def confusion_counts(predictions: DataFrame) -> DataFrame:

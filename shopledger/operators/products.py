@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shopledger.functions import calendar, segments
 from shopledger.functions.ratios import across, percent, ratio
-from shopledger.plans.distribution import Distribution, as_scalar, one_row_quantiles
+from shopledger.plans.distribution import Distribution, one_row_quantiles, with_row
 from shopledger.plans.pinning import pin
 from shopledger.plans.placement import place, running_sums
 
@@ -56,9 +56,10 @@ def price_thresholds(prices: DataFrame) -> DataFrame:
 
 def price_segments(prices: DataFrame) -> DataFrame:
     """Budget, Regular, Premium or Luxury by the quartile of the mean price."""
-    cut = as_scalar(price_thresholds(prices))
+    cut = F.col("_cut")
     name = segments.price_segment(F.col("mean_price"), cut["q1"], cut["median"], cut["q3"])
-    return prices.withColumn("price_segment", name)
+    with_cut = with_row(prices, price_thresholds(prices), "_cut")
+    return with_cut.withColumn("price_segment", name).drop("_cut")
 
 
 def price_segment_lookup(tx: DataFrame) -> DataFrame:
@@ -128,11 +129,12 @@ def top_products(tx: DataFrame, k: int = 10) -> DataFrame:
 
 def price_ranges(tx: DataFrame, prices: DataFrame) -> DataFrame:
     """Price range of each segment; the last one ends at the highest line price."""
-    cut = as_scalar(price_thresholds(prices))
-    edges = tx.agg(F.max("price").cast("double").alias("top")).select(
-        F.array(F.lit(0.0), cut["q1"], cut["median"], cut["q3"], F.col("top")).alias("edges")
-    )
-    return edges.select("edges", F.posexplode(F.lit(list(segments.PRICE_SEGMENTS)))).select(
+    top = tx.agg(F.max("price").cast("double").alias("top"))
+    cut = F.col("_cut")
+    edges = F.array(F.lit(0.0), cut["q1"], cut["median"], cut["q3"], F.col("top"))
+    names = F.posexplode(F.lit(list(segments.PRICE_SEGMENTS)))
+    rows = with_row(top, price_thresholds(prices), "_cut").select(edges.alias("edges"), names)
+    return rows.select(
         F.col("col").alias("price_segment"),
         F.col("edges")[F.col("pos")].alias("low"),
         F.col("edges")[F.col("pos") + 1].alias("high"),

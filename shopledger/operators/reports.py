@@ -8,27 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions.ratios import across, percent
-from shopledger.plans.distribution import Distribution, as_scalar
+from shopledger.plans.distribution import Distribution, with_row
 
 def kpis(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Revenue, mean order value, customers, orders and percent VIP, in one row."""
     orders = tx.groupBy("invoice").agg(F.sum("total_value").alias("order_value"))
-    people = as_scalar(
-        lookup.agg(
-            F.count(F.lit(1)).alias("customers"),
-            F.count_if(F.col("customer_segment") == "VIP").alias("vips"),
-        )
+    people = lookup.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(F.col("customer_segment") == "VIP").alias("vips"),
     )
-    return orders.agg(
+    totals = orders.agg(
         F.sum("order_value").alias("total_revenue"),
         (F.sum("order_value").cast("double") / F.count(F.lit(1))).alias("avg_order_value"),
         F.count(F.lit(1)).alias("total_orders"),
-    ).withColumns(
-        {
-            "total_customers": people["customers"],
-            "vip_percentage": percent(people["vips"], people["customers"]),
-        }
     )
+    customers, vips = F.col("_people")["customers"], F.col("_people")["vips"]
+    shares = {"total_customers": customers, "vip_percentage": percent(vips, customers)}
+    return with_row(totals, people, "_people").withColumns(shares).drop("_people")
 
 
 def segment_distribution(cust: DataFrame) -> DataFrame:
@@ -45,21 +41,22 @@ def histogram(df: DataFrame, column: str, bins: int = 50, by: Sequence[str] = ()
     are listed with 0; with ``by`` the bin edges are shared and only filled bins are listed.
     """
     value = F.col(column).cast("double")
-    limits = as_scalar(df.agg(F.min(value).alias("low"), F.max(value).alias("high")))
-    width = (limits["high"] - limits["low"]) / bins
-    place = F.floor(F.try_divide(value - limits["low"], width))
+    limits = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    low = F.col("_limits")["low"]
+    width = (F.col("_limits")["high"] - low) / bins
     # The highest value closes the last bin; equal values all lie in bin 0.
-    place = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))
+    place = F.coalesce(F.floor(F.try_divide(value - low, width)), F.lit(0))
     counts = (
-        df.where(value.isNotNull())
-        .groupBy(*by, place.cast("int").alias("bin"))
+        with_row(df.where(value.isNotNull()), limits, "_limits")
+        .groupBy(*by, F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("customers"))
     )
     if not by:
         every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
         counts = every.join(counts, "bin", "left").fillna(0, ["customers"])
-    edge = limits["low"] + F.col("bin") * width
-    return counts.withColumns({"low": edge, "high": edge + width})
+    edge = low + F.col("bin") * width
+    edges = {"low": edge, "high": edge + width}
+    return with_row(counts, limits, "_limits").withColumns(edges).drop("_limits")
 
 
 def spend_histogram(cust: DataFrame, bins: int = 50) -> DataFrame:

@@ -148,20 +148,9 @@ def _vip_models(given: Given) -> DataFrame:
     return ml.vip_reports(ml.fit_vip_classifiers(train), test)
 
 
-def _cross_validation(given: Given) -> DataFrame:
+def _vip_importances(given: Given) -> DataFrame:
     train, _ = given.vip_frames
-    return ml.cross_validation_scores(ml.fit_vip_classifiers(train), train)
-
-
-def _vip_importance(given: Given) -> DataFrame:
-    train, _ = given.vip_frames
-    estimators = ml.vip_estimators(train.count())
-    rows = None
-    for name, estimator in estimators.items():
-        model = ml.pipeline(estimator, ml.VIP_FEATURES).fit(train)
-        part = ml.feature_importance(model, ml.VIP_FEATURES, train).withColumn("model", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return ml.vip_importances(ml.fit_vip_classifiers(train), train)
 
 
 def _retention(given: Given, fit: Callable) -> DataFrame:
@@ -547,8 +536,10 @@ QUERIES: dict[str, Query] = {
         REPORT, lambda g: evaluation.classification_report(g.rule_predictions)
     ),
     "vip_classifiers": Query("model:s, " + REPORT, _vip_models),
-    "cross_validate": Query("model:s, cv_mean:6, cv_std:6", _cross_validation),
-    "feature_importance": Query("model:s, feature:s, importance:6", _vip_importance),
+    "cross_validate": Query(
+        "model:s, cv_mean:6, cv_std:6", lambda g: ml.vip_cross_validation(g.vip_frames[0])
+    ),
+    "feature_importance": Query("model:s, feature:s, importance:6", _vip_importances),
     "retention_tree": Query(REPORT, lambda g: _retention(g, ml.retention_tree)),
     "retention_tree_rules": Query("line:i, rule:s", _tree_rules),
     "retention_forest": Query(REPORT, lambda g: _retention(g, ml.retention_forest)),

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from shopledger.plans.placement import place, running_sums
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-EXACT = "decimal(28,8)"
 
 
 class Distribution:
@@ -40,7 +39,7 @@ class Distribution:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """(by, measure, value, n, weighted), range-placed and pinned."""
+        """(by, measure, value, n), range-placed and pinned."""
         weight = F.col(self._weight) if self._weight else F.lit(1).cast("bigint")
         pairs = F.array(
             *[
@@ -55,14 +54,18 @@ class Distribution:
             long.where(F.col("value").isNotNull())
             .groupBy(*self.keys, "value")
             .agg(F.sum("w").alias("n"))
-            # Decimal totals do not depend on the order of addition.
-            .withColumn("weighted", F.col("value").cast(EXACT) * F.col("n"))
         )
         return place(counted, [*self.keys, "value"])
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return running_sums(self.counts, self.keys, ["value"], ["n"], ["weighted"])
+        """Counts with the running and the total number of rows, and the total value.
+
+        The total is a decimal sum, which does not depend on the order of addition.
+        """
+        weighted = F.expr("cast(value AS decimal(24,8)) * cast(n AS decimal(12,0))")
+        rows = self.counts.withColumn("weighted", weighted)
+        return running_sums(rows, self.keys, ["value"], ["n"], ["weighted"])
 
     def quantiles(
         self, probabilities: dict[str, float] | None = None, alpha: float = 1.0
@@ -78,13 +81,12 @@ class Distribution:
 
     def describe(self) -> DataFrame:
         """count, total, mean, std (n-1), min, q1, median, q3, max."""
-        mean = F.col("weighted_all").cast("double") / F.col("n_all")
-        squares = F.sum(F.col("n") * F.pow(F.col("value") - mean, F.lit(2.0)))
+        mean = "double(weighted_all) / n_all"
         return self.ranked.groupBy(*self.keys).agg(
-            F.max("n_all").alias("count"),
-            F.max("weighted_all").cast("double").alias("total"),
-            F.max(mean).alias("mean"),
-            F.sqrt(F.try_divide(squares, F.max("n_all") - F.lit(1))).alias("std"),
+            F.expr("max(n_all) AS count"),
+            F.expr("double(max(weighted_all)) AS total"),
+            F.expr(f"max({mean}) AS mean"),
+            F.expr(f"sqrt(try_divide(sum(n * pow(value - {mean}, 2)), max(n_all) - 1)) AS std"),
             F.min("value").alias("min"),
             *_quantiles(QUARTILES),
             F.max("value").alias("max"),
@@ -92,18 +94,20 @@ class Distribution:
 
     def box(self) -> DataFrame:
         """Quartiles, whiskers at the extreme values inside 1.5 IQR, and outlier count."""
-        reach = 1.5 * (F.col("q3") - F.col("q1"))
         fences = self.quantiles().withColumns(
-            {"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach}
+            {
+                "low_fence": F.expr("q1 - 1.5 * (q3 - q1)"),
+                "high_fence": F.expr("q3 + 1.5 * (q3 - q1)"),
+            }
         )
-        inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
+        inside = "value BETWEEN low_fence AND high_fence"
         return (
             self.counts.join(fences, self.keys)
             .groupBy(*self.keys, "q1", "median", "q3")
             .agg(
-                F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
-                F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
-                F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
+                F.expr(f"min(value) FILTER (WHERE {inside}) AS low_whisker"),
+                F.expr(f"max(value) FILTER (WHERE {inside}) AS high_whisker"),
+                F.expr(f"sum(if({inside}, 0, n)) AS outliers"),
             )
         )
 
@@ -113,21 +117,17 @@ def _quantiles(probabilities: dict[str, float], alpha: float = 1.0) -> list[Colu
 
 
 def _quantile(p: float, alpha: float) -> Column:
-    last = F.col("n_all") - 1
-    if alpha == 1.0:
-        position = last * F.lit(p)
-    else:
-        position = F.col("n_all") * F.lit(p) + F.lit(alpha + p * (1 - 2 * alpha) - 1)
-        position = F.least(F.greatest(position, F.lit(0.0)), last.cast("double"))
-    low, high = _value_at(F.floor(position)), _value_at(F.ceil(position))
-    part = F.max(position - F.floor(position))
-    return low + (high - low) * part
-
-
-def _value_at(rank: Column) -> Column:
+    position = f"((n_all - 1) * {p}D)"
+    if alpha != 1.0:
+        shift = alpha + p * (1 - 2 * alpha) - 1
+        position = f"least(greatest(n_all * {p}D + {shift}D, 0D), double(n_all - 1))"
+    low, high = _value_at(f"floor({position})"), _value_at(f"ceil({position})")
+    return F.expr(f"{low} + ({high} - {low}) * max({position} - floor({position}))")
+
+
+def _value_at(rank: str) -> str:
     """Value at a 0-based rank: the row whose run of equal values covers it."""
-    covers = (F.col("n_upto") - F.col("n") <= rank) & (rank < F.col("n_upto"))
-    return F.max(F.when(covers, F.col("value")))
+    return f"max(value) FILTER (WHERE n_upto - n <= {rank} AND {rank} < n_upto)"
 
 
 def one_row_quantiles(
@@ -141,13 +141,13 @@ def one_row_quantiles(
     long = Distribution(df, measures).quantiles(probabilities, alpha)
     return long.agg(
         *[
-            F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{m}_{q}")
+            F.expr(f"max({q}) FILTER (WHERE measure = '{m}') AS {m}_{q}")
             for m in measures
             for q in probabilities
         ]
     )
 
 
-def as_scalar(one_row: DataFrame) -> Column:
-    """The only row of ``one_row`` as a struct column, by scalar subquery."""
-    return one_row.select(F.struct(*one_row.columns)).scalar()
+def with_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Add the only row of ``one_row`` as a struct column, by one scalar subquery."""
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())
