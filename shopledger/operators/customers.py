@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions import segments
-from shopledger.plans.distribution import one_row_quantiles, with_row
+from shopledger.plans.distribution import one_row_quantiles
 from shopledger.plans.pinning import pin
 from shopledger.plans.placement import place, running_sums
+from shopledger.plans.rows import with_row
 
 
 def customer_features(tx: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopledger.plans.distribution import with_row
+from shopledger.plans.rows import with_row
 
 SEED = 42
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from shopledger.functions import calendar, segments
 from shopledger.functions.ratios import across, percent, ratio
-from shopledger.plans.distribution import Distribution, one_row_quantiles, with_row
+from shopledger.plans.distribution import Distribution, one_row_quantiles
 from shopledger.plans.pinning import pin
 from shopledger.plans.placement import place, running_sums
+from shopledger.plans.rows import with_row
 
 def product_stats(tx: DataFrame) -> DataFrame:
     """First description, mean price, quantity and revenue per product.

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions.ratios import across, percent
-from shopledger.plans.distribution import Distribution, with_row
+from shopledger.plans.distribution import Distribution
+from shopledger.plans.rows import with_row
 
 def kpis(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Revenue, mean order value, customers, orders and percent VIP, in one row."""

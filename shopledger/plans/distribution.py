@@ -14,7 +14,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopledger.plans.placement import place, running_sums
+from shopledger.plans.placement import RANGE, add_running, attach, offsets, place, with_offsets
+from shopledger.plans.rows import with_row
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -57,16 +58,6 @@ class Distribution:
         )
         return place(counted, [*self.keys, "value"])
 
-    @cached_property
-    def ranked(self) -> DataFrame:
-        """Counts with the running and the total number of rows, and the total value.
-
-        The total is a decimal sum, which does not depend on the order of addition.
-        """
-        weighted = F.expr("cast(value AS decimal(24,8)) * cast(n AS decimal(12,0))")
-        rows = self.counts.withColumn("weighted", weighted)
-        return running_sums(rows, self.keys, ["value"], ["n"], ["weighted"])
-
     def quantiles(
         self, probabilities: dict[str, float] | None = None, alpha: float = 1.0
     ) -> DataFrame:
@@ -74,23 +65,47 @@ class Distribution:
 
         ``alpha`` sets the plotting positions: 1 is plain linear interpolation, 0.4 the nearly
         unbiased positions (alphap = betap = 0.4) of the Cunnane rule.
+
+        Only the ranges that hold a wanted rank are sorted; the others are skipped at the scan.
         """
-        return self.ranked.groupBy(*self.keys).agg(
-            *_quantiles(probabilities or QUARTILES, alpha)
+        probabilities = probabilities or QUARTILES
+        positions = [_position(p, alpha) for p in probabilities.values()]
+        wanted = " OR ".join(
+            f"floor({at}) < n_before + n_here AND ceil({at}) >= n_before" for at in positions
+        )
+        per_range = offsets(self.counts, self.keys, ["n"]).where(wanted)
+        # One array of range numbers.
+        numbers = per_range.agg(F.collect_set(RANGE).alias("numbers"))
+        rows = with_row(self.counts, numbers, "_wanted").where(
+            f"array_contains(_wanted.numbers, {RANGE})"
+        )
+        rows = attach(rows.drop("_wanted"), self.keys, per_range)
+        ranked = add_running(rows, self.keys, ["value"], ["n"])
+        return ranked.groupBy(*self.keys).agg(
+            *[
+                _interpolated(at).alias(name) for name, at in zip(probabilities, positions)
+            ]
         )
 
     def describe(self) -> DataFrame:
-        """count, total, mean, std (n-1), min, q1, median, q3, max."""
+        """count, total, mean, std (n-1), min, q1, median, q3, max.
+
+        The total is a decimal sum, which does not depend on the order of addition.
+        """
+        weighted = F.expr("cast(value AS decimal(24,8)) * cast(n AS decimal(12,0))")
+        rows = with_offsets(
+            self.counts.withColumn("weighted", weighted), self.keys, [], ["n", "weighted"]
+        )
         mean = "double(weighted_all) / n_all"
-        return self.ranked.groupBy(*self.keys).agg(
+        moments = rows.groupBy(*self.keys).agg(
             F.expr("max(n_all) AS count"),
             F.expr("double(max(weighted_all)) AS total"),
             F.expr(f"max({mean}) AS mean"),
             F.expr(f"sqrt(try_divide(sum(n * pow(value - {mean}, 2)), max(n_all) - 1)) AS std"),
             F.min("value").alias("min"),
-            *_quantiles(QUARTILES),
             F.max("value").alias("max"),
         )
+        return moments.join(self.quantiles(), self.keys)
 
     def box(self) -> DataFrame:
         """Quartiles, whiskers at the extreme values inside 1.5 IQR, and outlier count."""
@@ -101,8 +116,10 @@ class Distribution:
             }
         )
         inside = "value BETWEEN low_fence AND high_fence"
+        # Fences are spread over the ranges of their group, so the join is as even as the ranges.
+        ranges = self.counts.select(*self.keys, RANGE).distinct()
         return (
-            self.counts.join(fences, self.keys)
+            self.counts.join(ranges.join(fences, self.keys), [*self.keys, RANGE])
             .groupBy(*self.keys, "q1", "median", "q3")
             .agg(
                 F.expr(f"min(value) FILTER (WHERE {inside}) AS low_whisker"),
@@ -112,15 +129,15 @@ class Distribution:
         )
 
 
-def _quantiles(probabilities: dict[str, float], alpha: float = 1.0) -> list[Column]:
-    return [_quantile(p, alpha).alias(name) for name, p in probabilities.items()]
+def _position(p: float, alpha: float) -> str:
+    """0-based rank of a quantile, as SQL over ``n_all``."""
+    if alpha == 1.0:
+        return f"((n_all - 1) * {p}D)"
+    shift = alpha + p * (1 - 2 * alpha) - 1
+    return f"least(greatest(n_all * {p}D + {shift}D, 0D), double(n_all - 1))"
 
 
-def _quantile(p: float, alpha: float) -> Column:
-    position = f"((n_all - 1) * {p}D)"
-    if alpha != 1.0:
-        shift = alpha + p * (1 - 2 * alpha) - 1
-        position = f"least(greatest(n_all * {p}D + {shift}D, 0D), double(n_all - 1))"
+def _interpolated(position: str) -> Column:
     low, high = _value_at(f"floor({position})"), _value_at(f"ceil({position})")
     return F.expr(f"{low} + ({high} - {low}) * max({position} - floor({position}))")
 
@@ -146,8 +163,3 @@ def one_row_quantiles(
             for q in probabilities
         ]
     )
-
-
-def with_row(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
-    """Add the only row of ``one_row`` as a struct column, by one scalar subquery."""
-    return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())

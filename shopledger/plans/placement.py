@@ -28,6 +28,40 @@ def place(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def with_offsets(
+    placed: DataFrame, group: Sequence[str], running: Sequence[str], totals: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``<c>_all``, the sum over the group, and ``<c>_before``, that of its earlier ranges."""
+    return attach(placed, group, offsets(placed, group, running, totals))
+
+
+def offsets(
+    placed: DataFrame, group: Sequence[str], running: Sequence[str], totals: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (group, range), at most groups + ranges of them, with ``<c>_here``,
+    ``<c>_before`` and ``<c>_all``."""
+    summed = [*running, *totals]
+    per_range = placed.groupBy(*group, RANGE).agg(*[F.sum(c).alias(f"{c}_here") for c in summed])
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = {
+        f"{c}_before": F.coalesce(F.sum(f"{c}_here").over(earlier), F.lit(0)) for c in running
+    }
+    return per_range.withColumns(
+        {**before, **{f"{c}_all": F.sum(f"{c}_here").over(whole) for c in summed}}
+    )
+
+
+def attach(placed: DataFrame, group: Sequence[str], per_range: DataFrame) -> DataFrame:
+    """Join rows to the frame of their (group, range); such pairs are as even as the ranges."""
+    keys = [*group, RANGE]
+    side = per_range.withColumnsRenamed({c: f"_side_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_side_{c}"))
+    return placed.join(side, same).drop(*[f"_side_{c}" for c in keys])
+
+
 def running_sums(
     placed: DataFrame,
     group: Sequence[str],
@@ -40,31 +74,18 @@ def running_sums(
     ``placed`` comes from :func:`place` with keys ``[*group, *order]``; rows equal in all keys
     lie in one range.
     """
-    summed = [*running, *totals]
-    per_range = placed.groupBy(*group, RANGE).agg(*[F.sum(c).alias(c) for c in summed])
-    whole = Window.partitionBy(*group)
-    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per (group, range): at most groups + ranges rows.
-    per_range = per_range.select(
-        *[F.col(c).alias(f"_{c}_group") for c in group],
-        F.col(RANGE).alias("_range_id"),
-        *[F.sum(c).over(earlier).alias(f"_{c}_before") for c in running],
-        *[F.sum(c).over(whole).alias(f"{c}_all") for c in summed],
-    )
+    return add_running(with_offsets(placed, group, running, totals), group, order, running)
+
+
+def add_running(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], running: Sequence[str]
+) -> DataFrame:
+    """Add ``<c>_upto`` to rows with offsets; ranges must be whole."""
     inside = (
         Window.partitionBy(*group, RANGE)
         .orderBy(*order)
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    upto = {
-        f"{c}_upto": F.sum(c).over(inside) + F.coalesce(F.col(f"_{c}_before"), F.lit(0))
-        for c in running
-    }
-    same = F.col(RANGE) == F.col("_range_id")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_group"))
-    return (
-        placed.join(per_range, same)
-        .withColumns(upto)
-        .drop("_range_id", *[f"_{c}_group" for c in group], *[f"_{c}_before" for c in running])
+    return df.withColumns(
+        {f"{c}_upto": F.sum(c).over(inside) + F.col(f"{c}_before") for c in running}
     )

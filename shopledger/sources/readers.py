@@ -48,6 +48,16 @@ def read_transactions(
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rehash a scan that has fewer splits than the cluster has cores.
+
+    A few unsplittable files (one row group, gzipped text) would keep all later narrow work in
+    as few tasks. A table of many splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def stack(parts: Sequence[DataFrame]) -> DataFrame:
     """All rows of all parts; a column that a part lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopledger.operators.cleaning import clean_transactions, with_total_value
-from shopledger.sources.readers import MONEY
+from shopledger.sources.readers import MONEY, spread
 
 LINE_COLUMNS = ("invoice", "stock_code", "quantity", "invoice_date", "price", "customer_id")
 
@@ -18,7 +18,9 @@ def raw_lines(spark: SparkSession, folder: str, extra: Sequence[str] = ()) -> Da
 
     A lookup table is joined only when one of its columns is asked for.
     """
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    lines = spread(
+        spark.read.parquet(f"{folder}/lineitem.parquet"), "l_orderkey", "l_partkey", "l_suppkey"
+    )
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     df = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     columns = {
