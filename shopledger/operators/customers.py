@@ -107,9 +107,9 @@ def customer_table(
 
 
 def segment_lookup(tx: DataFrame) -> DataFrame:
-    """(customer_id, customer_segment), pinned so that its size is known to the planner."""
-    table = customer_table(tx, SCORED)
-    return pin(table.select("customer_id", "customer_segment"), "segments")
+    """(customer_id, customer_segment); a projection of a pinned table, so the planner knows
+    its size when it joins lines to it."""
+    return customer_table(tx, SCORED).select("customer_id", "customer_segment")
 
 
 def customer_spend(tx: DataFrame, cust: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shopledger.functions import calendar, segments
 from shopledger.functions.ratios import across, percent, ratio
-from shopledger.plans.distribution import Distribution, one_row_quantiles
+from shopledger.plans.distribution import Distribution, long_form, one_row_quantiles
 from shopledger.plans.pinning import pin
 from shopledger.plans.placement import place, running_sums
 from shopledger.plans.rows import with_row
@@ -64,9 +64,9 @@ def price_segments(prices: DataFrame) -> DataFrame:
 
 
 def price_segment_lookup(tx: DataFrame) -> DataFrame:
-    """(stock_code, price_segment), pinned so that its size is known to the planner."""
-    table = price_segments(product_prices(tx)).select("stock_code", "price_segment")
-    return pin(table, "price_segments")
+    """(stock_code, price_segment); a projection of a pinned table, so the planner knows its
+    size when it joins lines to it."""
+    return price_segments(product_prices(tx)).select("stock_code", "price_segment")
 
 
 def with_price_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -142,24 +142,10 @@ def price_ranges(tx: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def line_counts(tx: DataFrame, lookup: DataFrame, column: str, keys: Sequence = ()) -> DataFrame:
-    """(price_segment, keys, column, num_lines): lines counted per distinct value.
-
-    Distinct values are many, so the lookup comes first here: with a lookup small enough to be
-    broadcast only the counts are shuffled.
-    """
-    return (
-        with_price_segment(tx, lookup)
-        .groupBy("price_segment", *keys, column)
-        .agg(F.count(F.lit(1)).alias("num_lines"))
-    )
-
-
 def price_stats_by_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Line price statistics, products and share of products per price segment."""
-    lines = Distribution(
-        line_counts(tx, lookup, "price"), ["price"], ["price_segment"], "num_lines"
-    ).describe()
+    by = ["price_segment"]
+    lines = Distribution(long_form(with_price_segment(tx, lookup), ["price"], by), by).describe()
     products = lookup.groupBy("price_segment").agg(F.count(F.lit(1)).alias("num_products"))
     share = percent(F.col("num_products"), across(F.sum("num_products")))
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.functions.ratios import across, percent
-from shopledger.plans.distribution import Distribution
+from shopledger.plans.distribution import Distribution, long_form
 from shopledger.plans.rows import with_row
 
 def kpis(tx: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -84,17 +84,19 @@ def lines_with_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     return tx.join(lookup, "customer_id").select("customer_segment", "total_value")
 
 
+BY_SEGMENT = ["customer_segment"]
+
+
 def describe_spend_by_segment(cust: DataFrame) -> DataFrame:
     """Statistics of customer spend per segment, highest total first."""
-    stats = Distribution(cust, ["total_spend"], ["customer_segment"]).describe()
+    stats = Distribution(long_form(cust, ["total_spend"], BY_SEGMENT), BY_SEGMENT).describe()
     return stats.drop("measure").orderBy(F.desc("total"))
 
 
 def describe_line_value_by_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Statistics of line values per customer segment, highest mean first."""
-    lines = lines_with_segment(tx, lookup)
-    stats = Distribution(lines, ["total_value"], ["customer_segment"]).describe()
-    return stats.drop("measure").orderBy(F.desc("mean"))
+    lines = long_form(lines_with_segment(tx, lookup), ["total_value"], BY_SEGMENT)
+    return Distribution(lines, BY_SEGMENT).describe().drop("measure").orderBy(F.desc("mean"))
 
 
 SCORES = ("r_score", "f_score", "m_score")
@@ -115,23 +117,29 @@ def rfm_summary(cust: DataFrame) -> DataFrame:
 
 def box_stats_by_segment(cust: DataFrame, tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Box statistics per segment of tenure, rate, spend (per customer) and line value."""
-    measures = ["tenure_days", "frequency", "total_spend"]
-    customers = Distribution(cust, measures, ["customer_segment"]).box()
-    lines = lines_with_segment(tx, lookup)
-    per_line = Distribution(lines, ["total_value"], ["customer_segment"]).box()
-    return customers.unionByName(per_line)
+    per_customer = long_form(cust, ["tenure_days", "frequency", "total_spend"], BY_SEGMENT)
+    per_line = long_form(lines_with_segment(tx, lookup), ["total_value"], BY_SEGMENT)
+    return Distribution(per_customer.unionByName(per_line), BY_SEGMENT).box()
 
 
 def rfm_box_stats(rfm: DataFrame) -> DataFrame:
     """Box statistics of recency, frequency and monetary value over all customers."""
-    return Distribution(rfm, ["recency", "frequency", "monetary"]).box()
+    return Distribution(long_form(rfm, ["recency", "frequency", "monetary"])).box()
+
+
+def spend_and_line_values(cust: DataFrame, tx: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Customer spend and line values in long form per segment, in one frame."""
+    spend = cust.withColumnRenamed("total_spend", "lifetime_value")
+    line = lines_with_segment(tx, lookup).withColumnRenamed("total_value", "line_value")
+    return long_form(spend, ["lifetime_value"], BY_SEGMENT).unionByName(
+        long_form(line, ["line_value"], BY_SEGMENT)
+    )
 
 
 def distribution_compare(cust: DataFrame, tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Customer spend beside line value per segment."""
-    lifetime = describe_spend_by_segment(cust).withColumn("measure", F.lit("lifetime_value"))
-    order = describe_line_value_by_segment(tx, lookup).withColumn("measure", F.lit("line_value"))
-    return lifetime.unionByName(order).select(
+    both = Distribution(spend_and_line_values(cust, tx, lookup), BY_SEGMENT)
+    return both.describe().select(
         "customer_segment", "measure", "count", "mean", "q1", "median", "q3"
     )
 
@@ -141,4 +149,4 @@ FEATURES = ("tenure_days", "frequency", "total_spend", "avg_line_value")
 
 def describe_features(cust: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Statistics of the model features, one row per feature."""
-    return Distribution(cust, features).describe().withColumnRenamed("measure", "feature")
+    return Distribution(long_form(cust, features)).describe().withColumnRenamed("measure", "feature")

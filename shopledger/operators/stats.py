@@ -13,25 +13,23 @@ from pyspark.sql import functions as F
 from shopledger.functions import calendar
 from shopledger.functions.ratios import across
 from shopledger.functions.tails import chi2_p_value, f_p_value
-from shopledger.operators.products import by_price_segment, line_counts
-from shopledger.operators.reports import lines_with_segment
+from shopledger.operators.products import by_price_segment, with_price_segment
+from shopledger.operators.reports import spend_and_line_values
+from shopledger.plans.distribution import long_form
 from shopledger.plans.placement import RANGE, place, running_sums
 
 LEVEL = 0.05
 
 
-def kruskal(
-    df: DataFrame, value: str, group: str, by: Sequence[str] = (), weight: str | None = None
-) -> DataFrame:
+def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Kruskal-Wallis H with tie correction, per ``by``; null where fewer than two groups.
 
     Values are counted per (by, value, group); ties get their mean rank.
     """
-    weight_column = F.col(weight) if weight else F.lit(1)
     counts = (
         df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
         .groupBy(*by, F.col(value).alias("value"), F.col(group).alias("sample"))
-        .agg(F.sum(weight_column).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     placed = place(counts, [*by, "value"])
     ties = F.sum("n").over(Window.partitionBy(*by, RANGE, "value")).cast("double")
@@ -62,34 +60,27 @@ def kruskal(
     )
 
 
-def _named(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn("measure", F.lit(name))
-
-
 def kruskal_customer_segments(cust: DataFrame, tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Customer spend, and line value, across the customer segments."""
-    lines = lines_with_segment(tx, lookup)
-    spend = kruskal(cust, "total_spend", "customer_segment")
-    line = kruskal(lines, "total_value", "customer_segment")
-    return _named(spend, "lifetime_value").unionByName(_named(line, "line_value"))
+    values = spend_and_line_values(cust, tx, lookup)
+    return kruskal(values, "value", "customer_segment", ["measure"])
 
 
 def kruskal_season_by_price_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     """Line value across seasons, per price segment that sells in at least two."""
-    season = calendar.season(F.col("invoice_date")).alias("season")
-    lines = line_counts(tx, lookup, "total_value", [season])
-    tests = kruskal(lines, "total_value", "season", ["price_segment"], "num_lines")
+    season = calendar.season(F.col("invoice_date"))
+    lines = with_price_segment(tx, lookup).withColumn("season", season)
+    tests = kruskal(lines, "total_value", "season", ["price_segment"])
     return tests.where(F.col("groups") > 1)
 
 
 def kruskal_price_segments(tx: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Line value, and quantity, across the price segments."""
-
-    def test(column: str) -> DataFrame:
-        lines = line_counts(tx, lookup, column)
-        return kruskal(lines, column, "price_segment", weight="num_lines")
-
-    return _named(test("total_value"), "value").unionByName(_named(test("quantity"), "volume"))
+    """Line value, and quantity, across the price segments, in one pass over the lines."""
+    lines = with_price_segment(tx, lookup).withColumnsRenamed(
+        {"total_value": "line_value", "quantity": "line_quantity"}
+    )
+    values = long_form(lines, ["line_value", "line_quantity"], ["price_segment"])
+    return kruskal(values, "value", "price_segment", ["measure"])
 
 
 def segment_season_correlation(tx: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -20,42 +20,31 @@ from shopledger.plans.rows import with_row
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def long_form(df: DataFrame, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row (by, measure, value) per measure of each row; nulls are left out."""
+    pairs = F.array(
+        *[
+            F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+            for m in measures
+        ]
+    )
+    long = df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.measure", "p.value")
+    return long.where(F.col("value").isNotNull())
+
+
 class Distribution:
-    """Value counts of ``measures`` per ``by``; nulls in a measure are left out.
+    """Values of each (``by``, measure) of a frame from :func:`long_form`.
 
-    ``weight`` names a column that holds how many rows one row of ``df`` stands for.
-    Frames come back long: one row per (``by``, ``measure``).
+    Results come back long: one row per (``by``, measure).
     """
 
-    def __init__(
-        self,
-        df: DataFrame,
-        measures: Sequence[str],
-        by: Sequence[str] = (),
-        weight: str | None = None,
-    ):
-        self.by = list(by)
-        self.keys = [*self.by, "measure"]
-        self._df, self._measures, self._weight = df, list(measures), weight
+    def __init__(self, long: DataFrame, by: Sequence[str] = ()):
+        self.long, self.keys = long, [*by, "measure"]
 
     @cached_property
     def counts(self) -> DataFrame:
         """(by, measure, value, n), range-placed and pinned."""
-        weight = F.col(self._weight) if self._weight else F.lit(1).cast("bigint")
-        pairs = F.array(
-            *[
-                F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                for m in self._measures
-            ]
-        )
-        long = self._df.select(*self.by, weight.alias("w"), F.explode(pairs).alias("p")).select(
-            *self.by, "w", "p.measure", "p.value"
-        )
-        counted = (
-            long.where(F.col("value").isNotNull())
-            .groupBy(*self.keys, "value")
-            .agg(F.sum("w").alias("n"))
-        )
+        counted = self.long.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
         return place(counted, [*self.keys, "value"])
 
     def quantiles(
@@ -82,9 +71,7 @@ class Distribution:
         rows = attach(rows.drop("_wanted"), self.keys, per_range)
         ranked = add_running(rows, self.keys, ["value"], ["n"])
         return ranked.groupBy(*self.keys).agg(
-            *[
-                _interpolated(at).alias(name) for name, at in zip(probabilities, positions)
-            ]
+            *[_interpolated(at).alias(name) for name, at in zip(probabilities, positions)]
         )
 
     def describe(self) -> DataFrame:
@@ -155,8 +142,8 @@ def one_row_quantiles(
 ) -> DataFrame:
     """Ungrouped quantiles as one row with columns ``<measure>_<name>``."""
     probabilities = probabilities or QUARTILES
-    long = Distribution(df, measures).quantiles(probabilities, alpha)
-    return long.agg(
+    rows = Distribution(long_form(df, measures)).quantiles(probabilities, alpha)
+    return rows.agg(
         *[
             F.expr(f"max({q}) FILTER (WHERE measure = '{m}') AS {m}_{q}")
             for m in measures

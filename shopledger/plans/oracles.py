@@ -458,9 +458,9 @@ FROM cross_sell""",
     "kruskal_season_by_price_segment": _kruskal(
         "SELECT price_segment, total_value AS v, season AS g FROM txs", "price_segment"
     ),
-    "kruskal_price_segments": "SELECT 'value' AS measure, * FROM ("
+    "kruskal_price_segments": "SELECT 'line_value' AS measure, * FROM ("
     + _kruskal("SELECT total_value AS v, price_segment AS g FROM txs")
-    + ") UNION ALL SELECT 'volume' AS measure, * FROM ("
+    + ") UNION ALL SELECT 'line_quantity' AS measure, * FROM ("
     + _kruskal("SELECT quantity AS v, price_segment AS g FROM txs")
     + ")",
     "segment_season_correlation": """

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from shopledger.plans.distribution import Distribution, one_row_quantiles
+from shopledger.plans.distribution import Distribution, long_form, one_row_quantiles
 from shopledger.plans.pinning import pin, shared_folder
 from shopledger.plans.placement import RANGE, place, running_sums
 
@@ -57,24 +57,23 @@ def test_quantiles_match_brute_force(spark):
     data = [(g, round(picks.gauss(50, 20), picks.choice([0, 2]))) for g in "abc" for _ in range(701)]
     df = spark.createDataFrame(data, "g string, v double")
     wanted = {"p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
-    for row in Distribution(df, ["v"], ["g"]).quantiles(wanted).collect():
+    for row in Distribution(long_form(df, ["v"], ["g"]), ["g"]).quantiles(wanted).collect():
         values = [v for g, v in data if g == row.g]
         for name, p in wanted.items():
             assert row[name] == pytest.approx(linear(values, p), abs=1e-9)
 
 
-def test_describe_and_weights(spark):
-    data = [("a", 2.0, 3), ("a", 5.0, 1), ("b", 7.0, 1)]
-    df = spark.createDataFrame(data, "g string, v double, w bigint")
-    got = {r.g: r for r in Distribution(df, ["v"], ["g"], "w").describe().collect()}
+def test_describe(spark):
+    df = spark.createDataFrame([("a", 2.0)] * 3 + [("a", 5.0), ("b", 7.0), ("b", None)], "g string, v double")
+    got = {r.g: r for r in Distribution(long_form(df, ["v"], ["g"]), ["g"]).describe().collect()}
     assert got["a"]["count"] == 4 and got["a"].total == 11.0 and got["a"].mean == 2.75
     assert got["a"]["std"] == pytest.approx(statistics.stdev([2, 2, 2, 5]))
-    assert got["b"]["std"] is None and got["b"].median == 7.0
+    assert got["b"]["count"] == 1 and got["b"]["std"] is None and got["b"].median == 7.0
 
 
 def test_box_whiskers_and_outliers(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 5, 100]], "v double")
-    row = Distribution(df, ["v"]).box().first()
+    row = Distribution(long_form(df, ["v"])).box().first()
     assert (row.low_whisker, row.high_whisker, row.outliers) == (1.0, 5.0, 1)
 
 
