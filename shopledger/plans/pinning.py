@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
+_pinned: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +35,18 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     the fact table is then scanned once, and the size of the copy is known to the planner,
     which decides on broadcasts from it.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _pinned.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_pinned(spark: SparkSession) -> int:
+    """Delete the copies this application pinned; frames built on them become unusable."""
+    jvm, context = spark._jvm, spark.sparkContext
+    paths = _pinned.pop(context.applicationId, [])
+    for text in paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -55,6 +55,15 @@ def test_total_value_is_exact(make_lines):
     assert str(value) == "0.3000"
 
 
+def test_overview_exact_and_by_sketch(make_lines):
+    lines = make_lines([(f"i{i // 3}", "A", 1, "2020-01-01", 2, f"c{i // 6}") for i in range(60)])
+    row = cleaning.dataset_overview(lines).first()
+    assert (row.total_revenue, row.unique_customers, row.total_transactions) == (120, 10, 20)
+    assert row.avg_order_value == 6.0
+    near = cleaning.dataset_overview(lines, exact=False).first()
+    assert abs(near.total_transactions - 20) <= 2
+
+
 def test_seasons_and_holidays(make_lines):
     lines = make_lines([(str(m), "A", 1, f"2021-{m:02}-10", 1, "c") for m in range(1, 13)])
     got = {int(i): s for i, s in rows(cleaning.with_season(lines), "invoice", "season")}

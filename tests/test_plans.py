@@ -2,6 +2,9 @@
 
 import random
 import statistics
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +33,21 @@ def test_pin_keeps_rows_and_schema(spark):
     assert copy.count() == 10
 
 
+def test_drop_pinned_removes_the_copies(tmp_path):
+    # In a process of its own, so that the copies other tests still read stay.
+    code = (
+        "import os, sys; sys.path.insert(0, sys.argv[2])\n"
+        "from pyspark.sql import SparkSession\n"
+        "from shopledger.plans.pinning import drop_pinned, pin\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')"
+        ".config('spark.checkpoint.dir', sys.argv[1]).getOrCreate()\n"
+        "pin(s.range(3), 'x'); assert os.listdir(sys.argv[1])\n"
+        "assert drop_pinned(s) == 1 and not os.listdir(sys.argv[1])\n"
+    )
+    root = str(Path(__file__).resolve().parents[1])
+    subprocess.run([sys.executable, "-c", code, str(tmp_path), root], check=True, timeout=120)
+
+
 @pytest.mark.parametrize("groups", [[], ["g"]])
 def test_running_sums_cross_ranges(spark, groups):
     # Group "a" holds most rows, so it must span several ranges; values repeat (ties).
