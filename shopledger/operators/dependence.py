@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -16,15 +15,27 @@ from shopledger.operators.classifiers import RETENTION_FEATURES, classifier_of
 from shopledger.plans.distribution import one_row_quantiles
 
 
-def feature_grid(df: DataFrame, column: str, points: int = 100) -> list[float]:
-    """The distinct values if fewer than ``points``, else ``points`` equal steps between the
-    5 % and 95 % quantiles. At most ``points`` numbers reach the driver."""
-    values = df.select(F.col(column).cast("double").alias("x")).distinct().limit(points).collect()
-    if len(values) < points:
-        return sorted(row.x for row in values)
-    ends = one_row_quantiles(df, [column], {"low": 0.05, "high": 0.95}, alpha=0.4).first()
-    low, high = ends[f"{column}_low"], ends[f"{column}_high"]
-    return [low + (high - low) * i / (points - 1) for i in range(points)]
+def feature_grids(
+    df: DataFrame, columns: Sequence[str], points: int = 100
+) -> dict[str, list[float]]:
+    """Grid of each column: the distinct values if fewer than ``points``, else ``points`` equal
+    steps between the 5 % and 95 % quantiles. At most ``points`` numbers per column reach the
+    driver."""
+    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    grids = {}
+    # The sketch errs by a few percent; only columns near the limit are counted exactly.
+    for column in [c for c in columns if rough[c] < 2 * points]:
+        value = F.col(column).cast("double").alias("x")
+        found = df.select(value).where("x IS NOT NULL").distinct().limit(points).collect()
+        if len(found) < points:
+            grids[column] = sorted(row.x for row in found)
+    wide = [c for c in columns if c not in grids]
+    if wide:
+        ends = one_row_quantiles(df, wide, {"low": 0.05, "high": 0.95}, alpha=0.4).first()
+        for c in wide:
+            low, high = ends[f"{c}_low"], ends[f"{c}_high"]
+            grids[c] = [low + (high - low) * i / (points - 1) for i in range(points)]
+    return grids
 
 
 def split_points(model: PipelineModel, feature: int) -> list[float]:
@@ -37,40 +48,30 @@ def split_points(model: PipelineModel, feature: int) -> list[float]:
 def partial_dependence(
     model: PipelineModel,
     df: DataFrame,
-    column: str,
+    columns: Sequence[str] = ("tenure_days", "frequency", "total_spend"),
     features: Sequence[str] = RETENTION_FEATURES,
     points: int = 100,
 ) -> DataFrame:
-    """Mean predicted probability over all rows with ``column`` set to each grid value.
+    """Mean predicted probability over all rows with one column set to each of its grid values.
 
-    Trees predict the same between two neighbouring thresholds, so each stretch of the grid is
-    predicted once, at its first point, and shared by the others.
+    Trees predict the same between two neighbouring thresholds, so each stretch of a grid is
+    predicted once, at its first point, and shared by the others. All columns share one pass.
     """
-    grid = feature_grid(df, column, points)
-    cuts = split_points(model, list(features).index(column))
-    stretch = [bisect_left(cuts, x) for x in grid]
-    first: dict[int, float] = {}
-    for part, x in zip(stretch, grid):
-        first.setdefault(part, x)
-    settings = F.array(
-        *[F.struct(F.lit(p).alias("part"), F.lit(x).alias("x")) for p, x in first.items()]
-    )
-    others = [c for c in features if c != column]
-    moved = df.select(*others, F.explode(settings).alias("s")).select(
-        *others, F.col("s.part").alias("part"), F.col("s.x").alias(column)
-    )
+    settings, axis = [], []
+    for column, grid in feature_grids(df, columns, points).items():
+        cuts = split_points(model, list(features).index(column))
+        done: set[int] = set()
+        for x in grid:
+            stretch = bisect_left(cuts, x)
+            axis.append((column, x, stretch))
+            if stretch not in done:
+                done.add(stretch)
+                moved = [(F.lit(x) if f == column else F.col(f)).alias(f) for f in features]
+                settings.append(
+                    F.struct(F.lit(column).alias("feature"), F.lit(stretch).alias("stretch"), *moved)
+                )
+    rows = df.select(F.explode(F.array(*settings)).alias("s")).select("s.*")
     chance = vector_to_array("probability")[1]
-    means = model.transform(moved).groupBy("part").agg(F.avg(chance).alias("y"))
-    rows = list(zip([column] * len(grid), grid, stretch))
-    axis = df.sparkSession.createDataFrame(rows, "feature string, x double, part int")
-    return axis.join(means, "part").select("feature", "x", "y")
-
-
-def partial_dependences(
-    model: PipelineModel,
-    df: DataFrame,
-    columns: Sequence[str] = ("tenure_days", "frequency", "total_spend"),
-    points: int = 100,
-) -> DataFrame:
-    curves = [partial_dependence(model, df, c, points=points) for c in columns]
-    return reduce(DataFrame.unionByName, curves)
+    means = model.transform(rows).groupBy("feature", "stretch").agg(F.avg(chance).alias("y"))
+    points_of = df.sparkSession.createDataFrame(axis, "feature string, x double, stretch int")
+    return points_of.join(means, ["feature", "stretch"]).select("feature", "x", "y")

@@ -167,7 +167,7 @@ def _tree_rules(given: Given) -> DataFrame:
 
 def _dependence(given: Given, fit: Callable) -> DataFrame:
     train, _ = given.retention_frames
-    return dependence.partial_dependences(fit(train), train)
+    return dependence.partial_dependence(fit(train), train)
 
 
 def _best_model(given: Given) -> DataFrame:

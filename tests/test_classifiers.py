@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shopledger.operators import classifiers as ml
 from shopledger.operators import evaluation
-from shopledger.operators.dependence import feature_grid, partial_dependence, split_points
+from shopledger.operators.dependence import feature_grids, partial_dependence, split_points
 
 
 @pytest.fixture(scope="module")
@@ -95,8 +95,8 @@ def test_retention_tree_and_rules(retention):
 def test_partial_dependence_equals_brute_force(retention):
     train, _ = retention
     model = ml.retention_tree(train)
-    curve = sorted(partial_dependence(model, train, "tenure_days", points=20).collect(), key=lambda r: r.x)
-    assert len(curve) == 20 and [r.x for r in curve] == pytest.approx(feature_grid(train, "tenure_days", 20))
+    curve = sorted(partial_dependence(model, train, ["tenure_days"], points=20).collect(), key=lambda r: r.x)
+    assert len(curve) == 20 and [r.x for r in curve] == pytest.approx(feature_grids(train, ["tenure_days"], 20)["tenure_days"])
     assert split_points(model, 0)
     from pyspark.ml.functions import vector_to_array
 
@@ -105,6 +105,11 @@ def test_partial_dependence_equals_brute_force(retention):
         assert moved.agg(F.avg(vector_to_array("probability")[1])).first()[0] == pytest.approx(point.y)
 
 
+def test_grid_of_few_values_is_the_values(spark):
+    df = spark.createDataFrame([(3.0,), (1.0,), (3.0,)], "v double")
+    assert feature_grids(df, ["v"], 10) == {"v": [1.0, 3.0]}
+
+
 def test_grid_search_and_winner(retention):
     train, test = retention
     grid = {"numTrees": (3, 5), "maxDepth": (2,), "minInstancesPerNode": (1, 4)}
