@@ -9,16 +9,18 @@ from shopledger.functions.ratios import percent, percent_change
 from shopledger.operators.products import price_segment_share, season_revenue
 
 
-def vip_revenue_share(tx: DataFrame, lookup: DataFrame) -> DataFrame:
+def vip_revenue_share(cust: DataFrame, tx: DataFrame | None = None) -> DataFrame:
     """Percent of revenue from VIP customers.
 
-    Lines are summed per customer before the lookup.
+    The revenue is the customers' total spend, or that of ``tx`` (say, of one period), summed
+    per customer before the segments are looked up.
     """
-    spend = tx.groupBy("customer_id").agg(F.sum("total_value").alias("spend"))
+    rows = cust.select("customer_segment", F.col("total_spend").alias("spend"))
+    if tx is not None:
+        spend = tx.groupBy("customer_id").agg(F.sum("total_value").alias("spend"))
+        rows = spend.join(cust.select("customer_id", "customer_segment"), "customer_id")
     vip = F.when(F.col("customer_segment") == "VIP", F.col("spend"))
-    return spend.join(lookup, "customer_id").agg(
-        percent(F.sum(vip), F.sum("spend")).alias("vip_share")
-    )
+    return rows.agg(percent(F.sum(vip), F.sum("spend")).alias("vip_share"))
 
 
 def season_gap(tx: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def season_gap(tx: DataFrame) -> DataFrame:
     )
 
 
-def dominant_price_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
+def dominant_price_segment(tx: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Price segment of highest revenue and its share."""
     return price_segment_share(tx, lookup).agg(
         F.max_by("price_segment", "revenue").alias("price_segment"),
@@ -38,7 +40,9 @@ def dominant_price_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def business_insights(tx: DataFrame, cust_lookup: DataFrame, price_lookup: DataFrame) -> DataFrame:
+def business_insights(
+    tx: DataFrame, cust: DataFrame, price_lookup: DataFrame | None = None
+) -> DataFrame:
     """Three rows of title, finding, action, impact and priority."""
 
     def row(df: DataFrame, title: str, finding: Column, action: Column, impact: str, rank: str):
@@ -51,7 +55,7 @@ def business_insights(tx: DataFrame, cust_lookup: DataFrame, price_lookup: DataF
         )
 
     vip = row(
-        vip_revenue_share(tx, cust_lookup),
+        vip_revenue_share(cust),
         "VIP customers",
         F.format_string("VIP customers bring %.1f%% of revenue", "vip_share"),
         F.lit("Run a personal VIP programme"),

@@ -1,7 +1,9 @@
 """Products, price segments and sales by price segment.
 
 Reports by price segment sum the lines per product first and look the segment up afterwards, so
-the join sees product rows, not invoice lines.
+the join sees product rows, not invoice lines. Where a report needs sums only, the segments come
+out of the same pass over the lines; ``lookup`` gives segments found elsewhere, such as those of
+the whole data when ``tx`` is one period.
 """
 
 from __future__ import annotations
@@ -75,12 +77,27 @@ def with_price_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def by_price_segment(
-    tx: DataFrame, lookup: DataFrame, keys: Sequence[str | Column] = (), **sums: Column
+    tx: DataFrame,
+    lookup: DataFrame | None = None,
+    keys: Sequence[str | Column] = (),
+    **sums: Column,
 ) -> DataFrame:
-    """Sums of ``sums`` per (price_segment, keys), combined per product before the lookup."""
-    grouped = tx.groupBy("stock_code", *keys)
-    per_product = grouped.agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-    names = [c for c in per_product.columns if c not in ("stock_code", *sums)]
+    """Sums of ``sums`` per (price_segment, keys), combined per product before the lookup.
+
+    Without ``lookup`` the segments follow from the prices in ``tx`` itself, which are summed in
+    the same pass over the lines.
+    """
+    parts = {name: F.sum(c).alias(name) for name, c in sums.items()}
+    if lookup is None:
+        parts["_price_sum"] = F.sum("price").alias("_price_sum")
+        parts["_prices"] = F.count("price").alias("_prices")
+    per_product = tx.groupBy("stock_code", *keys).agg(*parts.values())
+    names = [c for c in per_product.columns if c not in ("stock_code", *parts)]
+    if lookup is None:
+        per_product = pin(per_product, "products")
+        mean = F.sum("_price_sum").cast("double") / F.sum("_prices")
+        prices = per_product.groupBy("stock_code").agg(mean.alias("mean_price"))
+        lookup = price_segments(prices).select("stock_code", "price_segment")
     return (
         with_price_segment(per_product, lookup)
         .groupBy("price_segment", *names)
@@ -92,7 +109,7 @@ def _season() -> Column:
     return calendar.season(F.col("invoice_date")).alias("season")
 
 
-def segment_season_stats(tx: DataFrame, lookup: DataFrame) -> DataFrame:
+def segment_season_stats(tx: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Revenue, mean line value and line count per (price segment, season)."""
     rows = by_price_segment(
         tx, lookup, [_season()], revenue=F.col("total_value"), num_lines=F.lit(1)
@@ -106,7 +123,7 @@ def segment_season_pivot(stats: DataFrame, fill: float | None = 0) -> DataFrame:
     return wide if fill is None else wide.fillna(fill, list(calendar.SEASONS))
 
 
-def price_segment_share(tx: DataFrame, lookup: DataFrame) -> DataFrame:
+def price_segment_share(tx: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Revenue and share of revenue per price segment."""
     rows = by_price_segment(tx, lookup, revenue=F.col("total_value"))
     return rows.withColumn("share", percent(F.col("revenue"), across(F.sum("revenue"))))
@@ -160,7 +177,7 @@ def price_stats_by_segment(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def segment_sales_performance(tx: DataFrame, lookup: DataFrame) -> DataFrame:
+def segment_sales_performance(tx: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Lines, quantity and value per price segment, their shares, and value per line."""
     rows = by_price_segment(
         tx,

@@ -83,7 +83,7 @@ def kruskal_price_segments(tx: DataFrame, lookup: DataFrame) -> DataFrame:
     return kruskal(values, "value", "price_segment", ["measure"])
 
 
-def segment_season_correlation(tx: DataFrame, lookup: DataFrame) -> DataFrame:
+def segment_season_correlation(tx: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Pearson r of a segment's season totals with the overall ones; null unless four seasons.
 
     With four points the two-sided p-value is 1 - |r|.

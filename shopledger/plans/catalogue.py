@@ -366,17 +366,17 @@ QUERIES: dict[str, Query] = {
     # Product analytics
     "segment_season_stats": Query(
         "price_segment:s, season:s, revenue:4, avg_line_value:4, num_lines:i",
-        lambda g: products.segment_season_stats(g.tx, g.price_lookup),
+        lambda g: products.segment_season_stats(g.tx),
     ),
     "segment_season_pivot": Query(
         "price_segment:s, Winter:4, Spring:4, Summer:4, Fall:4",
         lambda g: products.segment_season_pivot(
-            products.segment_season_stats(g.tx, g.price_lookup)
+            products.segment_season_stats(g.tx)
         ),
     ),
     "price_segment_share": Query(
         "price_segment:s, revenue:4, share:4",
-        lambda g: products.price_segment_share(g.tx, g.price_lookup),
+        lambda g: products.price_segment_share(g.tx),
     ),
     "season_revenue": Query(
         "season:s, revenue:4, avg_line_value:4", lambda g: products.season_revenue(g.tx)
@@ -396,7 +396,7 @@ QUERIES: dict[str, Query] = {
     "segment_sales_performance": Query(
         "price_segment:s, num_lines:i, quantity:i, revenue:4, quantity_share:4, revenue_share:4,"
         "avg_line_value:4",
-        lambda g: products.segment_sales_performance(g.tx, g.price_lookup),
+        lambda g: products.segment_sales_performance(g.tx),
     ),
     "segment_performance_normalized": Query(
         "price_segment:s, revenue:4, quantity:i, customers:i, revenue_norm:6, quantity_norm:6,"
@@ -457,7 +457,7 @@ QUERIES: dict[str, Query] = {
     ),
     "segment_season_correlation": Query(
         "price_segment:s, rho:6, p_value:6",
-        lambda g: stats.segment_season_correlation(g.tx, g.price_lookup),
+        lambda g: stats.segment_season_correlation(g.tx),
     ),
     "order_value_normality": Query(
         "statistic:4, p_value:8, is_normal:b", lambda g: stats.order_value_normality(g.tx)
@@ -511,18 +511,18 @@ QUERIES: dict[str, Query] = {
     ),
     # Insights
     "vip_revenue_share": Query(
-        "vip_share:4", lambda g: insights.vip_revenue_share(g.tx, g.cust_lookup)
+        "vip_share:4", lambda g: insights.vip_revenue_share(g.cust())
     ),
     "season_gap": Query(
         "best_season:s, worst_season:s, gap_pct:4", lambda g: insights.season_gap(g.tx)
     ),
     "dominant_price_segment": Query(
         "price_segment:s, share:4",
-        lambda g: insights.dominant_price_segment(g.tx, g.price_lookup),
+        lambda g: insights.dominant_price_segment(g.tx),
     ),
     "business_insights": Query(
         "title:s, finding:s, action:s, impact:s, priority:s",
-        lambda g: insights.business_insights(g.tx, g.cust_lookup, g.price_lookup),
+        lambda g: insights.business_insights(g.tx, g.cust()),
     ),
     # Classifiers
     "train_test_split": Query("customer_id:s, is_train:b", _train_sides),

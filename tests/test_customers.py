@@ -121,7 +121,15 @@ def test_approximate_quartiles_are_close(many):
 
 
 def test_insights_name_three_findings(many):
-    from shopledger.operators.products import price_segment_lookup
+    cust = customers.customer_table(many)
+    assert insights.business_insights(many, cust).count() == 3
+    # The same share whether summed from the customers or from the lines.
+    from_lines = insights.vip_revenue_share(cust, many).first().vip_share
+    assert insights.vip_revenue_share(cust).first().vip_share == pytest.approx(from_lines)
+
+
+def test_segment_reports_with_and_without_a_lookup(many):
+    from shopledger.operators.products import price_segment_lookup, price_segment_share
 
-    found = insights.business_insights(many, customers.segment_lookup(many), price_segment_lookup(many))
-    assert found.count() == 3
+    given = price_segment_share(many, price_segment_lookup(many))
+    assert rows(price_segment_share(many)) == rows(given)
