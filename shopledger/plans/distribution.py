@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopledger.plans.pinning import pin
 from shopledger.plans.placement import RANGE, add_running, attach, offsets, place, with_offsets
 from shopledger.plans.rows import with_row
 
@@ -47,6 +48,11 @@ class Distribution:
         counted = self.long.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
         return place(counted, [*self.keys, "value"])
 
+    @cached_property
+    def ranges(self) -> DataFrame:
+        """Rows in, before and around each (group, range); small, and pinned for its two uses."""
+        return pin(offsets(self.counts, self.keys, ["n"]), "ranges")
+
     def quantiles(
         self, probabilities: dict[str, float] | None = None, alpha: float = 1.0
     ) -> DataFrame:
@@ -62,7 +68,7 @@ class Distribution:
         wanted = " OR ".join(
             f"floor({at}) < n_before + n_here AND ceil({at}) >= n_before" for at in positions
         )
-        per_range = offsets(self.counts, self.keys, ["n"]).where(wanted)
+        per_range = self.ranges.where(wanted)
         # One array of range numbers.
         numbers = per_range.agg(F.collect_set(RANGE).alias("numbers"))
         rows = with_row(self.counts, numbers, "_wanted").where(
@@ -104,9 +110,9 @@ class Distribution:
         )
         inside = "value BETWEEN low_fence AND high_fence"
         # Fences are spread over the ranges of their group, so the join is as even as the ranges.
-        ranges = self.counts.select(*self.keys, RANGE).distinct()
+        spread = self.ranges.select(*self.keys, RANGE).join(fences, self.keys)
         return (
-            self.counts.join(ranges.join(fences, self.keys), [*self.keys, RANGE])
+            self.counts.join(spread, [*self.keys, RANGE])
             .groupBy(*self.keys, "q1", "median", "q3")
             .agg(
                 F.expr(f"min(value) FILTER (WHERE {inside}) AS low_whisker"),
