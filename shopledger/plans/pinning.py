@@ -1,31 +1,43 @@
-"""Write a small derived table once and go on from the written copy.
+"""Write a derived table once and go on from the written copy.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``, so every executor
-reaches it and a lost executor costs no recomputation.
+Copies go to the folder named by ``spark.checkpoint.dir``, which all executors share, so a lost
+executor costs no recomputation. Where it is unset, in any mode, they go below the session's
+``spark.sql.warehouse.dir``, which is shared as well.
+
+Pinning is eager: the copy is written when the query is built. Copies are deleted at the end of
+``pinned_scope``, by ``drop_pinned``, or else when the Python process ends.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: dict[str, str] = {}
-_pinned: dict[str, list[str]] = {}
+
+@dataclass(frozen=True)
+class _Copy:
+    app: str
+    path: str
+    jvm: object
+    conf: object
+
+    def delete(self) -> None:
+        path = self.jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.conf).delete(path, True)
+
+
+_copies: list[_Copy] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _local_folder[app]
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pinned").rstrip("/")
 
 
 def pin(df: DataFrame, label: str) -> DataFrame:
@@ -36,17 +48,38 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     which decides on broadcasts from it.
     """
     spark = df.sparkSession
+    context = spark.sparkContext
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _copies.append(_Copy(context.applicationId, path, spark._jvm, context._jsc.hadoopConfiguration()))
     df.write.parquet(path)
-    _pinned.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_pinned(spark: SparkSession) -> int:
     """Delete the copies this application pinned; frames built on them become unusable."""
-    jvm, context = spark._jvm, spark.sparkContext
-    paths = _pinned.pop(context.applicationId, [])
-    for text in paths:
-        path = jvm.org.apache.hadoop.fs.Path(text)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+    return _drop([c for c in _copies if c.app == spark.sparkContext.applicationId])
+
+
+@contextmanager
+def pinned_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what this application pins inside; consume results before."""
+    app = spark.sparkContext.applicationId
+    before = {c.path for c in _copies}
+    try:
+        yield
+    finally:
+        _drop([c for c in _copies if c.app == app and c.path not in before])
+
+
+def _drop(copies: list[_Copy]) -> int:
+    for copy in copies:
+        copy.delete()
+        _copies.remove(copy)
+    return len(copies)
+
+
+@atexit.register
+def _drop_rest() -> None:
+    for copy in _copies:
+        with suppress(Exception):  # the driver's JVM may be gone already
+            copy.delete()
