@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -17,9 +19,10 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from shopledger.operators.customers import retention_labels
 from shopledger.operators.evaluation import (
@@ -42,7 +45,15 @@ FOREST_GRID = {
     "minInstancesPerNode": (1, 2, 4),
 }
 
-DEEPEST = 30  # the deepest tree Spark ML grows; stands in for unbounded depth
+#: Defaults of the parameters that bound a fitted model, which lives on the driver: the deepest
+#: tree Spark ML grows (in place of unbounded depth), the thresholds tried per feature, and the
+#: labelled rows used to fit, chosen by a stable hash of the customer. Scoring covers all rows.
+MAX_DEPTH, MAX_BINS, MAX_FIT_ROWS = 30, 256, 200_000
+
+
+def fit_rows(train: DataFrame, most: int = MAX_FIT_ROWS) -> DataFrame:
+    """At most ``most`` rows of ``train``, those of the least hash of their customer."""
+    return train.orderBy(F.xxhash64("customer_id"), "customer_id").limit(most)
 
 
 def vip_frames(cust: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,15 +86,17 @@ def classifier_of(model: PipelineModel) -> Model:
     return model.stages[-1]
 
 
-def vip_estimators(train_rows: int) -> dict[str, Estimator]:
+def vip_estimators(
+    train_rows: int, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS
+) -> dict[str, Estimator]:
     """Logistic regression with unit inverse penalty, a full tree, and 100 full trees."""
     return {
         "logistic_regression": LogisticRegression(
             regParam=1.0 / train_rows, elasticNetParam=0.0, standardization=False
         ),
-        "decision_tree": DecisionTreeClassifier(maxDepth=DEEPEST, seed=SEED),
+        "decision_tree": DecisionTreeClassifier(maxDepth=max_depth, maxBins=max_bins, seed=SEED),
         "random_forest": RandomForestClassifier(
-            numTrees=100, maxDepth=DEEPEST, seed=SEED
+            numTrees=100, maxDepth=max_depth, maxBins=max_bins, seed=SEED
         ),
     }
 
@@ -94,31 +107,44 @@ def cross_validate(
     features: Sequence[str],
     k: int,
     grid: Sequence[dict] = ({},),
-    parallelism: int = 8,
-) -> CrossValidatorModel:
-    """k-fold accuracy of every grid point, and the best one fitted on all of ``train``."""
-    search = CrossValidator(
-        estimator=pipeline(estimator, features),
-        estimatorParamMaps=list(grid),
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=k,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    return search.fit(with_folds(train, k))
-
-
-def fit_vip_classifiers(train: DataFrame) -> dict[str, PipelineModel]:
+    parallelism: int | None = None,
+) -> list[list[float]]:
+    """Accuracy of every grid point (outer) on each of the k folds; nothing else is fitted.
+
+    ``parallelism`` is the number of settings fitted at a time, by default one for every two
+    cores of the session.
+    """
+    spark = train.sparkSession
+    parallelism = parallelism or max(1, spark.sparkContext.defaultParallelism // 2)
+    folds = with_folds(train, k)
+    accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
+    estimator, points = pipeline(estimator, features), list(grid)
+    scores = [[0.0] * k for _ in points]
+    for fold in range(k):
+        fit, held = (pin(folds.where(F.col("fold") == fold if side else F.col("fold") != fold), "fold") for side in (0, 1))
+
+        def score(i: int, fit: DataFrame = fit, held: DataFrame = held) -> tuple[int, float]:
+            return i, accuracy.evaluate(estimator.fit(fit, points[i]).transform(held))
+
+        with ThreadPool(min(parallelism, len(points))) as pool:
+            for i, value in pool.imap_unordered(inheritable_thread_target(score), range(len(points))):
+                scores[i][fold] = value
+    return scores
+
+
+def fit_vip_classifiers(train: DataFrame, most: int = MAX_FIT_ROWS) -> dict[str, PipelineModel]:
+    train = pin(fit_rows(train, most), "fit")
     models = vip_estimators(train.count())
     return {name: pipeline(m, VIP_FEATURES).fit(train) for name, m in models.items()}
 
 
-def vip_cross_validation(train: DataFrame, k: int = 5) -> DataFrame:
-    """Mean and standard deviation of the fold accuracies of each model."""
+def vip_cross_validation(train: DataFrame, k: int = 5, most: int = MAX_FIT_ROWS) -> DataFrame:
+    """Mean and (population) standard deviation of the fold accuracies of each model."""
+    train = pin(fit_rows(train, most), "fit")
     rows = []
     for name, estimator in vip_estimators(train.count()).items():
-        search = cross_validate(estimator, train, VIP_FEATURES, k)
-        rows.append((name, float(search.avgMetrics[0]), float(search.stdMetrics[0])))
+        scores = cross_validate(estimator, train, VIP_FEATURES, k)[0]
+        rows.append((name, fmean(scores), pstdev(scores)))
     return train.sparkSession.createDataFrame(rows, "model string, cv_mean double, cv_std double")
 
 
@@ -149,14 +175,20 @@ def feature_importance(
     return frame.orderBy(F.desc("importance"), "feature")
 
 
-def retention_tree(train: DataFrame) -> PipelineModel:
+def retention_tree(train: DataFrame, most: int = MAX_FIT_ROWS) -> PipelineModel:
     tree = DecisionTreeClassifier(maxDepth=3, seed=SEED)
-    return pipeline(tree, RETENTION_FEATURES).fit(train)
+    return pipeline(tree, RETENTION_FEATURES).fit(fit_rows(train, most))
 
 
-def retention_forest(train: DataFrame) -> PipelineModel:
+def retention_forest(train: DataFrame, most: int = MAX_FIT_ROWS) -> PipelineModel:
     forest = RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED)
-    return pipeline(forest, RETENTION_FEATURES).fit(train)
+    return pipeline(forest, RETENTION_FEATURES).fit(fit_rows(train, most))
+
+
+def retention_importances(train: DataFrame) -> DataFrame:
+    """Importances of the retention tree and forest."""
+    models = {"decision_tree": retention_tree(train), "random_forest": retention_forest(train)}
+    return _per_model({n: feature_importance(m, RETENTION_FEATURES, train) for n, m in models.items()})
 
 
 def tree_rules(model: PipelineModel, features: Sequence[str], like: DataFrame) -> DataFrame:
@@ -169,27 +201,39 @@ def tree_rules(model: PipelineModel, features: Sequence[str], like: DataFrame) -
 
 
 def grid_search(
-    train: DataFrame, grid: dict[str, Sequence] = FOREST_GRID, k: int = 3, parallelism: int = 8
-) -> tuple[DataFrame, CrossValidatorModel]:
-    """k-fold accuracy of every forest of ``grid``, best first, and the fitted search."""
+    train: DataFrame,
+    grid: dict[str, Sequence] = FOREST_GRID,
+    k: int = 3,
+    parallelism: int | None = None,
+    most: int = MAX_FIT_ROWS,
+    refit: bool = False,
+) -> tuple[DataFrame, PipelineModel | None]:
+    """k-fold accuracy of every forest of ``grid``, best first.
+
+    With ``refit`` also the best forest, fitted on all rows used; of equal scores the first
+    setting of the grid wins.
+    """
+    train = pin(fit_rows(train, most), "fit")
     forest = RandomForestClassifier(seed=SEED)
     points = ParamGridBuilder()
     for name, values in grid.items():
         points = points.addGrid(forest.getParam(name), list(values))
     maps = points.build()
-    search = cross_validate(forest, train, RETENTION_FEATURES, k, maps, parallelism)
+    scores = [fmean(s) for s in cross_validate(forest, train, RETENTION_FEATURES, k, maps, parallelism)]
     rows = [
-        (*[m[forest.getParam(name)] for name in grid], float(score))
-        for m, score in zip(maps, search.avgMetrics)
+        (*[m[forest.getParam(name)] for name in grid], score) for m, score in zip(maps, scores)
     ]
     columns = ", ".join(f"{name} int" for name in grid)
-    scores = train.sparkSession.createDataFrame(rows, f"{columns}, score double")
-    return scores.orderBy(F.desc("score"), *grid), search
+    best = None
+    if refit:
+        winner = maps[scores.index(max(scores))]
+        best = pipeline(forest, RETENTION_FEATURES).fit(train, winner)
+    table = train.sparkSession.createDataFrame(rows, f"{columns}, score double")
+    return table.orderBy(F.desc("score"), *grid), best
 
 
-def best_model_report(search: CrossValidatorModel, test: DataFrame) -> DataFrame:
+def best_model_report(best: PipelineModel, test: DataFrame) -> DataFrame:
     """Report, accuracy and importances of the winner in long form."""
-    best = search.bestModel
     report = classification_report(best.transform(test))
     scores = report.unpivot(
         "class", ["precision", "recall", "f1"], "measure", "value"

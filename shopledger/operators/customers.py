@@ -112,10 +112,12 @@ def segment_lookup(tx: DataFrame) -> DataFrame:
     return customer_table(tx, SCORED).select("customer_id", "customer_segment")
 
 
-def customer_spend(tx: DataFrame, cust: DataFrame) -> DataFrame:
-    """Total spend of each customer, joined back on the customer table."""
-    spend = tx.groupBy("customer_id").agg(F.sum("total_value").alias("line_spend"))
-    return cust.join(spend, "customer_id", "left")
+def customer_spend(tx: DataFrame, cust: DataFrame | None = None) -> DataFrame:
+    """Orders and total spend of each customer in one pass, or the spend joined to ``cust``."""
+    spend = F.sum("total_value").alias("line_spend")
+    if cust is None:
+        return tx.groupBy("customer_id").agg(F.count_distinct("invoice").alias("num_orders"), spend)
+    return cust.join(tx.groupBy("customer_id").agg(spend), "customer_id", "left")
 
 
 def spend_band_segments(
@@ -163,6 +165,21 @@ def rfm_quartiles(rfm: DataFrame, exact: bool = True, accuracy: int = 10000) ->
     )
 
 
+def quartiles_within(rfm: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Whether each approximate quartile is right: its ranks lie within n / ``accuracy`` of the
+    wanted one. One pass for the sketches, one to count the rows below and up to each."""
+    near = rfm_quartiles(rfm, exact=False).first()
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    checks = []
+    for c in RFM:
+        for (name, p), value in zip(shares.items(), near[f"{c}_quartiles"]):
+            x, n = F.col(c).cast("double"), F.count(c)
+            below = F.count(F.when(x < value, 1)) <= n * p + n / accuracy + 1
+            upto = F.count(F.when(x <= value, 1)) >= n * p - n / accuracy - 1
+            checks.append((below & upto).alias(f"{c}_{name}"))
+    return rfm.agg(*checks)
+
+
 def clv_analysis(tx: DataFrame) -> DataFrame:
     """Spend per day between first and last purchase; null for one-day customers."""
     return (

@@ -24,10 +24,10 @@ def vip_revenue_share(cust: DataFrame, tx: DataFrame | None = None) -> DataFrame
 
 
 def season_gap(tx: DataFrame) -> DataFrame:
-    """Best and worst season by revenue, and the gap in percent."""
+    """Best and worst season by revenue, and the gap in percent; equal revenues go by name."""
     return season_revenue(tx).agg(
-        F.max_by("season", "revenue").alias("best_season"),
-        F.min_by("season", "revenue").alias("worst_season"),
+        F.max_by("season", F.struct("revenue", "season")).alias("best_season"),
+        F.min_by("season", F.struct("revenue", "season")).alias("worst_season"),
         percent_change(F.min("revenue"), F.max("revenue")).alias("gap_pct"),
     )
 
@@ -35,7 +35,7 @@ def season_gap(tx: DataFrame) -> DataFrame:
 def dominant_price_segment(tx: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
     """Price segment of highest revenue and its share."""
     return price_segment_share(tx, lookup).agg(
-        F.max_by("price_segment", "revenue").alias("price_segment"),
+        F.max_by("price_segment", F.struct("revenue", "price_segment")).alias("price_segment"),
         F.max("share").alias("share"),
     )
 

@@ -233,6 +233,23 @@ def cohort_matrix_literal(activity: DataFrame) -> DataFrame:
     )
 
 
+def cohort_lines(retention: DataFrame) -> DataFrame:
+    """One row per cohort: its number of months, and the retention of each in order.
+
+    ``retentions`` is text with four digits per month, comma-separated and empty for a month
+    without purchases, so every month of any data fits. A cohort has one element per month.
+    """
+    pairs = F.map_from_entries(F.collect_list(F.struct("months_since_first", "retention")))
+    df = retention.groupBy("cohort_month").agg((F.max("months_since_first") + 1).alias("months"), pairs.alias("by"))
+    digits = F.transform(
+        F.sequence(F.lit(0), F.col("months") - 1),
+        lambda m: F.coalesce(F.format_string("%.4f", F.rint(F.try_element_at("by", m) * 10000.0) / 10000.0), F.lit("")),
+    )
+    missing = F.transform(F.sequence(F.lit(0), F.col("months") - 1), lambda m: F.try_element_at("by", m).isNull())
+    told = F.zip_with(digits, missing, lambda d, none: F.when(none, F.lit("")).otherwise(d))
+    return df.select("cohort_month", "months", F.array_join(told, ",").alias("retentions"))
+
+
 def cohort_wide(retention: DataFrame, months: int) -> DataFrame:
     """Retention as one row per cohort and one column per month, 0 to ``months``."""
     return (

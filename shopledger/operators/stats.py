@@ -102,7 +102,10 @@ def segment_season_correlation(tx: DataFrame, lookup: DataFrame | None = None) -
 
 
 def order_value_normality(tx: DataFrame) -> DataFrame:
-    """D'Agostino-Pearson K squared of the order values; normal if p is above 0.05."""
+    """D'Agostino-Pearson K squared of the order values; normal if p is above 0.05.
+
+    Null below eight orders, for which the skewness score is not defined, and for equal values.
+    """
     orders = tx.groupBy("invoice").agg(F.sum("total_value").cast("double").alias("value"))
     moments = orders.agg(
         F.count("value").cast("double").alias("n"),
@@ -111,7 +114,7 @@ def order_value_normality(tx: DataFrame) -> DataFrame:
     )
     z1, z2 = _skew_score(F.col("n"), F.col("skew")), _kurtosis_score(F.col("n"), F.col("excess"))
     return (
-        moments.withColumn("statistic", z1 * z1 + z2 * z2)
+        moments.withColumn("statistic", F.when(F.col("n") >= 8, z1 * z1 + z2 * z2))
         .withColumn("p_value", F.exp(-F.col("statistic") / 2))
         .withColumn("is_normal", F.col("p_value") > LEVEL)
         .select("statistic", "p_value", "is_normal")
@@ -120,27 +123,27 @@ def order_value_normality(tx: DataFrame) -> DataFrame:
 
 def _skew_score(n: Column, skew: Column) -> Column:
     """Normal score of the skewness (D'Agostino 1970)."""
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = (
-        3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
-        / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    y = skew * F.sqrt(F.try_divide((n + 1) * (n + 3), 6 * (n - 2)))
+    beta = F.try_divide(
+        3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3), (n - 2) * (n + 5) * (n + 7) * (n + 9)
     )
     w2 = F.sqrt(2 * (beta - 1)) - 1
-    return F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(F.log(w2) / 2)
+    return F.try_divide(F.asinh(F.try_divide(y, F.sqrt(F.try_divide(F.lit(2.0), w2 - 1)))), F.sqrt(F.log(w2) / 2))
 
 
 def _kurtosis_score(n: Column, excess: Column) -> Column:
     """Normal score of the kurtosis (Anscombe and Glynn 1983)."""
     mean = 3 * (n - 1) / (n + 1)
     variance = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (excess + 3 - mean) / F.sqrt(variance)
+    x = F.try_divide(excess + 3 - mean, F.sqrt(variance))
     skew = (
         6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-        * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+        * F.sqrt(F.try_divide(6 * (n + 3) * (n + 5), n * (n - 2) * (n - 3)))
     )
-    a = 6 + 8 / skew * (2 / skew + F.sqrt(1 + 4 / (skew * skew)))
-    cube = F.cbrt((1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4))))
-    return (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
+    over = lambda c, by: F.try_divide(F.lit(c), by)
+    a = 6 + over(8.0, skew) * (over(2.0, skew) + F.sqrt(1 + over(4.0, skew * skew)))
+    cube = F.cbrt(F.try_divide(1 - over(2.0, a), 1 + x * F.sqrt(over(2.0, a - 4))))
+    return F.try_divide(1 - over(2.0, 9 * a) - cube, F.sqrt(over(2.0, 9 * a)))
 
 
 def segment_anova(cust: DataFrame) -> DataFrame:

@@ -15,13 +15,11 @@ from shopledger.operators import periods, products, reports, stats
 from shopledger.plans.pinning import pin
 from shopledger.plans.results import shaped
 from shopledger.sources import testdata
-from shopledger.sources.readers import apply_schema, stack
+from shopledger.sources.readers import apply_schema
 
 # The last two complete years of the given orders.
 Y0, Y1 = 1999, 2000
 PERIOD = ("1996-03-01", "1997-02-28")
-# The report on the winner searches this part of the grid; "grid_search" itself runs all of it.
-SMALL_GRID = {"numTrees": (50,), "maxDepth": (5, 10), "minInstancesPerNode": (1, 4)}
 
 
 class Given:
@@ -46,8 +44,8 @@ class Given:
 
     @cached_property
     def parts(self) -> DataFrame:
-        """Order lines and purchase events stacked; the events lack three columns."""
-        return apply_schema(stack([self.raw("description", "country"), self.events]))
+        """The stored order lines and events, read as two parts; each lacks some columns."""
+        return testdata.stored(self.spark, self.folder)
 
     def cust(self, *columns: str) -> DataFrame:
         """Scored and segmented customers, with the named features beside the scored ones."""
@@ -97,8 +95,11 @@ class Given:
 
     @cached_property
     def retention_frames(self) -> tuple[DataFrame, DataFrame]:
+        return self.retention(True)
+
+    def retention(self, include_new: bool) -> tuple[DataFrame, DataFrame]:
         features = [*ml.RETENTION_FEATURES, "first_purchase", "last_purchase"]
-        return ml.retention_frames(self.base(*features), Y1)
+        return ml.retention_frames(self.base(*features), Y1, include_new)
 
 
 @dataclass(frozen=True)
@@ -114,8 +115,8 @@ def _source_totals(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("num_lines"),
         F.count("stock_code").alias("with_stock_code"),
-        F.count("description").alias("with_description"),
-        F.count("country").alias("with_country"),
+        F.count("invoice_date").alias("with_invoice_date"),
+        F.count("customer_id").alias("with_customer_id"),
         F.sum("quantity").alias("quantity"),
         F.sum("price").alias("price"),
     )
@@ -155,8 +156,8 @@ def _vip_importances(given: Given) -> DataFrame:
     return ml.vip_importances(ml.fit_vip_classifiers(train), train)
 
 
-def _retention(given: Given, fit: Callable) -> DataFrame:
-    train, test = given.retention_frames
+def _retention(given: Given, fit: Callable, include_new: bool = True) -> DataFrame:
+    train, test = given.retention(include_new)
     return evaluation.classification_report(fit(train).transform(test))
 
 
@@ -172,7 +173,7 @@ def _dependence(given: Given, fit: Callable) -> DataFrame:
 
 def _best_model(given: Given) -> DataFrame:
     train, test = given.retention_frames
-    _, search = ml.grid_search(train, SMALL_GRID)
+    _, search = ml.grid_search(train, refit=True)
     return ml.best_model_report(search, test)
 
 
@@ -184,9 +185,17 @@ COMPARE = "metric:s, before:4, after:4, change_pct:1, change:4"
 QUERIES: dict[str, Query] = {
     # Sources, cleaning
     "read_transactions": Query(
-        "num_lines:i, with_stock_code:i, with_description:i, with_country:i, quantity:i, price:4",
+        "num_lines:i, with_stock_code:i, with_invoice_date:i, with_customer_id:i, quantity:i, price:4",
         lambda g: _source_totals(g.parts),
     ),
+    "read_single": Query(
+        "num_lines:i, with_stock_code:i, with_invoice_date:i, with_customer_id:i, quantity:i, price:4",
+        lambda g: _source_totals(testdata.stored_lines(g.spark, g.folder)),
+    ),
+    "apply_schema": Query(
+        "invoice:s, stock_code:s, customer_id:s, quantity:i, price:4, invoice_date:t",
+        lambda g: apply_schema(g.raw()),
+    ),
     "clean_transactions": Query(LINE, lambda g: cleaning.clean_transactions(g.raw())),
     "dataset_overview": Query(
         "total_revenue:4, unique_customers:i, total_transactions:i, avg_order_value:4",
@@ -211,7 +220,9 @@ QUERIES: dict[str, Query] = {
     ),
     "with_calendar": Query(
         "invoice:s, invoice_date:t, month:i, day_of_week:i, hour:i",
-        lambda g: cleaning.with_calendar(g.events),
+        lambda g: cleaning.with_calendar(
+            g.events.select("invoice", "invoice_date").unionByName(g.raw().select("invoice", "invoice_date"))
+        ),
     ),
     "with_season": Query(
         "invoice:s, stock_code:s, invoice_date:t, quantity:i, price:4, season:s",
@@ -247,8 +258,7 @@ QUERIES: dict[str, Query] = {
         "customer_id:s, r_score:i, f_score:i, m_score:i, customer_segment:s", lambda g: g.cust()
     ),
     "customer_spend": Query(
-        "customer_id:s, num_orders:i, line_spend:4",
-        lambda g: customers.customer_spend(g.tx, g.base("num_orders")),
+        "customer_id:s, num_orders:i, line_spend:4", lambda g: customers.customer_spend(g.tx)
     ),
     "spend_band_segments": Query(
         SPEND + ", spend_band:s",
@@ -266,14 +276,8 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "rfm_quartiles_approx": Query(
-        ", ".join(f"{c}_{q}:4" for c in customers.RFM for q in ("q1", "median", "q3")),
-        lambda g: customers.rfm_quartiles(g.rfm, exact=False).select(
-            *[
-                F.col(f"{c}_quartiles")[i].alias(f"{c}_{q}")
-                for c in customers.RFM
-                for i, q in enumerate(("q1", "median", "q3"))
-            ]
-        ),
+        ", ".join(f"{c}_{q}:b" for c in customers.RFM for q in ("q1", "median", "q3")),
+        lambda g: customers.quartiles_within(g.rfm),
     ),
     "clv_analysis": Query(
         SPEND + ", avg_transaction:4, num_transactions:i, customer_lifetime_days:i, clv_score:4",
@@ -500,10 +504,8 @@ QUERIES: dict[str, Query] = {
         lambda g: periods.cohort_retention(periods.cohort_activity(g.tx)),
     ),
     "cohort_retention_wide": Query(
-        "cohort_month:m, m0:4, m1:4, m2:4, m3:4, m4:4, m5:4, m6:4",
-        lambda g: periods.cohort_wide(
-            periods.cohort_retention(periods.cohort_activity(g.tx)), 6
-        ).withColumnsRenamed({str(i): f"m{i}" for i in range(7)}),
+        "cohort_month:m, months:i, retentions:s",
+        lambda g: periods.cohort_lines(periods.cohort_retention(periods.cohort_activity(g.tx))),
     ),
     "cohort_matrix_literal": Query(
         "invoice_month:m, first_month:m, customers:i, share:4",
@@ -543,6 +545,16 @@ QUERIES: dict[str, Query] = {
     ),
     "feature_importance": Query("model:s, feature:s, importance:6", _vip_importances),
     "retention_tree": Query(REPORT, lambda g: _retention(g, ml.retention_tree)),
+    "retention_importance": Query(
+        "model:s, feature:s, importance:6", lambda g: ml.retention_importances(g.retention_frames[0])
+    ),
+    "retention_confusion": Query(
+        "label:i, predicted_0:i, predicted_1:i",
+        lambda g: evaluation.confusion_matrix(
+            ml.retention_tree(g.retention_frames[0]).transform(g.retention_frames[1])
+        ),
+    ),
+    "retention_tree_without_new": Query(REPORT, lambda g: _retention(g, ml.retention_tree, False)),
     "retention_tree_rules": Query("line:i, rule:s", _tree_rules),
     "retention_forest": Query(REPORT, lambda g: _retention(g, ml.retention_forest)),
     "partial_dependence": Query(

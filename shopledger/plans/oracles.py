@@ -288,15 +288,25 @@ EVENTS = """
 SELECT CAST(event_id AS VARCHAR) AS invoice, ts AS invoice_date, month(ts) AS month,
        isodow(ts) - 1 AS day_of_week, hour(ts) AS hour, 1 AS quantity,
        CAST(value AS DECIMAL(18, 4)) AS price
-FROM events WHERE event_type = 'purchase'"""
+FROM events UNION ALL
+SELECT invoice, invoice_date, month(invoice_date), isodow(invoice_date) - 1, hour(invoice_date), quantity, price
+FROM raw"""
+
+STORED_LINES = """
+SELECT l_partkey AS stock_code, CAST(NULL AS TIMESTAMP) AS invoice_date, CAST(NULL AS BIGINT) AS customer_id,
+       CAST(l_quantity AS INT) AS quantity, CAST(l_extendedprice AS DECIMAL(18, 4)) AS price FROM lineitem"""
 
 SQL = {
     "read_transactions": f"""
 SELECT count(*) AS num_lines, count(stock_code) AS with_stock_code,
-       count(description) AS with_description, count(country) AS with_country,
-       sum(quantity) AS quantity, sum(price) AS price
-FROM (SELECT stock_code, description, country, quantity, price FROM raw
-      UNION ALL SELECT NULL, NULL, NULL, quantity, price FROM ({EVENTS}))""",
+       count(invoice_date) AS with_invoice_date, count(customer_id) AS with_customer_id,
+       sum(quantity) AS quantity, sum(price) AS price FROM ({STORED_LINES}
+      UNION ALL SELECT NULL, ts, user_id, NULL, CAST(value AS DECIMAL(18, 4)) FROM events)""",
+    "read_single": f"""
+SELECT count(*) AS num_lines, count(stock_code) AS with_stock_code,
+       count(invoice_date) AS with_invoice_date, count(customer_id) AS with_customer_id,
+       sum(quantity) AS quantity, sum(price) AS price FROM ({STORED_LINES})""",
+    "apply_schema": "SELECT * FROM raw",
     "clean_transactions": "SELECT * FROM tx",
     "dataset_overview": """
 SELECT sum(total_value) AS total_revenue, count(DISTINCT customer_id) AS unique_customers,
@@ -334,6 +344,9 @@ SELECT customer_id, total_spend, CASE WHEN total_spend > 0 AND total_spend <= 50
        WHEN total_spend > 1000 AND total_spend <= 5000 THEN 'Loyal'
        WHEN total_spend > 5000 THEN 'VIP' END AS spend_band FROM feat""",
     "rfm_analysis": "SELECT * FROM rfm",
+    "rfm_quartiles_approx": "SELECT "
+    + ", ".join(f"true AS {c}_{q}" for c in ("recency", "frequency", "monetary") for q in ("q1", "median", "q3"))
+    + " FROM (SELECT count(*) FROM rfm)",
     "rfm_quartiles": "SELECT "
     + ", ".join(
         f"quantile_cont(CAST({c} AS DOUBLE), {p}) AS {c}_{q}"
@@ -499,9 +512,12 @@ FROM (SELECT *, CAST(retained_value_before AS DOUBLE) / retained AS before,
              CAST(retained_value_after AS DOUBLE) / retained AS after FROM sizes, kept_value)""",
     "cohort_activity": "SELECT * FROM activity",
     "cohort_retention": "SELECT * FROM cohorts",
-    "cohort_retention_wide": "SELECT cohort_month, "
-    + ", ".join(f"max(retention) FILTER (months_since_first = {i}) AS m{i}" for i in range(7))
-    + " FROM cohorts GROUP BY 1",
+    "cohort_retention_wide": """
+SELECT cohort_month, max(months_since_first) + 1 AS months,
+       string_agg(coalesce(printf('%.4f', round_even(retention * 10000.0, 0) / 10000.0), ''), ',' ORDER BY m) AS retentions
+FROM (SELECT c.cohort_month, m, retention, max(months_since_first) OVER (PARTITION BY c.cohort_month) AS months_since_first
+      FROM (SELECT cohort_month, unnest(range(max(months_since_first) + 1)) AS m FROM cohorts GROUP BY 1) c
+      LEFT JOIN cohorts r ON r.cohort_month = c.cohort_month AND r.months_since_first = m) GROUP BY 1""",
     "cohort_matrix_literal": """
 SELECT a.*, 100 * a.customers / o.customers AS share FROM activity a LEFT JOIN (
   SELECT invoice_month, customers FROM activity

@@ -1,8 +1,8 @@
 """One declared shape per registered query, applied alike to Spark results and to oracle SQL.
 
 A shape lists ``column:kind``. Kinds: ``i`` whole number, ``s`` text, ``b`` boolean, ``t``
-timestamp, ``m`` month, and a digit count for a double rounded to it. Both sides round by the
-same arithmetic, since the engines' own rounding functions differ on ties.
+timestamp, ``m`` month, and a digit count for a double rounded to it. Both sides round half to
+even by the same arithmetic, which stays in doubles and so has no greatest value.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def shaped(df: DataFrame, shape: str) -> DataFrame:
         c = F.col(name)
         if kind.isdigit():
             scale = F.lit(float(10 ** int(kind)))
-            c = F.floor(c.cast("double") * scale + F.lit(0.5)) / scale
+            c = F.rint(c.cast("double") * scale) / scale
         elif kind in "is":
             c = c.cast({"i": "bigint", "s": "string"}[kind])
         elif kind == "m":
@@ -36,7 +36,7 @@ def shaped_sql(sql: str, ctes: dict[str, str], shape: str) -> str:
     def cell(name: str, kind: str) -> str:
         if kind.isdigit():
             scale = f"CAST({10 ** int(kind)} AS DOUBLE)"
-            return f"floor(CAST({name} AS DOUBLE) * {scale} + 0.5) / {scale} AS {name}"
+            return f"round_even(CAST({name} AS DOUBLE) * {scale}, 0) / {scale} AS {name}"
         if kind in "is":
             return f"CAST({name} AS {'BIGINT' if kind == 'i' else 'VARCHAR'}) AS {name}"
         if kind == "m":

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,24 +38,22 @@ HEADERS = {
 
 
 def read_transactions(
-    spark: SparkSession, paths: str | Sequence[str], fmt: str = "parquet", **options: str
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    fmt: str = "parquet",
+    columns: Mapping[str, str] | None = None,
+    malformed: str = "fail",
+    **options: str,
 ) -> DataFrame:
-    """Read every part and stack them; one path reads a single file or folder."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    options = {"header": "true", **options} if fmt == "csv" else options
-    return apply_schema(
-        stack([rename_headers(spark.read.format(fmt).options(**options).load(p)) for p in paths])
-    )
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rehash a scan that has fewer splits than the cluster has cores.
+    """Read every part and stack them; one path reads a single file or folder.
 
-    A few unsplittable files (one row group, gzipped text) would keep all later narrow work in
-    as few tasks. A table of many splits is returned as it is.
+    ``columns`` maps the files' headers to the names used here, ``HEADERS`` by default.
+    ``malformed="null"`` turns cells that do not fit the schema into nulls instead of failing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    options = {"header": "true", **options} if fmt == "csv" else options
+    parts = [rename_headers(spark.read.format(fmt).options(**options).load(p), columns) for p in paths]
+    return apply_schema(stack(parts), malformed=malformed)
 
 
 def stack(parts: Sequence[DataFrame]) -> DataFrame:
@@ -63,32 +61,48 @@ def stack(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def rename_headers(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({h: n for h, n in HEADERS.items() if h in df.columns})
+def rename_headers(df: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
+    columns = HEADERS if columns is None else columns
+    return df.withColumnsRenamed({h: n for h, n in columns.items() if h in df.columns})
+
 
+def apply_schema(
+    df: DataFrame, schema: T.StructType = TRANSACTION_SCHEMA, malformed: str = "fail"
+) -> DataFrame:
+    """Select and cast the columns of ``schema``; absent ones become null.
 
-def apply_schema(df: DataFrame, schema: T.StructType = TRANSACTION_SCHEMA) -> DataFrame:
-    """Select and cast the columns of ``schema``; absent ones become null."""
+    Whole numbers may be written with zeros after the point (``6.0``). Any other cell that does
+    not fit its column fails the read, or is null with ``malformed="null"``.
+    """
     df = normalize_keys(df)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema
-        ]
-    )
+
+    def cell(field: T.StructField) -> Column:
+        if field.name not in df.columns:
+            return F.lit(None).cast(field.dataType)
+        c = F.col(field.name)
+        if isinstance(field.dataType, T.IntegralType) and isinstance(df.schema[field.name].dataType, T.StringType):
+            c = F.regexp_replace(F.trim(c), r"^([+-]?\d+)\.0*$", "$1")
+        return c.try_cast(field.dataType) if malformed == "null" else c.cast(field.dataType)
+
+    return df.select(*[cell(f).alias(f.name) for f in schema])
 
 
-def normalize_keys(df: DataFrame, keys: Sequence[str] = ("customer_id", "stock_code")) -> DataFrame:
-    """Keys as text: numbers as integer text, and ``13085.0`` style text without its zeros."""
+def normalize_keys(
+    df: DataFrame, keys: Sequence[str] = ("customer_id", "stock_code", "invoice")
+) -> DataFrame:
+    """Keys as text: whole numbers as integer text, ``13085.0`` style text without its zeros.
+
+    A number that is not whole keeps its own text, so no two keys become one.
+    """
     for key in keys:
         if key not in df.columns:
             continue
-        kind = df.schema[key].dataType
+        kind, c = df.schema[key].dataType, F.col(key)
+        text = c.cast("string")
         if isinstance(kind, T.StringType):
             text = F.regexp_replace(key, r"^(\d+)\.0+$", "$1")
-        elif isinstance(kind, T.NumericType):
-            text = F.col(key).cast("bigint").cast("string")
-        else:
-            text = F.col(key).cast("string")
+        elif isinstance(kind, T.FractionalType):
+            whole = c.try_cast("decimal(38,0)")
+            text = F.when(c == F.floor(c), F.coalesce(whole.cast("string"), text)).otherwise(text)
         df = df.withColumn(key, text)
     return df
