@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopledger.plans.pinning import pin
+from shopledger.plans.shipping import ship
 
 #: Mean bytes per chunk (a power of two), bytes the rolling hash sees, and bits of the bitmap (1 MB).
 CHUNK_BYTES, WINDOW, BITMAP_BITS = 1024, 16, 1 << 23
@@ -222,6 +223,7 @@ def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id"
     and empty texts have no ids. Repeated rows are encoded each; other columns are ignored. The
     parts of documents with shared chunks, and those chunks, are written to the shared folder.
     """
+    ship(docs.sparkSession)
     kept = F.struct(*[F.col(f"`{k}`") for k in keep]).alias("kept")
     df = docs.select(kept, "text")
     bitmap = _shared_bitmap(docs)

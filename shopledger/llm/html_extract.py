@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopledger.plans.shipping import ship
+
 # Fixed values of HTML: elements without content, with raw content, and that lie in lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template".split())
@@ -342,6 +344,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     Null, empty and text-free pages give the empty text; repeated rows stay. A column named
     ``text`` in the input is replaced.
     """
+    ship(pages.sparkSession)
     others = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "text")]
     return pages.select(*others, _main_text(F.coalesce(F.col(f"`{html}`"), F.lit(""))).alias("text"))
 

@@ -1,19 +1,21 @@
 """N-gram Jaccard join by vertical partitioning, and the groups it links.
 
-A document is the set of its distinct word n-grams, as 64-bit hashes; the hash order is the
-global n-gram order. The order is cut into fragments, and so is every set, at the same places.
-
-* Candidates: sets linked at ``percent`` differ in at most ``d <= (|x|+|y|)(100-p)/(100+p)``
-  n-grams. With more than d non-empty segments, one segment at least is equal in both. So equal
-  segments (by fragment and content) are where linked sets meet. Unlike single frequent n-grams,
-  whole segments are rarely shared by sets that are not alike, which keeps the lists short
-  without counting frequencies.
+A document is the set of its distinct word n-grams, as 64-bit hashes. Equal sets form one class,
+and only classes are compared. Linked sets differ in at most ``d = (|x|+|y|)(100-p)/(100+p)``
+n-grams; everything follows from that.
+
+* Who can have a partner at all: the hash order is cut into more than d fragments, so a linked
+  pair has an equal, non-empty segment in one of them. Classes that share no segment with
+  another are done.
+* Candidates among the rest: their sets are cut vertically into fragments, every fragment counts
+  how often its n-grams occur, and the global n-gram order goes by that count, rarest first.
+  The first n-grams of two linked sets have one in common. A set with rare n-grams of its own
+  therefore never meets those that merely share a frequent passage with it.
 * Verification: overlaps are counted fragment by fragment and summed per pair.
 
-Equal sets form one class, and only classes are compared. In every list of classes that share a
-segment, all are compared with one leader; those it links are one component and need no more
-pairs among them. Lists that still hold several components get new leaders, and after
-``star_rounds`` all pairs between different components. So a group of near copies costs a few
+In every list of classes with a common n-gram, all are first compared with one leader; those it
+links are one component and need no more pairs among them. After ``star_rounds`` such rounds all
+pairs between different components are compared. So a group of near copies costs a few
 comparisons each, not all pairs, and no link between components is lost.
 """
 
@@ -30,10 +32,11 @@ from pyspark.sql import functions as F
 
 from shopledger.llm.common import private
 from shopledger.plans.pinning import pin
+from shopledger.plans.shipping import ship
 
 WORDS, PERCENT = 3, 90
-#: Fragments for counting overlaps, and bits of the bitmap of classes whose sets are needed.
-FRAGMENTS, BITMAP_BITS = 8, 1 << 23
+#: N-grams in a fragment of all sets, and bits of the bitmap of classes whose sets are needed.
+FRAGMENT_GRAMS, BITMAP_BITS = 2_000_000, 1 << 23
 _BLOCK = 32_768
 _U = np.uint64
 
@@ -128,42 +131,36 @@ def described(docs: DataFrame, keep: Sequence[str], n: int) -> DataFrame:
     return df.mapInArrow(rows, schema)
 
 
-def _lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, cls, size, native) of the lists that hold two classes or more."""
+def _meeting(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cls, size) of the classes that share a segment with another class."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a class gives its keys once per task
         for batch in batches:
-            keys, classes, sizes, natives = [], [], [], []
+            keys, classes, sizes = [], [], []
             for _, cls, found in _sets(batch, n):
                 if len(found) == 0 or cls in seen:
                     continue
                 seen.add(cls)
-                for k, native in segment_keys(found, percent):
+                for k, _ in segment_keys(found, percent):
                     keys.append(k)
                     classes += [cls] * len(k)
                     sizes += [len(found)] * len(k)
-                    natives += [native] * len(k)
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            yield pa.record_batch(
-                [
-                    pa.array(flat.view(np.int64)), pa.array(classes, pa.binary()),
-                    pa.array(sizes, pa.int32()), pa.array(natives, pa.bool_()),
-                ],
-                ["key", "cls", "size", "native"],
-            )
-
-    df = docs.select("text").mapInArrow(rows, "key bigint, cls binary, size int, native boolean")
+            columns = [pa.array(flat.view(np.int64)), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.record_batch(columns, ["key", "cls", "size"])
+
+    df = docs.select("text").mapInArrow(rows, "key bigint, cls binary, size int")
     whole = Window.partitionBy("key")
     df = df.select("*", F.min("cls").over(whole).alias("_a"), F.max("cls").over(whole).alias("_z"))
-    return df.where("_a <> _z").select("key", "cls", "size", "native")
+    return df.where("_a <> _z").select("cls", "size").distinct()
 
 
-def _needed(lists: DataFrame) -> bytes:
-    """Bits of the classes in the lists, 1 MB at most."""
+def _needed(classes: DataFrame) -> bytes:
+    """Bits of the classes, 1 MB at most."""
     word = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("bigint")
     bit = (word % BITMAP_BITS).cast("int")
-    blocks = lists.select(bit.alias("bit")).groupBy(F.expr(f"bit div {_BLOCK}").cast("int").alias("block"))
+    blocks = classes.select(bit.alias("bit")).groupBy(F.expr(f"bit div {_BLOCK}").cast("int").alias("block"))
     rows = blocks.agg(F.bitmap_construct_agg(F.col("bit") % _BLOCK).alias("bits")).collect()
     out = bytearray(BITMAP_BITS // 8)
     for row in rows:
@@ -172,49 +169,125 @@ def _needed(lists: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _segments(docs: DataFrame, lists: DataFrame, n: int) -> DataFrame:
-    """(cls, fragment, grams) of the classes in the lists, and some others by chance."""
-    sent = docs.sparkSession.sparkContext.broadcast(_needed(lists))
+def _segments(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(id, size, fragment, grams) of the classes; the order is cut so that a fragment of all sets
+    has about ``FRAGMENT_GRAMS`` n-grams."""
+    sent = docs.sparkSession.sparkContext.broadcast(_needed(classes))
+    grams = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    fragments = max(8, -(-grams // FRAGMENT_GRAMS))
+    cuts = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         bits = sent.value
         for batch in batches:
-            classes, numbers, parts = [], [], []
+            names, numbers, parts = [], [], []
             for _, cls, found in _sets(batch, n):
                 bit = _bit(cls)
                 if not bits[bit >> 3] >> (bit & 7) & 1 or cls in seen:
                     continue
                 seen.add(cls)
-                cuts = [(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)]
-                for i, part in enumerate(np.split(found, np.searchsorted(found, np.array(cuts, np.uint64)))):
-                    if len(part):
-                        classes.append(cls)
-                        numbers.append(i)
-                        parts.append(part.view(np.int64))
-            grams = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            offsets = np.cumsum([0, *map(len, parts)])
+                at = np.searchsorted(cuts, found, "right")
+                filled = np.unique(at)
+                for i, part in zip(filled, np.split(found, np.searchsorted(at, filled[1:])), strict=True):
+                    names.append(cls)
+                    numbers.append(int(i))
+                    parts.append(part.view(np.int64))
             yield pa.record_batch(
-                [
-                    pa.array(classes, pa.binary()), pa.array(numbers, pa.int32()),
-                    pa.LargeListArray.from_arrays(offsets, grams).cast(pa.list_(pa.int64())),
-                ],
+                [pa.array(names, pa.binary()), pa.array(numbers, pa.int32()), _lists_of(parts, np.int64)],
                 ["cls", "fragment", "grams"],
-            )
+            )
 
     df = docs.select("text").mapInArrow(rows, "cls binary, fragment int, grams array<bigint>")
     # A class met in several tasks is told by each of them.
-    return df.groupBy("cls", "fragment").agg(F.any_value("grams").alias("grams"))
+    return df.join(classes, "cls").groupBy("cls", "id", "size", "fragment").agg(F.any_value("grams").alias("grams")).drop("cls")
+
+
+def _lists_of(parts: Sequence[np.ndarray], kind: type) -> pa.Array:
+    flat = np.concatenate(parts) if parts else np.empty(0, kind)
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the length of each list."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = whole.value_lengths().to_numpy(zero_copy_only=False)
+    return whole.flatten().to_numpy(zero_copy_only=False), lengths
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """One fragment of all sets: each n-gram with the number of sets it is in."""
+    grams, lengths = _flat(table.column("grams"))
+    _, place, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    bounds = np.cumsum(lengths)[:-1]
+    counted = np.split(counts[place].astype(np.int64), bounds)
+    columns = [table.column("id"), table.column("size"), table.column("grams"), _lists_of(counted, np.int64)]
+    return pa.table(columns, ["id", "size", "grams", "counts"])
+
+
+def differing(size_a: int, size_b: int, percent: int) -> int:
+    """The most n-grams in which two linked sets of these sizes differ."""
+    return (size_a + size_b) * (100 - percent) // (100 + percent)
+
+
+def prefix_lengths(size: int, percent: int) -> tuple[int, int]:
+    """How many first n-grams a set shows as the smaller and as the larger one of a pair.
+
+    The smaller one has at most half of the differing n-grams; the larger one also those by
+    which it is larger.
+    """
+    smaller = differing(size, size * 100 // percent, percent) // 2 + 1
+    return min(size, smaller), size - (size * percent + 99) // 100 + 1
+
+
+def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
+    """(key, id, size, pos): the first n-grams of every set in the global order, rarest first."""
+    counted = segments.groupBy("fragment").applyInArrow(
+        _counted, "id bigint, size int, grams array<bigint>, counts array<bigint>"
+    )
+    whole = counted.groupBy("id", "size").agg(
+        F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("counts")).alias("counts")
+    )
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, sizes, places = [], [], [], []
+            grams, lengths = _flat(batch.column("grams"))
+            counts, _ = _flat(batch.column("counts"))
+            start = 0
+            for i, size, length in zip(
+                batch.column("id").to_pylist(), batch.column("size").to_pylist(), lengths.tolist(), strict=True
+            ):
+                g, c = grams[start : start + length], counts[start : start + length]
+                start += length
+                n = max(prefix_lengths(size, percent))
+                first = np.lexsort((g, c))[:n]
+                keys.append(g[first])
+                ids.append(np.full(len(first), i, np.int64))
+                sizes.append(np.full(len(first), size, np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
+            kinds = (np.int64, np.int64, np.int32, np.int32)
+            arrays = [
+                pa.array(np.concatenate(c) if c else np.empty(0, k))
+                for c, k in zip((keys, ids, sizes, places), kinds, strict=True)
+            ]
+            yield pa.record_batch(arrays, ["key", "id", "size", "pos"])
+
+    df = whole.mapInArrow(rows, "key bigint, id bigint, size int, pos int")
+    lists = Window.partitionBy("key")
+    df = df.withColumn("_n", F.count(F.lit(1)).over(lists))
+    return df.where("_n > 1").drop("_n")
 
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) that are linked: partial overlaps per fragment, summed."""
-    one = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("x"))
-    two = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("y"))
+    """The pairs (a, b, sizes) that are linked: partial overlaps per fragment, summed."""
+    one = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("x"))
+    two = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("y"))
     partial = pairs.join(one, "a").join(two, ["b", "fragment"])
-    partial = partial.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("x", "y")).alias("common"))
-    total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
-    union = F.col("size_a") + F.col("size_b") - F.col("common")
+    partial = partial.select("a", "b", "sizes", F.size(F.array_intersect("x", "y")).alias("common"))
+    total = partial.groupBy("a", "b", "sizes").agg(F.sum("common").alias("common"))
+    union = F.col("sizes") - F.col("common")
     return total.where(F.col("common") * 100 >= union * percent).select("a", "b")
 
 
@@ -241,25 +314,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _may_link(percent: int) -> Column:
-    """Some member is at home in the list's scheme, and the sizes allow a link."""
-    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    return (F.col("native_a") | F.col("native_b")) & near
+    """Whether this meeting of x and y (``size_x``, ``pos_x`` and so on) can belong to a link.
+
+    The n-grams before the first common one are not common. So a set that has more of them than
+    it may have alone is not linked, or else met the other at an earlier n-gram.
+    """
+    x, y = F.col("size_x"), F.col("size_y")
+    differ = F.floor((x + y) * (100 - percent) / (100 + percent))
+    near = F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    alone_x, alone_y = F.floor((differ + x - y) / 2), F.floor((differ + y - x) / 2)
+    return near & (F.col("pos_x") <= alone_x) & (F.col("pos_y") <= alone_y)
 
 
 def linked_classes(docs: DataFrame, n: int, percent: int, star_rounds: int) -> DataFrame | None:
-    """(node, component) of the classes linked to another; None if none is."""
-    lists = pin(_lists(docs, n, percent), "jaccard_lists")
-    if lists.isEmpty():
+    """(cls, component) of the classes linked to another; None if none is."""
+    classes = pin(_meeting(docs, n, percent).withColumn("id", F.monotonically_increasing_id()), "jaccard_classes")
+    if classes.isEmpty():
         return None
-    segments = pin(_segments(docs, lists, n), "jaccard_segments")
+    segments = pin(_segments(docs, classes, n), "jaccard_segments")
+    lists = pin(_prefixes(segments, percent), "jaccard_lists")
     tested = links = found = None
     for turn in range(star_rounds + 1):
-        if found is None:
-            members = lists.withColumn("component", F.col("cls"))
-        else:
-            members = lists.join(found, lists["cls"] == found["node"], "left").select(
-                *lists.columns, F.coalesce("component", "cls").alias("component")
-            )
+        members = lists.withColumn("component", F.col("id"))
+        if found is not None:
+            members = lists.join(found.withColumnRenamed("node", "id"), "id", "left")
+            members = members.withColumn("component", F.coalesce("component", "id"))
             whole = Window.partitionBy("key")
             members = members.select(
                 "*", F.min("component").over(whole).alias("_a"), F.max("component").over(whole).alias("_z")
@@ -267,27 +346,22 @@ def linked_classes(docs: DataFrame, n: int, percent: int, star_rounds: int) -> D
             members = pin(members, "jaccard_members")
             if members.isEmpty():
                 break
+        fields = ("id", "size", "pos", "component")
         if turn < star_rounds:
-            # The leader: in the first round the first class at home, then another each round.
-            rank = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
-            order = Window.partitionBy("key").orderBy(F.col("native").desc(), rank)
-            first = lambda c: F.first(c).over(order)
-            pairs = members.select(
-                "cls", "size", "native", "component", first("cls").alias("_cls"), first("size").alias("_size"),
-                first("native").alias("_native"), first("component").alias("_component"),
-            )
+            # The leader is another one in every round: first the one that shows the n-gram first.
+            rank = [F.col("pos") / F.col("size")] if turn == 0 else [F.xxhash64("id", F.lit(turn))]
+            order = Window.partitionBy("key").orderBy(*rank, "id")
+            leader = [F.first(c).over(order).alias(f"{c}_y") for c in fields]
+            pairs = members.select(*[F.col(c).alias(f"{c}_x") for c in fields], *leader)
+            pairs = pairs.where(F.col("component_x") != F.col("component_y"))
         else:
-            other = members.select("key", *[F.col(c).alias(f"_{c}") for c in ("cls", "size", "native", "component")])
-            pairs = members.join(other, "key").where("cls < _cls")
-        pairs = pairs.where("component <> _component")
-        swap = F.col("cls") > F.col("_cls")
-        pick = lambda c, s: F.when(s, F.col(f"_{c}")).otherwise(F.col(c))
-        pairs = pairs.select(
-            *[pick(c, swap).alias(f"{t}_a") for c, t in (("cls", "cls"), ("size", "size"), ("native", "native"))],
-            *[pick(c, ~swap).alias(f"{t}_b") for c, t in (("cls", "cls"), ("size", "size"), ("native", "native"))],
-        )
+            one = members.select("key", *[F.col(c).alias(f"{c}_x") for c in fields])
+            two = members.select("key", *[F.col(c).alias(f"{c}_y") for c in fields])
+            pairs = one.join(two, (one["key"] == two["key"]) & (F.col("id_x") < F.col("id_y"))
+                             & (F.col("component_x") != F.col("component_y")) & _may_link(percent))
         pairs = pairs.where(_may_link(percent)).select(
-            F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "size_a", "size_b"
+            F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"),
+            (F.col("size_x") + F.col("size_y")).alias("sizes"),
         ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -297,7 +371,9 @@ def linked_classes(docs: DataFrame, n: int, percent: int, star_rounds: int) -> D
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             found = components(links)
-    return found
+    if found is None:
+        return None
+    return classes.join(found, classes["id"] == found["node"]).select("cls", "component")
 
 
 def linked_groups(
@@ -305,7 +381,7 @@ def linked_groups(
     keep: Sequence[str] = ("doc_id",),
     n: int = WORDS,
     percent: int = PERCENT,
-    star_rounds: int = 4,
+    star_rounds: int = 2,
 ) -> DataFrame:
     """One row per document: ``keep``, ``n_shingles`` and ``component_id``.
 
@@ -315,14 +391,14 @@ def linked_groups(
     other, unless blank; null ids are passed over unless a group has no other. ``docs`` needs
     ``doc_id`` and ``text``, and ``doc_id`` must be among ``keep``; other columns are ignored.
     """
+    ship(docs.sparkSession)
     about = pin(described(docs, keep, n), "jaccard_sets")
     found = linked_classes(docs, n, percent, star_rounds)
     least = about.where("n_shingles > 0").groupBy("cls").agg(F.min("kept.doc_id").alias("least"))
     if found is not None:
-        least = least.join(found, least["cls"] == found["node"], "left")
-        least = least.select("cls", "least", F.coalesce("component", "cls").alias("component"))
-        whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
-        least = least.join(whole, "component").select("cls", "component_id")
+        least = least.join(found, "cls", "left")
+        whole = least.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("_whole"))
+        least = least.join(whole, "component", "left").select("cls", F.coalesce("_whole", "least").alias("component_id"))
     else:
         least = least.withColumnRenamed("least", "component_id")
     df = about.join(least, "cls", "left")
@@ -330,7 +406,7 @@ def linked_groups(
     return df.select("kept.*", "n_shingles", own.alias("component_id"))
 
 
-def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, star_rounds: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
     """One document of each group, that of the least id, with all its columns; blank ones all stay."""
     digest, place = private(docs, "_digest"), private(docs, "_place")
     marked = docs.withColumn(digest, F.xxhash64("text"))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from shopledger.llm.common import SPACE, words
 from shopledger.plans.pinning import pin
+from shopledger.plans.shipping import ship
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -226,6 +227,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole texts as often as they are taken, and
     each run of words beyond as a row of its own. ``n_chars``, if there, is that of the new text.
     Documents of which nothing is taken have no row."""
+    ship(docs.sparkSession)
     fields = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_row")
     mix = mixture(docs.select("doc_id", "source", "text", row), ["_row"], carry=True, **options)

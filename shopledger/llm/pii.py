@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopledger.plans.pinning import pin
+from shopledger.plans.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as near it, and neighbours that make a context.
@@ -194,6 +195,7 @@ def disclosing_terms(
     docs: DataFrame, generalise_at: float = 0.9, remove_at: float = 0.97, least_contexts: int = 3
 ) -> DataFrame:
     """``term, disclosure, action`` of the terms that reveal some entity too strongly."""
+    ship(docs.sparkSession)
     near = pin(docs.select("text").mapInArrow(_near_batches, _NEAR_SCHEMA), "pii_near")
     n = near.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n"))
     counts = near.where("entity IS NOT NULL").groupBy("entity", "term").agg(F.countDistinct("context").alias("n_both"))
@@ -242,6 +244,7 @@ def personal_data(docs: DataFrame, keep: Sequence[str] = ("doc_id",), terms: Dat
     have none; repeated rows each keep theirs; other columns are ignored. ``docs`` needs
     ``text`` only, besides ``keep``.
     """
+    ship(docs.sparkSession)
     terms = disclosing_terms(docs) if terms is None else terms
     text = F.coalesce("text", F.lit(""))
     kept = F.struct(*[F.col(f"`{k}`") for k in keep]).alias("kept")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.plans.pinning import pin
+from shopledger.plans.shipping import ship
 
 #: At most so many labelled rows fit lexicon and trees, those of the least md5(doc_id).
 FIT_ROWS = 20_000
@@ -200,6 +201,7 @@ def train(
 
     Trees or calibration are None where the rows have one label only or there are none.
     """
+    ship(docs.sparkSession)
     rows = pin(training_rows(docs, labels, most), "toxic_rows")
     lexicon = learn_lexicon(rows.where("fold <> 1"))
     data = featured(rows, ["doc_id", "label", "fold"], lexicon)
