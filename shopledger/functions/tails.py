@@ -39,7 +39,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 1000):
+    for m in range(1, 1_000_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -49,8 +49,16 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(Gamma(a + b) / Gamma(a)); by series where the difference would cancel."""
+    if a < 1e5 or b > a / 100:
+        return math.lgamma(a + b) - math.lgamma(a)
+    series = b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+    return b * math.log(a) + series + (b * (b - 1)) ** 2 / (12 * a**3)
 
 
 def f_tail(x: float, df1: float, df2: float) -> float:
@@ -61,12 +69,13 @@ def f_tail(x: float, df1: float, df2: float) -> float:
     z = df2 / (df2 + df1 * x)
     if z >= 1.0:
         return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(z) + b * math.log1p(-z)
-    )
+    ratio = df1 * x / df2
+    rest = ratio / (1.0 + ratio)  # 1 - z, without its cancellation
+    gammas = _log_gamma_ratio(a, b) - math.lgamma(b) if a >= b else _log_gamma_ratio(b, a) - math.lgamma(a)
+    front = math.exp(gammas - a * math.log1p(ratio) + b * math.log(rest))
     if z < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, z) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - z) / b
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
 
 
 @F.pandas_udf(T.DoubleType())

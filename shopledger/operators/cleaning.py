@@ -11,12 +11,12 @@ VALUE_TYPE = "decimal(18,4)"
 
 
 def clean_transactions(df: DataFrame) -> DataFrame:
-    """Keep sold lines of known customers: quantity and price above 0, customer present."""
-    return df.where("quantity > 0 and price > 0 and customer_id is not null")
+    """Keep sold lines of known customers and products: quantity and price above 0, both present."""
+    return df.where("quantity > 0 and price > 0 and customer_id is not null and stock_code is not null")
 
 
 def with_total_value(df: DataFrame) -> DataFrame:
-    """``total_value`` = quantity * price, exact; it fits a long-backed decimal."""
+    """``total_value`` = quantity * price, exact; a line of 1e14 or more fails the query."""
     return df.withColumn("total_value", (F.col("quantity") * F.col("price")).cast(VALUE_TYPE))
 
 

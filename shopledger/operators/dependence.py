@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopledger.operators.classifiers import RETENTION_FEATURES, classifier_of
@@ -44,6 +44,20 @@ def split_points(model: PipelineModel, feature: int) -> list[float]:
     return sorted({float(t) for t in found})
 
 
+def stretches(model: PipelineModel, features: Sequence[str]) -> dict[str, list[float]]:
+    """The thresholds of every feature; trees see no more of a value than where it lies among them."""
+    return {f: split_points(model, i) for i, f in enumerate(features)}
+
+
+def representative(cuts: Sequence[float]) -> list[float]:
+    """One value of each stretch; a value equal to a threshold belongs to the stretch below it."""
+    return [*cuts, cuts[-1] + abs(cuts[-1]) + 1.0] if cuts else [0.0]
+
+
+def _below(cuts: Sequence[float], value: Column) -> Column:
+    return F.size(F.filter(F.lit(list(cuts)), lambda t: t < value)) if cuts else F.lit(0)
+
+
 def partial_dependence(
     model: PipelineModel,
     df: DataFrame,
@@ -53,24 +67,31 @@ def partial_dependence(
 ) -> DataFrame:
     """Mean predicted probability over all rows with one column set to each of its grid values.
 
-    Trees predict the same between two neighbouring thresholds, so each stretch of a grid is
-    predicted once, at its first point, and shared by the others. All columns share one pass.
+    Trees predict the same for all values between two neighbouring thresholds. So rows are first
+    counted per combination of stretches, of which a model with ``maxBins`` bins has a bounded
+    number; only these are expanded, once per stretch of a column, and weigh as many as they
+    stand for. ``points`` is the greatest number of grid values per column.
     """
+    cuts = stretches(model, features)
+    place = {f: _below(c, F.col(f)) for f, c in cuts.items()}
+    usual = {f: representative(c) for f, c in cuts.items()}
+    distinct = df.select(*[place[f].alias(f) for f in features]).groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
+    rows = distinct.select("n", *[F.get(F.lit(usual[f]), F.col(f)).alias(f) for f in features])
     settings, axis = [], []
     for column, grid in feature_grids(df, columns, points).items():
-        cuts = split_points(model, list(features).index(column))
         done: set[int] = set()
         for x in grid:
-            stretch = bisect_left(cuts, x)
+            stretch = bisect_left(cuts[column], x)
             axis.append((column, x, stretch))
             if stretch not in done:
                 done.add(stretch)
-                moved = [(F.lit(x) if f == column else F.col(f)).alias(f) for f in features]
+                moved = [(F.lit(usual[f][stretch]) if f == column else F.col(f)).alias(f) for f in features]
                 settings.append(
-                    F.struct(F.lit(column).alias("feature"), F.lit(stretch).alias("stretch"), *moved)
+                    F.struct(F.lit(column).alias("feature"), F.lit(stretch).alias("stretch"), "n", *moved)
                 )
-    rows = df.select(F.explode(F.array(*settings)).alias("s")).select("s.*")
+    rows = rows.select(F.explode(F.array(*settings)).alias("s")).select("s.*")
     chance = vector_to_array("probability")[1]
-    means = model.transform(rows).groupBy("feature", "stretch").agg(F.avg(chance).alias("y"))
+    mean = (F.sum(chance * F.col("n")) / F.sum("n")).alias("y")
+    means = model.transform(rows).groupBy("feature", "stretch").agg(mean)
     points_of = df.sparkSession.createDataFrame(axis, "feature string, x double, stretch int")
     return points_of.join(means, ["feature", "stretch"]).select("feature", "x", "y")

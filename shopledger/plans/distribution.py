@@ -1,22 +1,26 @@
 """Exact order statistics of grouped values, spread over the cluster.
 
-Values are first counted per (group, value), then ranked with
-:mod:`shopledger.plans.placement`; a quantile is the conditional maximum over the rows whose
-rank interval covers its position. No group is ever held in one task, which the built-in exact
-``percentile`` would do.
+A first pass takes a sketch of every group, which brackets each wanted rank: the sketch's rank
+error is bounded, so the value of that rank lies in the bracket. A second pass counts the rows
+below each bracket, and counts by value those inside; the wanted value follows from running
+counts. Nothing near the size of the data is shuffled, sorted or written, and no group is ever
+held in one task, which the built-in exact ``percentile`` would do: inside a bracket lie at
+most ``8 / ACCURACY`` of a large group's rows, besides ties, which count as one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopledger.plans.pinning import pin
-from shopledger.plans.placement import RANGE, add_running, attach, offsets, place, with_offsets
-from shopledger.plans.rows import with_row
+#: Rank error of the sketches as a share of the rows: 1 / ACCURACY.
+ACCURACY = 50_000
+#: Half widths of the brackets as shares of the rows. A group takes the narrowest one that is two
+#: rows or more on either side; the last holds all rows of a group of less than a thousand.
+MARGINS = (4 / ACCURACY, 100 / ACCURACY, 1.0)
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -42,16 +46,16 @@ class Distribution:
     def __init__(self, long: DataFrame, by: Sequence[str] = ()):
         self.long, self.keys = long, [*by, "measure"]
 
-    @cached_property
-    def counts(self) -> DataFrame:
-        """(by, measure, value, n), range-placed and pinned."""
-        counted = self.long.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
-        return place(counted, [*self.keys, "value"])
+    def _bracketed(self, probabilities: dict[str, float], *more: Column) -> DataFrame:
+        """Rows per group, the ends of the bracket of each probability, and further aggregates."""
+        wanted = list(probabilities.values())
+        ends = [min(1.0, max(0.0, p + s * m)) for m in MARGINS for s in (-1, 1) for p in wanted]
+        sketch = F.percentile_approx("value", ends, ACCURACY).alias("ends")
+        return self.long.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n_all"), sketch, *more)
 
-    @cached_property
-    def ranges(self) -> DataFrame:
-        """Rows in, before and around each (group, range); small, and pinned for its two uses."""
-        return pin(offsets(self.counts, self.keys, ["n"]), "ranges")
+    def _same(self, left: str, right: str) -> Column:
+        pairs = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in self.keys]
+        return reduce(Column.__and__, pairs)
 
     def quantiles(
         self, probabilities: dict[str, float] | None = None, alpha: float = 1.0
@@ -60,45 +64,55 @@ class Distribution:
 
         ``alpha`` sets the plotting positions: 1 is plain linear interpolation, 0.4 the nearly
         unbiased positions (alphap = betap = 0.4) of the Cunnane rule.
-
-        Only the ranges that hold a wanted rank are sorted; the others are skipped at the scan.
         """
         probabilities = probabilities or QUARTILES
-        positions = [_position(p, alpha) for p in probabilities.values()]
-        wanted = " OR ".join(
-            f"floor({at}) < n_before + n_here AND ceil({at}) >= n_before" for at in positions
-        )
-        per_range = self.ranges.where(wanted)
-        # One array of range numbers.
-        numbers = per_range.agg(F.collect_set(RANGE).alias("numbers"))
-        rows = with_row(self.counts, numbers, "_wanted").where(
-            f"array_contains(_wanted.numbers, {RANGE})"
+        return self._quantiles(self._bracketed(probabilities), probabilities, alpha)
+
+    def _quantiles(
+        self, groups: DataFrame, probabilities: dict[str, float], alpha: float = 1.0, keep: Sequence[str] = ()
+    ) -> DataFrame:
+        count = len(probabilities)
+        rows = self.long.alias("l").join(groups.select(*self.keys, "n_all", "ends").alias("g"), self._same("l", "g"))
+        value = F.col("l.value")
+        fits = [F.when(F.col("n_all") * m >= 2, F.lit(2 * count * k)) for k, m in enumerate(MARGINS[:-1])]
+        first = F.coalesce(*fits, F.lit(2 * count * (len(MARGINS) - 1)))
+        # Where a row stands to each bracket: below it (no value), inside, or above (nothing).
+        places = [
+            F.when(value < F.get("ends", first + i), F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v")))
+            .when(value <= F.get("ends", first + count + i), F.struct(F.lit(i).alias("i"), value.alias("v")))
+            for i in range(count)
+        ]
+        found = F.filter(F.array(*places), lambda p: p.isNotNull())
+        parts = (
+            rows.select(*[F.col(f"l.{k}") for k in self.keys], "n_all", F.inline(found))
+            .groupBy(*self.keys, "n_all", "i", "v")
+            .agg(F.count(F.lit(1)).alias("n"))
         )
-        rows = attach(rows.drop("_wanted"), self.keys, per_range)
-        ranked = add_running(rows, self.keys, ["value"], ["n"])
-        return ranked.groupBy(*self.keys).agg(
-            *[_interpolated(at).alias(name) for name, at in zip(probabilities, positions)]
+        upward = Window.partitionBy(*self.keys, "i").orderBy(F.col("v").asc_nulls_first())
+        ranked = parts.withColumn("n_upto", F.sum("n").over(upward))
+        positions = [_position(p, alpha) for p in probabilities.values()]
+        ranked = ranked.groupBy(*self.keys, "n_all").agg(
+            *[_interpolated(at, i).alias(name) for i, (name, at) in enumerate(zip(probabilities, positions))]
         )
+        if not keep:
+            return ranked.drop("n_all")
+        joined = groups.alias("g").join(ranked.alias("r"), self._same("g", "r"))
+        return joined.select(*[f"g.{k}" for k in self.keys], *[f"g.{k}" for k in keep], *[f"r.{q}" for q in probabilities])
 
     def describe(self) -> DataFrame:
         """count, total, mean, std (n-1), min, q1, median, q3, max.
 
-        The total is a decimal sum, which does not depend on the order of addition.
+        The total is a decimal sum of eight digits after the point, which does not depend on the
+        order of addition; values must be below 1e20.
         """
-        weighted = F.expr("cast(value AS decimal(24,8)) * cast(n AS decimal(12,0))")
-        rows = with_offsets(
-            self.counts.withColumn("weighted", weighted), self.keys, [], ["n", "weighted"]
-        )
-        mean = "double(weighted_all) / n_all"
-        moments = rows.groupBy(*self.keys).agg(
-            F.expr("max(n_all) AS count"),
-            F.expr("double(max(weighted_all)) AS total"),
-            F.expr(f"max({mean}) AS mean"),
-            F.expr(f"sqrt(try_divide(sum(n * pow(value - {mean}, 2)), max(n_all) - 1)) AS std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-        return moments.join(self.quantiles(), self.keys)
+        exact = F.sum(F.col("value").cast("decimal(28,8)"))
+        more = [
+            F.count(F.lit(1)).alias("count"), exact.cast("double").alias("total"),
+            (exact.cast("double") / F.count(F.lit(1))).alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"),
+        ]
+        groups = self._bracketed(QUARTILES, *more)
+        return self._quantiles(groups, QUARTILES, keep=["count", "total", "mean", "std", "min", "max"])
 
     def box(self) -> DataFrame:
         """Quartiles, whiskers at the extreme values inside 1.5 IQR, and outlier count."""
@@ -109,15 +123,14 @@ class Distribution:
             }
         )
         inside = "value BETWEEN low_fence AND high_fence"
-        # Fences are spread over the ranges of their group, so the join is as even as the ranges.
-        spread = self.ranges.select(*self.keys, RANGE).join(fences, self.keys)
+        joined = self.long.alias("l").join(fences.alias("f"), self._same("l", "f"))
         return (
-            self.counts.join(spread, [*self.keys, RANGE])
-            .groupBy(*self.keys, "q1", "median", "q3")
+            joined.select("l.*", *[f"f.{c}" for c in (*QUARTILES, "low_fence", "high_fence")])
+            .groupBy(*self.keys, *QUARTILES)
             .agg(
                 F.expr(f"min(value) FILTER (WHERE {inside}) AS low_whisker"),
                 F.expr(f"max(value) FILTER (WHERE {inside}) AS high_whisker"),
-                F.expr(f"sum(if({inside}, 0, n)) AS outliers"),
+                F.expr(f"count_if(NOT ({inside})) AS outliers"),
             )
         )
 
@@ -130,14 +143,14 @@ def _position(p: float, alpha: float) -> str:
     return f"least(greatest(n_all * {p}D + {shift}D, 0D), double(n_all - 1))"
 
 
-def _interpolated(position: str) -> Column:
-    low, high = _value_at(f"floor({position})"), _value_at(f"ceil({position})")
-    return F.expr(f"{low} + ({high} - {low}) * max({position} - floor({position}))")
+def _interpolated(position: str, i: int) -> Column:
+    low, high = _value_at(f"floor({position})", i), _value_at(f"ceil({position})", i)
+    return F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))")
 
 
-def _value_at(rank: str) -> str:
-    """Value at a 0-based rank: the row whose run of equal values covers it."""
-    return f"max(value) FILTER (WHERE n_upto - n <= {rank} AND {rank} < n_upto)"
+def _value_at(rank: str, i: int) -> str:
+    """Value at a 0-based rank: the row of bracket i whose run of equal values covers it."""
+    return f"max(v) FILTER (WHERE i = {i} AND n_upto - n <= {rank} AND {rank} < n_upto)"
 
 
 def one_row_quantiles(
