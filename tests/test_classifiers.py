@@ -72,8 +72,14 @@ def test_cross_validation_folds(cust):
     assert {r.fold for r in folds} == set(range(5))
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    search = ml.cross_validate(DecisionTreeClassifier(maxDepth=2), train, ml.VIP_FEATURES, 3)
-    assert 0.9 < search.avgMetrics[0] <= 1 and search.stdMetrics[0] >= 0
+    (scores,) = ml.cross_validate(DecisionTreeClassifier(maxDepth=2), train, ml.VIP_FEATURES, 3)
+    assert len(scores) == 3 and all(0.9 < s <= 1 for s in scores)
+
+
+def test_fit_rows_are_bounded_and_stable(cust):
+    some = rows(ml.fit_rows(cust, 50), "customer_id")
+    assert len(some) == 50 and some == rows(ml.fit_rows(cust.repartition(5), 50), "customer_id")
+    assert ml.fit_rows(cust).count() == 400
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +111,17 @@ def test_partial_dependence_equals_brute_force(retention):
         assert moved.agg(F.avg(vector_to_array("probability")[1])).first()[0] == pytest.approx(point.y)
 
 
+def test_partial_dependence_of_a_forest_equals_brute_force(retention):
+    train, _ = retention
+    model = ml.retention_forest(train)
+    from pyspark.ml.functions import vector_to_array
+
+    curve = sorted(partial_dependence(model, train, ["frequency"], points=7).collect(), key=lambda r: r.x)
+    for point in curve[::3]:
+        moved = model.transform(train.withColumn("frequency", F.lit(point.x)))
+        assert moved.agg(F.avg(vector_to_array("probability")[1])).first()[0] == pytest.approx(point.y)
+
+
 def test_grid_of_few_values_is_the_values(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (3.0,)], "v double")
     assert feature_grids(df, ["v"], 10) == {"v": [1.0, 3.0]}
@@ -113,8 +130,21 @@ def test_grid_of_few_values_is_the_values(spark):
 def test_grid_search_and_winner(retention):
     train, test = retention
     grid = {"numTrees": (3, 5), "maxDepth": (2,), "minInstancesPerNode": (1, 4)}
-    scores, search = ml.grid_search(train, grid, k=2)
+    scores, best = ml.grid_search(train, grid, k=2, refit=True)
     found = scores.collect()
     assert len(found) == 4 and found[0].score == max(r.score for r in found)
-    sections = {r.section for r in ml.best_model_report(search, test).collect()}
+    sections = {r.section for r in ml.best_model_report(best, test).collect()}
     assert sections == {"report", "importance"}
+    winner = ml.classifier_of(best)
+    assert winner.getNumTrees == found[0].numTrees
+    assert winner.getOrDefault("minInstancesPerNode") == found[0].minInstancesPerNode
+    assert ml.grid_search(train, grid, k=2)[1] is None
+
+
+def test_retention_importances_and_confusion(retention):
+    train, test = retention
+    weights = ml.retention_importances(train).collect()
+    for model in ("decision_tree", "random_forest"):
+        assert sum(r.importance for r in weights if r.model == model) == pytest.approx(1)
+    table = evaluation.confusion_matrix(ml.retention_tree(train).transform(test)).collect()
+    assert sum(r.predicted_0 + r.predicted_1 for r in table) == test.count()

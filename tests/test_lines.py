@@ -36,6 +36,31 @@ def test_normalize_numeric_and_text_keys(spark):
     assert normalize_keys(df).first() == ("7", "22423")
 
 
+def test_different_keys_stay_different(spark):
+    df = spark.sql("SELECT 85123.5D AS stock_code, 7.9D AS customer_id, 489434.0D AS invoice")
+    assert normalize_keys(df).select("stock_code", "customer_id", "invoice").first() == ("85123.5", "7.9", "489434")
+
+
+def test_whole_numbers_and_malformed_cells(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Invoice,Quantity,Price\n5,6.0,2.5\n6,many,1\n")
+    got = rows(read_transactions(spark, str(path), "csv", malformed="null"), "invoice", "quantity")
+    assert got == [("5", 6), ("6", None)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_transactions(spark, str(path), "csv").collect()
+
+
+def test_headers_are_an_argument(spark, tmp_path):
+    spark.sql("SELECT 'X' AS item, 3 AS pieces").write.parquet(str(tmp_path / "a"))
+    df = read_transactions(spark, str(tmp_path / "a"), columns={"item": "stock_code", "pieces": "quantity"})
+    assert rows(df, "stock_code", "quantity") == [("X", 3)]
+
+
+def test_lines_without_a_product_are_dropped(make_lines):
+    lines = make_lines([("1", "A", 1, "2020-01-01", 1, "c"), ("2", None, 1, "2020-01-01", 1, "c")])
+    assert rows(lines, "invoice") == [("1",)]
+
+
 def test_clean_drops_returns_free_and_unknown(make_lines):
     lines = make_lines(
         [

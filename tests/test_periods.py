@@ -59,3 +59,5 @@ def test_cohorts(tx):
     assert literal.customers == 1 and literal.share is None
     wide = {str(r.cohort_month): r for r in periods.cohort_wide(retention, 2).collect()}
     assert wide["2009-12-01"]["1"] == 100.0 and wide["2009-12-01"]["2"] is None
+    line = periods.cohort_lines(retention).where("cohort_month = date'2009-12-01'").first()
+    assert line.months == 14 and line.retentions == "100.0000,100.0000" + "," * 11 + ",100.0000"

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopledger.plans.distribution import Distribution, long_form, one_row_quantiles
-from shopledger.plans.pinning import pin, shared_folder
+from shopledger.plans.pinning import pin, pinned_scope, shared_folder
 from shopledger.plans.placement import RANGE, place, running_sums
+from shopledger.plans.results import shaped, shaped_sql
 
 
 def linear(values, p):
@@ -82,6 +83,51 @@ def test_quantiles_match_brute_force(spark):
             assert row[name] == pytest.approx(linear(values, p), abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 120, 999, 1001, 24_999, 60_000])
+def test_quantiles_of_groups_of_any_size(spark, n):
+    picks = random.Random(n)
+    values = [float(picks.choice([picks.randrange(10**6), picks.randrange(5)])) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    row = one_row_quantiles(df, ["v"]).first()
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert row[f"v_{name}"] == pytest.approx(linear(values, p), abs=1e-6)
+
+
+def test_quantiles_of_one_value_and_null_groups(spark):
+    df = spark.createDataFrame([(None, 3.0)] * 2000 + [("a", 1.0)], "g string, v double")
+    got = {r.g: (r.q1, r.median, r.q3) for r in Distribution(long_form(df, ["v"], ["g"]), ["g"]).quantiles().collect()}
+    assert got == {None: (3.0, 3.0, 3.0), "a": (1.0, 1.0, 1.0)}
+
+
+def test_results_are_rounded_without_a_greatest_value(spark):
+    import duckdb
+
+    text = "81000000000000000.1234, 100000000000, 922337203685478.5, 2.5, -0.00005, 1.00005, 0.12345"
+    values = [float(v) for v in text.split(",")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (4, 8):
+        got = sorted(r.x for r in shaped(df, f"x:{digits}").collect())
+        sql = shaped_sql(f"SELECT unnest([{text}]::DOUBLE[]) AS x", {}, f"x:{digits}")
+        assert got == sorted(r[0] for r in duckdb.sql(sql).fetchall())
+        assert got[-1] == 81000000000000000.0 and 1e11 in got
+
+
+def test_pinned_scope_deletes_what_it_pinned(spark):
+    with pinned_scope(spark):
+        path = pin(spark.range(3), "scoped").inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_descriptions_pin_nothing_and_join_on_keys(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "g string, v double")
+    before = set(Path(shared_folder(spark)).iterdir())
+    out = Distribution(long_form(df, ["v"], ["g"]), ["g"]).describe()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert out.count() == 2 and set(Path(shared_folder(spark)).iterdir()) == before
+
+
 def test_describe(spark):
     df = spark.createDataFrame([("a", 2.0)] * 3 + [("a", 5.0), ("b", 7.0), ("b", None)], "g string, v double")
     got = {r.g: r for r in Distribution(long_form(df, ["v"], ["g"]), ["g"]).describe().collect()}

@@ -27,6 +27,18 @@ def test_f_tail(x, d1, d2, p):
     assert f_tail(x, d1, d2) == pytest.approx(p, rel=2e-3)
 
 
+def test_f_tail_of_many_degrees_is_the_chi_squared_limit():
+    for df2 in (1e7, 1e9, 1e11):
+        assert f_tail(2.605, 3, df2) == pytest.approx(chi2_tail(3 * 2.605, 3), rel=10 / df2 + 1e-9)
+
+
+@pytest.mark.parametrize("orders", range(1, 10))
+def test_normality_of_few_orders(make_lines, orders):
+    lines = make_lines([(str(i), "A", 1 + i * i, "2020-01-01", 1, "c") for i in range(orders)])
+    row = stats.order_value_normality(lines).first()
+    assert (row.p_value is None) == (orders < 8)
+
+
 def test_tails_far_out_and_at_zero():
     assert chi2_tail(0, 3) == 1.0 and f_tail(0, 2, 9) == 1.0
     assert 0 <= chi2_tail(5000, 3) < 1e-300 and 0 <= f_tail(1e6, 3, 1000) < 1e-300
