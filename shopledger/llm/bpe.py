@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopledger.llm.common import sliced
 from shopledger.plans.pinning import pin
 from shopledger.plans.shipping import ship
 
 #: Mean bytes per chunk (a power of two), bytes the rolling hash sees, and bits of the bitmap (1 MB).
 CHUNK_BYTES, WINDOW, BITMAP_BITS = 1024, 16, 1 << 23
 _BLOCK = 32_768
-#: Words whose ids a task remembers at once.
-REMEMBERED = 500_000
+#: Words whose ids a process remembers: between once and twice as many.
+REMEMBERED = 75_000
 _SPACE = re.compile(rb"[ \t-\r]")
 _MULTIPLIER, _MULTIPLIER_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes hashed at a time.
@@ -78,19 +79,31 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
     t = tokenizer(path)
     letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
     special = [a.content for a in t.get_added_tokens_decoder().values()]
-    known: dict[bytes, bytes] = {}
-    pieces: dict[str, bytes] = {}
+    known: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
+    pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def remember(memory: tuple[dict, dict], key: bytes | str, ids: bytes) -> bytes:
+        """Keep in the young half; when it is full, the old one is forgotten."""
+        young, old = memory
+        if len(young) >= REMEMBERED:
+            old.clear()
+            old.update(young)
+            young.clear()
+        young[key] = ids
+        return ids
 
     def ids_of(ids: Sequence[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(p: str) -> bytes:
-        found = pieces.get(p)
+        found = pieces[0].get(p)
         if found is None:
-            if len(pieces) >= REMEMBERED:
-                pieces.clear()
-            plain = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
-            found = pieces[p] = ids_of([token.id for token in t.model.tokenize(plain)])
+            found = pieces[1].get(p)
+            if found is None:
+                plain = p if p.isascii() else p.encode().decode("latin-1").translate(letters)
+                found = ids_of([token.id for token in t.model.tokenize(plain)])
+            if len(p) <= 64:
+                remember(pieces, p, found)
         return found
 
     def word(w: bytes) -> bytes:
@@ -99,16 +112,16 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
             return b"".join(map(piece, _PIECES.findall(text.lower())))
         return ids_of(t.encode(text, add_special_tokens=False).ids)
 
+    young, old = known
+
     def encode(text: bytes) -> bytes:
         out = []
         for w in text.split():
-            ids = known.get(w)
+            ids = young.get(w)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = word(w)
+                ids = old.get(w) or word(w)
                 if len(w) <= 64:
-                    known[w] = ids
+                    remember(known, w, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -190,7 +203,7 @@ def _bit(bitmap: bytes, h: bytes) -> bool:
 
 
 def _addresses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[bytes] = []
         for t in batch.column("text").to_pylist():
             out += {address(c) for c in chunks((t or "").encode())}
@@ -216,9 +229,12 @@ def _shared_bitmap(docs: DataFrame) -> bytes | None:
 _PART = "row bigint, n int, pos int, h binary, head binary, core binary, tail binary, chunk binary"
 
 
-def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), decode: bool = False
+) -> DataFrame:
     """``keep``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers) of every whole text.
 
+    With ``decode`` also ``decoded``, the text of the ids, made by the task that made them.
     The result is that of the tokenizer without added special tokens, truncation or padding. Null
     and empty texts have no ids. Repeated rows are encoded each; other columns are ignored. The
     parts of documents with shared chunks, and those chunks, are written to the shared folder.
@@ -227,13 +243,13 @@ def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id"
     kept = F.struct(*[F.col(f"`{k}`") for k in keep]).alias("kept")
     df = docs.select(kept, "text")
     bitmap = _shared_bitmap(docs)
-    fields = f"kept {df.schema['kept'].dataType.simpleString()}, ids binary"
+    fields = f"kept {df.schema['kept'].dataType.simpleString()}, ids binary, decoded string"
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without shared chunks."""
         encode, shared = word_encoder(path), sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             made: list[bytes] = []
             rows: list[int] = []
             for i, t in enumerate(batch.column("text").to_pylist()):
@@ -243,27 +259,31 @@ def encode_documents(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id"
                 split = map(split_ends, pieces)
                 made.append(joined_ids(((a, c if c is None else encode(c), z) for a, c, z in split), encode))
                 rows.append(i)
-            yield pa.record_batch(
-                [batch.column("kept").take(pa.array(rows, pa.int32())), pa.array(made, pa.binary())], ["kept", "ids"]
-            )
+            yield _result(batch.column("kept").take(pa.array(rows, pa.int32())), made, path, decode)
 
     result = df.mapInArrow(whole, fields)
     if bitmap is not None:
-        result = result.unionByName(_with_shared(df, fields, path, sent))
-    return result.select("kept.*", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids")
+        result = result.unionByName(_with_shared(df, fields, path, sent, decode))
+    more = ["decoded"] if decode else []
+    return result.select("kept.*", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids", *more)
+
 
+def _result(kept: pa.Array, made: list[bytes], path: str, decode: bool) -> pa.RecordBatch:
+    text = [*map(decoder(path), made)] if decode else [None] * len(made)
+    return pa.record_batch([kept, pa.array(made, pa.binary()), pa.array(text, pa.string())], ["kept", "ids", "decoded"])
 
-def _with_shared(df: DataFrame, fields: str, path: str, sent) -> DataFrame:
+
+def _with_shared(df: DataFrame, fields: str, path: str, sent, decode: bool) -> DataFrame:
     """Ids of the documents that have shared chunks."""
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The document's row (pos -1), its chunks, and each shared chunk's text once per batch."""
+        """The document's row (pos -1), its chunks, and each shared chunk's text once per task."""
         encode, shared = word_encoder(path), sent.value
         task, count = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
+        told: set[bytes] = set()
+        for batch in sliced(batches):
             out: list[tuple] = []
             takes: list[int | None] = []
-            told: set[bytes] = set()
             for i, t in enumerate(batch.column("text").to_pylist()):
                 pieces = [(address(c), c) for c in chunks((t or "").encode())]
                 if not any(_bit(shared, h) for h, _ in pieces):
@@ -290,7 +310,7 @@ def _with_shared(df: DataFrame, fields: str, path: str, sent) -> DataFrame:
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             split = [split_ends(c) for c in batch.column("chunk").to_pylist()]
             cores = [c if c is None else encode(c) for _, c, _ in split]
             arrays = [pa.array([s[0] for s in split], pa.binary()), pa.array(cores, pa.binary())]
@@ -310,12 +330,12 @@ def _with_shared(df: DataFrame, fields: str, path: str, sent) -> DataFrame:
 
     def assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             made = [
                 joined_ids(((p["head"], p["core"], p["tail"]) for p in parts), encode)
                 for parts in batch.column("parts").to_pylist()
             ]
-            yield pa.record_batch([batch.column("kept"), pa.array(made, pa.binary())], ["kept", "ids"])
+            yield _result(batch.column("kept"), made, path, decode)
 
     return owners.join(gathered, "row").select("kept", "parts").mapInArrow(assembled, fields)
 
@@ -327,20 +347,25 @@ def token_table(path: str) -> np.ndarray:
     return np.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())], dtype=object)
 
 
-def decode_ids(ids: Column, path: str) -> Column:
-    """The text of binary ids, special tokens included.
+def decoder(path: str) -> Callable[[bytes], str]:
+    """Binary ids to text, special tokens included.
 
     A vocabulary without a decoder gives its tokens joined by blanks, which needs no more than a
     table; any other goes through its own decoder.
     """
+    t = tokenizer(path)
+    if t.decoder is None:
+        table = token_table(path)
+        return lambda ids: " ".join(table[np.frombuffer(ids, "<u4")].tolist())
+    return lambda ids: t.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+
+
+def decode_ids(ids: Column, path: str) -> Column:
+    """The text of a column of binary ids."""
 
     @F.pandas_udf(T.StringType())
     def decoded(ids: pd.Series) -> pd.Series:
-        t = tokenizer(path)
-        if t.decoder is None:
-            table = token_table(path)
-            return ids.map(lambda b: " ".join(table[np.frombuffer(b, "<u4")].tolist()))
-        return ids.map(lambda b: t.decode(np.frombuffer(b, "<u4").tolist(), skip_special_tokens=False))
+        return ids.map(decoder(path))
 
     return decoded(ids)
 
@@ -355,10 +380,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def encoded_documents(docs: DataFrame, path: str | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Encoded documents with digests of the ids and of the text they decode to."""
     path = path or vocabulary()
-    df = encode_documents(docs, path, keep)
+    df = encode_documents(docs, path, keep, decode=True)
     return df.select(
         *keep, F.col("n_tokens").cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode_ids(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopledger.llm.common import private
+from shopledger.llm.common import private, sliced
 from shopledger.plans.pinning import pin
 from shopledger.plans.shipping import ship
 
@@ -136,7 +136,7 @@ def _meeting(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a class gives its keys once per task
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             keys, classes, sizes = [], [], []
             for _, cls, found in _sets(batch, n):
                 if len(found) == 0 or cls in seen:
@@ -180,7 +180,7 @@ def _segments(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         bits = sent.value
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             names, numbers, parts = [], [], []
             for _, cls, found in _sets(batch, n):
                 bit = _bit(cls)
