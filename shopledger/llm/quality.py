@@ -32,7 +32,7 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "100 * n_symbols > 10 * word_chars"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule("capitals", "100 * n_capitals > 40 * word_chars"),
     Rule("word_length", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
 )
@@ -172,7 +172,7 @@ m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to
   CAST(len(w.lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(w.text, '\P{Lu}+', '', 'g')) AS BIGINT) AS n_capitals
   FROM w LEFT JOIN c USING (r)),
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * word_chars)::INT
-  + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (100 * n_capitals > 40 * word_chars)::INT
+  + 8 * (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)::INT + 16 * (100 * n_capitals > 40 * word_chars)::INT
   + 32 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::INT AS BIGINT) AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
   failed_bits = 0 AS kept, n_lines, n_capitals, failed_bits FROM f
