@@ -5,8 +5,8 @@ and only classes are compared. Linked sets differ in at most ``d = (|x|+|y|)(100
 n-grams; everything follows from that.
 
 * Who can have a partner at all: the hash order is cut into more than d fragments, so a linked
-  pair has an equal, non-empty segment in one of them. Classes that share no segment with
-  another are done.
+  pair has an equal, non-empty segment in one of them, and as many more as it has fragments
+  beyond d. Classes that share fewer segments with others are done.
 * Candidates among the rest: their sets are cut vertically into fragments, every fragment counts
   how often its n-grams occur, and the global n-gram order goes by that count, rarest first.
   The first n-grams of two linked sets have one in common. A set with rare n-grams of its own
@@ -78,8 +78,9 @@ def bands(percent: int) -> tuple[list[int], list[int]]:
     return least, differ
 
 
-def segment_keys(found: np.ndarray, percent: int) -> list[tuple[np.ndarray, bool]]:
-    """Keys of the set's segments, in the scheme of its own band (True) and of the next (False).
+def segment_keys(found: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Keys of the set's segments, in the scheme of its own band and of the next, and how many of
+    them a linked set has at least: all non-empty segments but those with a differing n-gram.
 
     In each scheme a set with too few non-empty segments also gives the hashes at the start of
     the order, enough to hold a common one with any set it is linked to.
@@ -99,7 +100,7 @@ def segment_keys(found: np.ndarray, percent: int) -> list[tuple[np.ndarray, bool
         keys = _mixed(sums ^ _mixed(filled.astype(np.uint64) + (_U(band) << _U(40))))
         if len(filled) <= d:
             keys = np.append(keys, _mixed(found[: d + 1] ^ _mixed(np.array([band + (1 << 63)], np.uint64))))
-        out.append((keys, band == own))
+        out.append((keys, max(1, len(filled) - d)))
     return out
 
 
@@ -132,28 +133,31 @@ def described(docs: DataFrame, keep: Sequence[str], n: int) -> DataFrame:
 
 
 def _meeting(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(cls, size) of the classes that share a segment with another class."""
+    """(cls, size) of the classes that share as many segments with others as a link asks for."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a class gives its keys once per task
         for batch in sliced(batches, 1000):
-            keys, classes, sizes = [], [], []
+            keys, classes, sizes, needs = [], [], [], []
             for _, cls, found in _sets(batch, n):
                 if len(found) == 0 or cls in seen:
                     continue
                 seen.add(cls)
-                for k, _ in segment_keys(found, percent):
+                for i, (k, need) in enumerate(segment_keys(found, percent)):
                     keys.append(k)
                     classes += [cls] * len(k)
                     sizes += [len(found)] * len(k)
+                    needs += [2 * need + i] * len(k)
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            columns = [pa.array(flat.view(np.int64)), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32())]
-            yield pa.record_batch(columns, ["key", "cls", "size"])
+            columns = [pa.array(flat.view(np.int64)), pa.array(classes, pa.binary())]
+            columns += [pa.array(sizes, pa.int32()), pa.array(needs, pa.int32())]
+            yield pa.record_batch(columns, ["key", "cls", "size", "need"])
 
-    df = docs.select("text").mapInArrow(rows, "key bigint, cls binary, size int")
+    df = docs.select("text").mapInArrow(rows, "key bigint, cls binary, size int, need int")
     whole = Window.partitionBy("key")
     df = df.select("*", F.min("cls").over(whole).alias("_a"), F.max("cls").over(whole).alias("_z"))
-    return df.where("_a <> _z").select("cls", "size").distinct()
+    shared = df.where("_a <> _z").groupBy("cls", "size", "need").agg(F.count(F.lit(1)).alias("n"))
+    return shared.where("n >= need div 2").select("cls", "size").distinct()
 
 
 def _needed(classes: DataFrame) -> bytes:
