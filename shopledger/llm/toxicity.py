@@ -73,10 +73,13 @@ class WordTable(dict):
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
-        self.rows: list[tuple[float, int, int, int, int, int, int, int]] = []
-        self.table = np.empty((0, 8))
+        self.beginnings = {e[:4] for e in lexicon}
+        self.new: list[tuple[float, int, int, int, int, int, int, int]] = []
+        self.filled, self.table = 0, np.empty((1024, 8))
 
     def weight(self, plain: str) -> float:
+        if plain[:4] not in self.beginnings:
+            return 0.0  # neither the word nor a stem of it can be an entry
         return max((self.lexicon.get(e, 0.0) for e in entries(plain)), default=0.0)
 
     def __missing__(self, word: str) -> int:
@@ -89,18 +92,24 @@ class WordTable(dict):
         upper = 0 if word.islower() else sum(map(str.isupper, word))
         marks = 0 if word.isalpha() else len(_MARKS.findall(word))
         shout = int(len(word) > 1 and word.isupper())
-        self.rows.append((weight, plain in SECOND_PERSON, odd, hidden, upper, shout, marks, word.count("!")))
-        number = self[word] = len(self.rows) - 1
+        self.new.append((weight, plain in SECOND_PERSON, odd, hidden, upper, shout, marks, word.count("!")))
+        number = self[word] = self.filled + len(self.new) - 1
         return number
 
     def known(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the words, and a row of facts for each."""
-        if len(self.rows) > REMEMBERED:
+        if self.filled > REMEMBERED:
             self.clear()
-            self.rows, self.table = [], np.empty((0, 8))
+            self.filled = 0
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(self.rows):
-            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :], float)])
+        if self.new:
+            filled = self.filled + len(self.new)
+            if filled > len(self.table):  # doubled, so that rows are copied a few times at most
+                larger = np.empty((2 * filled, 8))
+                larger[: self.filled] = self.table[: self.filled]
+                self.table = larger
+            self.table[self.filled : filled] = self.new
+            self.filled, self.new = filled, []
         return numbers, self.table
 
 
@@ -111,13 +120,14 @@ def features(text: str | None, table: WordTable) -> list[float]:
         return [0.0] * len(FEATURES)
     n = len(words)
     numbers, facts = table.known(words)
-    weight = facts[:, 0][numbers]
+    own = facts[numbers]
+    weight = own[:, 0]
     hits = np.flatnonzero(weight)
-    sums = [float(facts[:, k][numbers].sum()) for k in range(1, 8)]
+    sums = own[:, 1:].sum(axis=0).tolist()
     persons, odd, hidden, upper, shout, marks, cries = sums
     near = 0.0
     if persons and len(hits):
-        at = np.flatnonzero(facts[:, 1][numbers])
+        at = np.flatnonzero(own[:, 1])
         k = np.searchsorted(at, hits)
         before, after = np.abs(hits - at[np.maximum(k - 1, 0)]), np.abs(at[np.minimum(k, len(at) - 1)] - hits)
         near = float((np.minimum(before, after) <= _NEAR).mean())
