@@ -3,7 +3,9 @@
 A k-mer is ``k`` words in a row. It is an anchor if, among its inner runs of ``s`` words, the
 first or the last has the least hash. Whether it is one depends on these k words alone, so an
 edit leaves all anchors outside it in place, and equal passages have equal anchors at matching
-positions whatever surrounds them. At least one of any k-s+1 neighbouring k-mers is an anchor.
+positions whatever surrounds them. At least one of any k-s neighbouring k-mers is an anchor, so
+a text of 2k-s-1 words or more has some. Where a shorter one has none, its k-mer of least hash
+stands for it in the fingerprint.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ K, S = 12, 3
 
 
 def anchors(df: DataFrame, keep: Sequence[str], text: Column, out: str, k: int = K, s: int = S) -> DataFrame:
-    """``keep`` and ``out``, structs (pos, hash) of the anchors in order of position.
+    """``keep`` and ``out``, structs (pos, hash) of the anchors in order of position; and as
+    ``<out>_least`` the least hash of a k-mer, for texts of k words or more that may have none.
 
     ``hash`` is xxhash64 (seed 42) of the k words joined by blanks, ``pos`` the number of the
     first. A text of fewer than k words has its whole word sequence as its only anchor; a null,
@@ -36,18 +39,20 @@ def anchors(df: DataFrame, keep: Sequence[str], text: Column, out: str, k: int =
         F.sequence(F.lit(0), F.size("_w") - k),
         lambda i: F.least(F.get("_h", i), F.get("_h", i + (width - 1))) <= F.array_min(F.slice("_h", i + 1, width)),
     )
-    found = F.transform(
-        closed,
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice("_w", i + 1, k), " ")).alias("hash")),
-    )
+    hashed = lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, k), " "))
+    found = F.transform(closed, lambda i: F.struct(i.alias("pos"), hashed(i).alias("hash")))
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.size("_w") - k), hashed))
     short = F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join("_w", " ")).alias("hash"))
     none = F.array().cast("array<struct<pos:int,hash:bigint>>")
     made = F.when(F.size("_w") >= k, found).when(F.size("_w") > 0, F.array(short)).otherwise(none)
-    return fixed(df, keep, **{out: made})
+    unsure = F.size("_w").between(k, 2 * k - s - 2)
+    return fixed(df, keep, **{out: made, f"{out}_least": F.when(unsure, least)})
 
 
-def hashes(found: Column) -> Column:
-    return F.transform(found, lambda a: a["hash"])
+def hashes(found: Column, least: Column) -> Column:
+    """The hashes of the anchors, or ``least`` (see :func:`anchors`) where there are none."""
+    own = F.transform(found, lambda a: a["hash"])
+    return F.when((F.size(found) == 0) & least.isNotNull(), F.array(least)).otherwise(own)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -117,22 +122,22 @@ def edited_fingerprints(docs: DataFrame, k: int = K, s: int = S, n_ranges: int |
     # Own rows first; the ghosts of the next range come after them, the least one first.
     order = Window.partitionBy("_range").orderBy("_ghost", "doc_id", "text")
     df = own.select(
-        "doc_id", "text", "anchors", "_ghost",
-        F.lead("text").over(order).alias("next_text"), F.lead("anchors").over(order).alias("next_anchors"),
+        "doc_id", "text", "anchors", "anchors_least", "_ghost",
+        *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "anchors", "anchors_least")],
     ).where(~F.col("_ghost"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    df = fixed(df, ["doc_id", "anchors", "next_anchors"], n_chars=n.cast("bigint"), edited=edited)
-    kept = ["doc_id", "anchors", "next_anchors", "n_chars", "edited"]
-    return anchors(df, kept, F.col("edited"), "edited_anchors", k, s)
+    found = ["doc_id", "anchors", "anchors_least", "next_anchors", "next_anchors_least"]
+    df = fixed(df, found, n_chars=n.cast("bigint"), edited=edited)
+    return anchors(df, [*found, "n_chars", "edited"], F.col("edited"), "edited_anchors", k, s)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     df = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     df = fixed(
         df, ["doc_id", "n_chars"], edited_sha256=F.sha2("edited", 256),
-        a=hashes(F.col("anchors")), e=hashes(F.col("edited_anchors")), x=hashes(F.col("next_anchors")),
+        **{n: hashes(F.col(c), F.col(f"{c}_least")) for n, c in (("a", "anchors"), ("e", "edited_anchors"), ("x", "next_anchors"))},
     )
     return df.select(
         "doc_id", "n_chars", "edited_sha256",

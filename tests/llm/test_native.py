@@ -132,6 +132,27 @@ def test_fingerprints_at_the_edges(spark):
     assert tuple(pair.first()) == (1 / 3, 1.0)
 
 
+def test_texts_without_an_anchor_are_told_apart(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"u{i}x{rng.randrange(10**6)}" for _ in range(12 + i % 8)) for i in range(80)]
+    texts += [texts[40]] * 2  # equal neighbours
+    assert sum(not brute_anchors(t) for t in texts) > 20
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    got = {r["doc_id"]: r for r in fingerprints.op7(spark, str(tmp_path)).collect()}
+
+    def brute(text):
+        w = words(text)
+        every = [brute_anchors(" ".join(w[i : i + 12]), s=12)[0][1] for i in range(len(w) - 11)]
+        return [h for _, h in brute_anchors(text)] or [min(every)]
+
+    for i, t in enumerate(texts):
+        assert got[i]["fingerprint"] == " ".join(f"{h % (1 << 64):016x}" for h in brute(t)), i
+        assert got[i]["near_next"] == float(t == texts[(i + 1) % len(texts)]), i
+        assert got[i]["edited_fingerprint"] and got[i]["near_edited"] < 1
+
+
 def brute_secrets(text):
     assign = re.compile(
         r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
