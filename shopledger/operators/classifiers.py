@@ -108,10 +108,12 @@ def cross_validate(
     k: int,
     grid: Sequence[dict] = ({},),
     parallelism: int | None = None,
+    most: int = MAX_FIT_ROWS,
 ) -> list[list[float]]:
     """Accuracy of every grid point (outer) on each of the k folds; nothing else is fitted.
 
-    ``parallelism`` is the number of settings fitted at a time, by default one for every two
+    The folds hold every row of ``train``, and each held-out fold is scored whole; at most
+    ``most`` of the other rows fit an estimator. ``parallelism`` is the number of settings fitted at a time, by default one for every two
     cores of the session.
     """
     spark = train.sparkSession
@@ -121,7 +123,8 @@ def cross_validate(
     estimator, points = pipeline(estimator, features), list(grid)
     scores = [[0.0] * k for _ in points]
     for fold in range(k):
-        fit, held = (pin(folds.where(F.col("fold") == fold if side else F.col("fold") != fold), "fold") for side in (0, 1))
+        fit = pin(fit_rows(folds.where(F.col("fold") != fold), most), "fold")
+        held = pin(folds.where(F.col("fold") == fold), "fold")
 
         def score(i: int, fit: DataFrame = fit, held: DataFrame = held) -> tuple[int, float]:
             return i, accuracy.evaluate(estimator.fit(fit, points[i]).transform(held))
@@ -140,10 +143,9 @@ def fit_vip_classifiers(train: DataFrame, most: int = MAX_FIT_ROWS) -> dict[str,
 
 def vip_cross_validation(train: DataFrame, k: int = 5, most: int = MAX_FIT_ROWS) -> DataFrame:
     """Mean and (population) standard deviation of the fold accuracies of each model."""
-    train = pin(fit_rows(train, most), "fit")
     rows = []
-    for name, estimator in vip_estimators(train.count()).items():
-        scores = cross_validate(estimator, train, VIP_FEATURES, k)[0]
+    for name, estimator in vip_estimators(min(train.count(), most)).items():
+        scores = cross_validate(estimator, train, VIP_FEATURES, k, most=most)[0]
         rows.append((name, fmean(scores), pstdev(scores)))
     return train.sparkSession.createDataFrame(rows, "model string, cv_mean double, cv_std double")
 
@@ -210,16 +212,15 @@ def grid_search(
 ) -> tuple[DataFrame, PipelineModel | None]:
     """k-fold accuracy of every forest of ``grid``, best first.
 
-    With ``refit`` also the best forest, fitted on all rows used; of equal scores the first
-    setting of the grid wins.
+    With ``refit`` also the best forest, fitted on at most ``most`` rows; of equal scores the
+    first setting of the grid wins.
     """
-    train = pin(fit_rows(train, most), "fit")
     forest = RandomForestClassifier(seed=SEED)
     points = ParamGridBuilder()
     for name, values in grid.items():
         points = points.addGrid(forest.getParam(name), list(values))
     maps = points.build()
-    scores = [fmean(s) for s in cross_validate(forest, train, RETENTION_FEATURES, k, maps, parallelism)]
+    scores = [fmean(s) for s in cross_validate(forest, train, RETENTION_FEATURES, k, maps, parallelism, most)]
     rows = [
         (*[m[forest.getParam(name)] for name in grid], score) for m, score in zip(maps, scores)
     ]
@@ -227,7 +228,7 @@ def grid_search(
     best = None
     if refit:
         winner = maps[scores.index(max(scores))]
-        best = pipeline(forest, RETENTION_FEATURES).fit(train, winner)
+        best = pipeline(forest, RETENTION_FEATURES).fit(fit_rows(train, most), winner)
     table = train.sparkSession.createDataFrame(rows, f"{columns}, score double")
     return table.orderBy(F.desc("score"), *grid), best
 

@@ -82,6 +82,24 @@ def test_fit_rows_are_bounded_and_stable(cust):
     assert ml.fit_rows(cust).count() == 400
 
 
+def test_bounded_fits_are_scored_on_every_row(cust, monkeypatch):
+    train, _ = ml.vip_frames(cust)
+    held, fitted = [], []
+    evaluate, fit = ml.MulticlassClassificationEvaluator.evaluate, ml.Pipeline.fit
+    monkeypatch.setattr(
+        ml.MulticlassClassificationEvaluator, "evaluate",
+        lambda self, df, *a: held.extend(r[0] for r in df.select("customer_id").collect()) or evaluate(self, df, *a),
+    )
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, df, *a: fitted.append(df.count()) or fit(self, df, *a))
+    everyone = [c for (c,) in rows(train, "customer_id")]
+    assert len(ml.vip_cross_validation(train, 2, most=60).collect()) == 3
+    assert sorted(held) == sorted(3 * everyone) and fitted == [60] * 6
+    held.clear(), fitted.clear()
+    grid = {"numTrees": (3,), "maxDepth": (2,), "minInstancesPerNode": (1, 4)}
+    ml.grid_search(train, grid, k=2, most=60, refit=True)
+    assert sorted(held) == sorted(2 * everyone) and fitted == [60] * 5
+
+
 @pytest.fixture(scope="module")
 def retention(cust):
     dated = cust.withColumns(
