@@ -9,8 +9,9 @@ which is 1 if the term never occurs without the entity and falls as it occurs el
 whose disclosure reaches ``generalise_at`` for any entity is replaced by its class, one that
 reaches ``remove_at`` is removed, wherever it occurs.
 
-Counts are of distinct contexts (a word with two neighbours on each side), so copies of a
-document are evidence only once, and a pair needs ``least_contexts`` of them. The corpus is read
+Counts are of distinct contexts (a word with two neighbours on each side, in one text), so
+copies of a document are evidence only once, but the same words in different documents count
+every time. A pair needs ``least_contexts`` of them. The corpus is read
 three times: for the surroundings of entities; for all contexts of the candidate terms; and to
 apply the result. Tasks know candidate terms by a bitmap of fixed size; what it lets through by
 chance is dropped in an exact join.
@@ -26,6 +27,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,8 +101,9 @@ def entity_name(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_DIGIT.findall(raw))}"
 
 
-def _hash(words: Sequence[str]) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
+def _hash(words: Sequence[str], digest: int) -> int:
+    h = xxhash.xxh3_64_intdigest(" ".join(words).encode(errors="surrogatepass"), digest)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def terms_of(text: str, hidden: Sequence[Span]) -> list[tuple[str, int, int]]:
@@ -115,9 +118,13 @@ def terms_of(text: str, hidden: Sequence[Span]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(terms: Sequence[tuple[str, int, int]], i: int) -> int:
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _context(digest: int, terms: Sequence[tuple[str, int, int]], i: int) -> int:
     around = [t for t, _, _ in terms[max(0, i - NEIGHBOURS) : i + NEIGHBOURS + 1]]
-    return _hash(["<" * max(0, NEIGHBOURS - i), *around])
+    return _hash(["<" * max(0, NEIGHBOURS - i), *around], digest)
 
 
 def near_entities(text: str) -> Iterator[tuple[str, str, int]]:
@@ -125,15 +132,15 @@ def near_entities(text: str) -> Iterator[tuple[str, str, int]]:
     spans = find_entities(text)
     if not spans:
         return
-    terms = terms_of(text, spans)
+    terms, digest = terms_of(text, spans), _digest(text)
     starts = [a for _, a, _ in terms]
     for kind, a, b in spans:
         entity = entity_name(kind, text[a:b])
         i = bisect.bisect_left(starts, a)
         around = range(max(0, i - NEAR), min(len(terms), i + NEAR))
-        yield "", entity, _hash([terms[j][0] for j in around])
+        yield "", entity, _hash([terms[j][0] for j in around], digest)
         for j in around:
-            yield terms[j][0], entity, _context(terms, j)
+            yield terms[j][0], entity, _context(digest, terms, j)
 
 
 def in_bitmap(bitmap: bytes, term: str) -> bool:
@@ -185,10 +192,10 @@ def _occurrences(text: str, bitmap: bytes) -> Iterator[tuple[str, int, int, int]
     """(term, context, start, end) of the words whose bit is set."""
     likely = {t for t in {w.lower() for w in _TERM.findall(text)} if in_bitmap(bitmap, t)}
     if likely:
-        terms = terms_of(text, find_entities(text))
+        terms, digest = terms_of(text, find_entities(text)), _digest(text)
         for i, (t, a, b) in enumerate(terms):
             if t in likely:
-                yield t, _context(terms, i), a, b
+                yield t, _context(digest, terms, i), a, b
 
 
 def disclosing_terms(
@@ -208,7 +215,7 @@ def disclosing_terms(
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(t, c) for text in _texts(batch) for t, c, _, _ in _occurrences(text, bitmap)})
+            rows = {(t, c) for text in _texts(batch) for t, c, _, _ in _occurrences(text, bitmap)}
             terms, hashes = zip(*rows, strict=True) if rows else ((), ())
             yield pa.record_batch([pa.array(terms, pa.string()), pa.array(hashes, pa.int64())], ["term", "context"])
 

@@ -75,6 +75,17 @@ def test_pii_copies_are_evidence_once(spark):
     assert pii.disclosing_terms(documents(spark, [(i, text, "", "", 0) for i in range(20)])).count() == 0
 
 
+def test_pii_signature_of_many_texts_counts_in_each(spark):
+    rng = random.Random(4)
+    filler = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrstz"]
+    rows = []
+    for i in range(60):
+        text = " ".join(rng.choice(filler) for _ in range(40))
+        rows.append((i, f"{text} kind regards Zanthor Quill zq@x.example" if i < 30 else f"{text} kind regards", "", "", 0))
+    terms = {r["term"]: (r["disclosure"], r["action"]) for r in pii.disclosing_terms(documents(spark, rows)).collect()}
+    assert terms["zanthor"] == (1.0, "remove") and terms["quill"] == (1.0, "remove")
+
+
 def test_pii_edges(spark):
     got = pii.personal_data(clashing(documents(spark)))
     assert got.count() == len(EDGES) and not any(r["spans"] for r in got.collect())
