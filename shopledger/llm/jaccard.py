@@ -230,6 +230,46 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table(columns, ["id", "size", "grams", "counts"])
 
 
+def _part_counted(table: pa.Table) -> pa.Table:
+    """One part of a heavy fragment: each n-gram once, with the number of the part's sets it is in."""
+    grams, counts = np.unique(_flat(table.column("grams"))[0], return_counts=True)
+    place = [pa.array(np.full(len(grams), table.column(c)[0].as_py(), np.int32)) for c in ("fragment", "salt")]
+    return pa.table([*place, pa.array(grams), pa.array(counts.astype(np.int64))], ["fragment", "salt", "gram", "n"])
+
+
+def _looked_up(sets: pa.Table, counts: pa.Table) -> pa.Table:
+    """The sets of one part, each n-gram with its count in the whole fragment."""
+    grams, lengths = _flat(sets.column("grams"))
+    known, n = (counts.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(known)
+    found = n[order][np.searchsorted(known[order], grams)]
+    found = np.split(found.astype(np.int64), np.cumsum(lengths)[:-1])
+    columns = [sets.column("id"), sets.column("size"), sets.column("grams"), _lists_of(found, np.int64)]
+    return pa.table(columns, ["id", "size", "grams", "counts"])
+
+
+_COUNTED = "id bigint, size int, grams array<bigint>, counts array<bigint>"
+
+
+def with_counts(segments: DataFrame, most: int = 2 * FRAGMENT_GRAMS) -> DataFrame:
+    """The segments, each n-gram with the number of sets it is in.
+
+    A fragment of more than ``most`` n-grams, as one with an n-gram of very many sets, is dealt
+    over parts by set; the parts' counts, one row per n-gram and part, are summed.
+    """
+    heavy = segments.groupBy("fragment").agg(F.sum(F.size("grams")).alias("n")).where(F.col("n") > most)
+    heavy = pin(heavy.select("fragment", F.ceil(F.col("n") * 2 / most).cast("int").alias("parts")), "jaccard_heavy")
+    if heavy.isEmpty():
+        return segments.groupBy("fragment").applyInArrow(_counted, _COUNTED)
+    light = segments.join(F.broadcast(heavy), "fragment", "left_anti").groupBy("fragment").applyInArrow(_counted, _COUNTED)
+    salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = segments.join(F.broadcast(heavy), "fragment").withColumn("salt", salt).drop("parts")
+    counts = dealt.groupBy("fragment", "salt").applyInArrow(_part_counted, "fragment int, salt int, gram bigint, n bigint")
+    counts = counts.withColumn("n", F.sum("n").over(Window.partitionBy("gram")))
+    both = dealt.groupBy("fragment", "salt").cogroup(counts.groupBy("fragment", "salt"))
+    return light.unionByName(both.applyInArrow(_looked_up, _COUNTED))
+
+
 def differing(size_a: int, size_b: int, percent: int) -> int:
     """The most n-grams in which two linked sets of these sizes differ."""
     return (size_a + size_b) * (100 - percent) // (100 + percent)
@@ -247,10 +287,7 @@ def prefix_lengths(size: int, percent: int) -> tuple[int, int]:
 
 def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
     """(key, id, size, pos): the first n-grams of every set in the global order, rarest first."""
-    counted = segments.groupBy("fragment").applyInArrow(
-        _counted, "id bigint, size int, grams array<bigint>, counts array<bigint>"
-    )
-    whole = counted.groupBy("id", "size").agg(
+    whole = with_counts(segments).groupBy("id", "size").agg(
         F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("counts")).alias("counts")
     )
 

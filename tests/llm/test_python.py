@@ -313,6 +313,19 @@ def test_linked_sets_share_a_key(percent):
             assert len(np.intersect1d(*keys)), (size, drop)
 
 
+def test_heavy_fragments_are_counted_in_parts(spark):
+    rng = random.Random(8)
+    rows = [(i, f, [f * 1000 - 1, *rng.sample(range(f * 1000, f * 1000 + 40), 5)]) for i in range(60) for f in range(3) if f < 2 or i < 4]
+    segments = spark.createDataFrame([(i, 17, f, g) for i, f, g in rows], "id bigint, size int, fragment int, grams array<bigint>")
+    total = {}
+    for g in itertools.chain(*[grams for _, _, grams in rows]):
+        total[g] = total.get(g, 0) + 1
+    for most in (100, 10**6):
+        got = jaccard.with_counts(segments, most).collect()
+        assert sorted((r["id"], r["grams"]) for r in got) == sorted((i, g) for i, _, g in rows)
+        assert all(r["counts"] == [total[g] for g in r["grams"]] for r in got)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = near_copies(8, [30, 60, 60], 5) + EDGES + [(2, "", "en", "a", 0)]
     docs = clashing(documents(spark, rows))
