@@ -87,7 +87,7 @@ class WordTable(dict):
         weight, odd, hidden = self.weight(plain), 0, 0
         if not word.isalpha() and _DISGUISE.search(word):
             odd = 1
-            if not weight and (weight := self.lexicon.get(revealed(word), 0.0)):
+            if not weight and (weight := self.weight(revealed(word))):
                 hidden = 1
         upper = 0 if word.islower() else sum(map(str.isupper, word))
         marks = 0 if word.isalpha() else len(_MARKS.findall(word))

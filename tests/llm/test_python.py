@@ -391,6 +391,13 @@ def test_without_labels_every_score_is_the_share(spark, labelled):
     assert toxicity.scored(docs.limit(0), labels).collect() == []
 
 
+def test_disguised_words_match_stems():
+    at = toxicity.FEATURES.index
+    table = toxicity.WordTable({"moro*": 2.0})
+    got = toxicity.features("a m0r0nic plan", table)
+    assert got[at("weight_max")] == 2.0 and got[at("obfuscated_hits")] > 0
+
+
 def test_features_see_disguises():
     table = toxicity.WordTable({"idiot": 3.0, "moro*": 2.0})
     assert toxicity.revealed("1d10t") == "idiot" and toxicity.revealed("i.d.i.o.t") == "idiot"
