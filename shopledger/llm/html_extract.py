@@ -87,12 +87,13 @@ class _Reader:
     links: list[str] = field(default_factory=list)
     count: int = 0
     dropped: int = 0
+    anchors: int = 0  # open <a> elements
 
     def text(self, raw: str) -> None:
         if not self.dropped and raw:
             plain = html.unescape(raw) if "&" in raw else raw
             self.parts.append(plain)
-            if any(e.tag == "a" for e in self.open[-8:]):
+            if self.anchors:
                 self.links.append(plain)
 
     def flush(self) -> None:
@@ -109,8 +110,9 @@ class _Reader:
         self.parts, self.links = [], []
 
     def pop(self) -> None:
-        if self.open.pop().tag in DROPPED:
-            self.dropped -= 1
+        tag = self.open.pop().tag
+        self.dropped -= tag in DROPPED
+        self.anchors -= tag == "a"
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -125,6 +127,7 @@ class _Reader:
         self.count += 1
         self.open.append(_Open(tag, self.count, *self.looks(tag, attributes)))
         self.dropped += tag in DROPPED
+        self.anchors += tag == "a"
 
     def close_implied(self, tag: str) -> None:
         while self.open and self.open[-1].tag in INLINE and any(e.tag == "p" for e in self.open):

@@ -235,6 +235,12 @@ def test_minimum_cut_is_minimal():
         assert cost(html_extract.minimum_cut(odds, ties)) == pytest.approx(best, abs=1e-4)
 
 
+def test_text_deep_inside_a_link_is_linked():
+    deep = "<a href=x>" + "<div>" * 12 + "far inside" + "</div>" * 12 + "</a><p>outside</p>"
+    blocks = [(b.text, b.linked) for b in html_extract.read_blocks(deep)]
+    assert blocks == [("far inside", len("far inside")), ("outside", 0)]
+
+
 def test_html_table(spark):
     rows = [(1, "u", page("<p>Some words of an article.</p>")), (1, "u", None), (2, None, "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("old"))
