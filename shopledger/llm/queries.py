@@ -12,11 +12,14 @@ from shopledger.llm import (
     fingerprints,
     html_extract,
     jaccard,
+    license_scan,
     mixing,
     pii,
     quality,
+    ranked_search,
     secret_scan,
     toxicity,
+    turn_repair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard.op8,
     "op9_secret_scans": secret_scan.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_turn_repair": turn_repair.op11,
+    "op12_license_scan": license_scan.op12,
+    "op13_ranked_search": ranked_search.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +44,7 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE,
     "op8_jaccard_join": jaccard.ORACLE,
     "op9_secret_scans": secret_scan.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
+    "op12_license_scan": license_scan.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
