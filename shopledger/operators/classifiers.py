@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 
@@ -19,7 +20,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
@@ -33,6 +33,7 @@ from shopledger.operators.evaluation import (
     train_test_split,
     with_folds,
 )
+from shopledger.operators.trees import PrunedForest, Trees, right_counts
 from shopledger.plans.pinning import pin
 
 VIP_FEATURES = ("total_spend", "num_orders", "tenure_days", "frequency", "avg_line_value")
@@ -42,6 +43,7 @@ RETENTION_FEATURES = ("tenure_days", "frequency", "total_spend", "avg_line_value
 FOREST_GRID = {
     "numTrees": (50, 100, 200),
     "maxDepth": (5, 10, 15),
+    "minSamplesSplit": (2, 5, 10),
     "minInstancesPerNode": (1, 2, 4),
 }
 
@@ -51,9 +53,32 @@ FOREST_GRID = {
 MAX_DEPTH, MAX_BINS, MAX_FIT_ROWS = 30, 256, 200_000
 
 
+#: Bits of the hash that one scan counts by.
+HASH_BITS = 16
+
+
 def fit_rows(train: DataFrame, most: int = MAX_FIT_ROWS) -> DataFrame:
-    """At most ``most`` rows of ``train``, those of the least hash of their customer."""
-    return train.orderBy(F.xxhash64("customer_id"), "customer_id").limit(most)
+    """At most ``most`` rows of ``train``, those of the least hash of their customer.
+
+    Counts by hash bucket (a bounded number) show in which bucket the last row lies; the rows of
+    that bucket give its hash. The rows are then filtered where they are: nothing is moved or
+    sorted, and every partition keeps its share. Rows that repeat a customer stay together.
+    """
+    hashed = F.xxhash64("customer_id")
+    bucket = F.shiftright(hashed, 64 - HASH_BITS)
+    counts = sorted(train.groupBy(bucket.alias("b")).count().collect())
+    if sum(r["count"] for r in counts) <= most:
+        return train
+    below = 0
+    for b, n in counts:
+        if below + n >= most:
+            break
+        below += n
+    inside = train.where(bucket == b).select(hashed.alias("h"), "customer_id").orderBy("h", "customer_id")
+    last = inside.limit(most - below).agg(F.max(F.struct("h", "customer_id")).alias("last")).first()["last"]
+    if last is None:  # no row is wanted
+        return train.where(F.lit(False))
+    return train.where((hashed < last["h"]) | ((hashed == last["h"]) & (F.col("customer_id") <= last["customer_id"])))
 
 
 def vip_frames(cust: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,8 +138,8 @@ def cross_validate(
     """Accuracy of every grid point (outer) on each of the k folds; nothing else is fitted.
 
     The folds hold every row of ``train``, and each held-out fold is scored whole; at most
-    ``most`` of the other rows fit an estimator. ``parallelism`` is the number of settings fitted at a time, by default one for every two
-    cores of the session.
+    ``most`` of the other rows fit an estimator. ``parallelism`` is the number of settings fitted
+    at a time, by default one for every two cores of the session.
     """
     spark = train.sparkSession
     parallelism = parallelism or max(1, spark.sparkContext.defaultParallelism // 2)
@@ -130,7 +155,7 @@ def cross_validate(
             return i, accuracy.evaluate(estimator.fit(fit, points[i]).transform(held))
 
         with ThreadPool(min(parallelism, len(points))) as pool:
-            for i, value in pool.imap_unordered(inheritable_thread_target(score), range(len(points))):
+            for i, value in pool.imap_unordered(inheritable_thread_target(spark)(score), range(len(points))):
                 scores[i][fold] = value
     return scores
 
@@ -166,13 +191,15 @@ def vip_importances(models: dict[str, PipelineModel], like: DataFrame) -> DataFr
 
 
 def feature_importance(
-    model: PipelineModel, features: Sequence[str], like: DataFrame
+    model: PipelineModel | PrunedForest, features: Sequence[str], like: DataFrame
 ) -> DataFrame:
     """Importance of each feature (trees) or its signed coefficient, highest first."""
     fitted = classifier_of(model)
-    trees = hasattr(fitted, "featureImportances")
-    weights = fitted.featureImportances if trees else fitted.coefficients
-    rows = [(f, float(w)) for f, w in zip(features, weights.toArray())]
+    if isinstance(model, PrunedForest):
+        weights = model.trees.importances(len(features))
+    else:
+        weights = (fitted.featureImportances if hasattr(fitted, "featureImportances") else fitted.coefficients).toArray()
+    rows = [(f, float(w)) for f, w in zip(features, weights)]
     frame = like.sparkSession.createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature")
 
@@ -202,6 +229,10 @@ def tree_rules(model: PipelineModel, features: Sequence[str], like: DataFrame) -
     return like.sparkSession.createDataFrame(rows, "line int, rule string")
 
 
+#: Parameters that prune a forest: its trees, depth, and the rows a node needs to be split.
+PRUNING = {"numTrees": 20, "maxDepth": 5, "minSamplesSplit": 2}
+
+
 def grid_search(
     train: DataFrame,
     grid: dict[str, Sequence] = FOREST_GRID,
@@ -209,31 +240,58 @@ def grid_search(
     parallelism: int | None = None,
     most: int = MAX_FIT_ROWS,
     refit: bool = False,
-) -> tuple[DataFrame, PipelineModel | None]:
+) -> tuple[DataFrame, PrunedForest | None]:
     """k-fold accuracy of every forest of ``grid``, best first.
 
-    With ``refit`` also the best forest, fitted on at most ``most`` rows; of equal scores the
-    first setting of the grid wins.
+    Per fold and setting of the parameters that change the splits, one forest is fitted with the
+    most trees and the greatest depth; its prunings give the accuracies of all other settings on
+    the whole held-out fold. With ``refit`` also the best forest, fitted with its own number of
+    trees and depth on at most ``most`` rows and pruned to its least rows of a split; of equal
+    scores the first setting of the grid wins. ``parallelism`` is as in :func:`cross_validate`.
     """
-    forest = RandomForestClassifier(seed=SEED)
-    points = ParamGridBuilder()
-    for name, values in grid.items():
-        points = points.addGrid(forest.getParam(name), list(values))
-    maps = points.build()
-    scores = [fmean(s) for s in cross_validate(forest, train, RETENTION_FEATURES, k, maps, parallelism, most)]
-    rows = [
-        (*[m[forest.getParam(name)] for name in grid], score) for m, score in zip(maps, scores)
+    spark = train.sparkSession
+    parallelism = parallelism or max(1, spark.sparkContext.defaultParallelism // 2)
+    pruning = {name: list(grid.get(name, (usual,))) for name, usual in PRUNING.items()}
+    grown = {name: list(values) for name, values in grid.items() if name not in PRUNING}
+    fits = [dict(zip(grown, values)) for values in product(*grown.values())]
+    folds = with_folds(train, k)
+    sides = [
+        (pin(fit_rows(folds.where(F.col("fold") != fold), most), "fold"), pin(folds.where(F.col("fold") == fold), "fold"))
+        for fold in range(k)
     ]
-    columns = ", ".join(f"{name} int" for name in grid)
+
+    def forest(numTrees: int, maxDepth: int, **others) -> RandomForestClassifier:
+        return RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, seed=SEED, **others)
+
+    def score(job: tuple[int, int]) -> tuple[int, int, dict]:
+        fold, i = job
+        fit, held = sides[fold]
+        largest = forest(max(pruning["numTrees"]), max(pruning["maxDepth"]), **fits[i])
+        trees = Trees.of(classifier_of(pipeline(largest, RETENTION_FEATURES).fit(fit)), spark)
+        return fold, i, right_counts(held, trees, RETENTION_FEATURES, *pruning.values())
+
+    jobs = list(product(range(k), range(len(fits))))
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        found = {(fold, i): right for fold, i, right in pool.imap_unordered(inheritable_thread_target(spark)(score), jobs)}
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    rows = []
+    for point in points:
+        i = fits.index({name: point[name] for name in grown})
+        cell = tuple(point.get(name, usual) for name, usual in PRUNING.items())
+        hits = [found[fold, i].get(cell, (0, 0)) for fold in range(k)]
+        rows.append((*point.values(), fmean(right / n if n else 0.0 for right, n in hits)))
     best = None
     if refit:
-        winner = maps[scores.index(max(scores))]
-        best = pipeline(forest, RETENTION_FEATURES).fit(fit_rows(train, most), winner)
-    table = train.sparkSession.createDataFrame(rows, f"{columns}, score double")
+        winner = dict(points[max(range(len(rows)), key=lambda r: rows[r][-1])])
+        least = winner.pop("minSamplesSplit", PRUNING["minSamplesSplit"])
+        fitted = pipeline(forest(**({n: PRUNING[n] for n in ("numTrees", "maxDepth")} | winner)), RETENTION_FEATURES).fit(fit_rows(train, most))
+        best = PrunedForest(fitted, Trees.of(classifier_of(fitted), spark).pruned(least), RETENTION_FEATURES)
+    columns = ", ".join(f"{name} int" for name in grid)
+    table = spark.createDataFrame(rows, f"{columns}, score double")
     return table.orderBy(F.desc("score"), *grid), best
 
 
-def best_model_report(best: PipelineModel, test: DataFrame) -> DataFrame:
+def best_model_report(best: PipelineModel | PrunedForest, test: DataFrame) -> DataFrame:
     """Report, accuracy and importances of the winner in long form."""
     report = classification_report(best.transform(test))
     scores = report.unpivot(

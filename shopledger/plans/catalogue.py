@@ -564,7 +564,7 @@ QUERIES: dict[str, Query] = {
         "feature:s, x:6, y:6", lambda g: _dependence(g, ml.retention_forest)
     ),
     "grid_search": Query(
-        "numTrees:i, maxDepth:i, minInstancesPerNode:i, score:6",
+        "numTrees:i, maxDepth:i, minSamplesSplit:i, minInstancesPerNode:i, score:6",
         lambda g: ml.grid_search(g.retention_frames[0])[0],
     ),
     "best_model_report": Query("section:s, name:s, measure:s, value:6", _best_model),

@@ -1,8 +1,8 @@
 """Write a derived table once and go on from the written copy.
 
 Copies go to the folder named by ``spark.checkpoint.dir``, which all executors share, so a lost
-executor costs no recomputation. Where it is unset, in any mode, they go below the session's
-``spark.sql.warehouse.dir``, which is shared as well.
+executor costs no recomputation. Where it is unset they go below ``spark.sql.warehouse.dir`` if all
+tasks run on this machine; on a cluster that folder may be local to the driver, so it is refused.
 
 Pinning is eager: the copy is written when the query is built. Copies are deleted at the end of
 ``pinned_scope``, by ``drop_pinned``, or else when the Python process ends.
@@ -11,6 +11,7 @@ Pinning is eager: the copy is written when the query is built. Copies are delete
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -37,9 +38,19 @@ _copies: list[_Copy] = []
 def shared_folder(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pinned").rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted like the pinned copies."""
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _copies.append(_Copy(context.applicationId, path, spark._jvm, context._jsc.hadoopConfiguration()))
+    return path
+
+
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the copy.
 
@@ -48,9 +59,7 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     which decides on broadcasts from it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _copies.append(_Copy(context.applicationId, path, spark._jvm, context._jsc.hadoopConfiguration()))
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

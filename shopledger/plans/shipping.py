@@ -34,5 +34,6 @@ def ship(spark: SparkSession) -> None:
     stream = system.create(path)
     stream.write(packed.getvalue())
     stream.close()
+    system.deleteOnExit(path)  # late executors fetch it until the application ends
     context.addPyFile(system.makeQualified(path).toString())
     _shipped.add(context.applicationId)

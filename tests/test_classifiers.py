@@ -7,8 +7,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from shopledger.operators import classifiers as ml
-from shopledger.operators import evaluation
-from shopledger.operators.dependence import feature_grids, partial_dependence, split_points
+from shopledger.operators import evaluation, trees
+from shopledger.operators.dependence import few_values, feature_grids, partial_dependence, split_points
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +82,17 @@ def test_fit_rows_are_bounded_and_stable(cust):
     assert ml.fit_rows(cust).count() == 400
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 50, 399, 400, 1000])
+def test_fit_rows_keep_partitions_and_the_least_hashes(cust, most):
+    spread = cust.repartition(5)
+    found = ml.fit_rows(spread, most)
+    want = cust.orderBy(F.xxhash64("customer_id"), "customer_id").limit(most)
+    assert rows(found, "customer_id") == rows(want, "customer_id")
+    parts = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert found.rdd.getNumPartitions() > 1 and (most < 50 or parts > 1)
+    assert "Exchange SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounded_fits_are_scored_on_every_row(cust, monkeypatch):
     train, _ = ml.vip_frames(cust)
     held, fitted = [], []
@@ -95,6 +106,10 @@ def test_bounded_fits_are_scored_on_every_row(cust, monkeypatch):
     assert len(ml.vip_cross_validation(train, 2, most=60).collect()) == 3
     assert sorted(held) == sorted(3 * everyone) and fitted == [60] * 6
     held.clear(), fitted.clear()
+    counted = ml.right_counts
+    monkeypatch.setattr(
+        ml, "right_counts", lambda df, *a: held.extend(r[0] for r in df.select("customer_id").collect()) or counted(df, *a)
+    )
     grid = {"numTrees": (3,), "maxDepth": (2,), "minInstancesPerNode": (1, 4)}
     ml.grid_search(train, grid, k=2, most=60, refit=True)
     assert sorted(held) == sorted(2 * everyone) and fitted == [60] * 5
@@ -121,7 +136,7 @@ def test_partial_dependence_equals_brute_force(retention):
     model = ml.retention_tree(train)
     curve = sorted(partial_dependence(model, train, ["tenure_days"], points=20).collect(), key=lambda r: r.x)
     assert len(curve) == 20 and [r.x for r in curve] == pytest.approx(feature_grids(train, ["tenure_days"], 20)["tenure_days"])
-    assert split_points(model, 0)
+    assert split_points(model, 0, train)
     from pyspark.ml.functions import vector_to_array
 
     for point in curve[::6]:
@@ -138,11 +153,20 @@ def test_partial_dependence_of_a_forest_equals_brute_force(retention):
     for point in curve[::3]:
         moved = model.transform(train.withColumn("frequency", F.lit(point.x)))
         assert moved.agg(F.avg(vector_to_array("probability")[1])).first()[0] == pytest.approx(point.y)
+    # Grid values that equal thresholds belong to the stretch below.
+    cut = split_points(model, 0, train)[2]
+    some = train.withColumn("tenure_days", F.when(F.col("tenure_days") % 2 == 0, cut).otherwise(F.col("tenure_days") + 0.5))
+    curve = partial_dependence(model, some.repartition(3), ["tenure_days"], points=20_000)
+    (y,) = [r.y for r in curve.collect() if r.x == cut]
+    moved = model.transform(some.withColumn("tenure_days", F.lit(cut)))
+    assert moved.agg(F.avg(vector_to_array("probability")[1])).first()[0] == pytest.approx(y)
 
 
 def test_grid_of_few_values_is_the_values(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (3.0,)], "v double")
-    assert feature_grids(df, ["v"], 10) == {"v": [1.0, 3.0]}
+    assert feature_grids(df, ["v"], 10) == {"v": [1.0, 3.0]} == feature_grids(df.repartition(3), ["v"], 3)
+    assert len(feature_grids(df, ["v"], 2)["v"]) == 2 and few_values(df, ["v"], 2) == {}
+    assert few_values(df.where("v IS NULL"), ["v"], 2) == {"v": []}
 
 
 def test_grid_search_and_winner(retention):
@@ -157,6 +181,67 @@ def test_grid_search_and_winner(retention):
     assert winner.getNumTrees == found[0].numTrees
     assert winner.getOrDefault("minInstancesPerNode") == found[0].minInstancesPerNode
     assert ml.grid_search(train, grid, k=2)[1] is None
+    split = grid | {"minSamplesSplit": (2, 60)}
+    scores, best = ml.grid_search(train, split, k=2, refit=True)
+    assert scores.count() == 8 and scores.columns == [*split, "score"]
+    assert (best.trees.rows[best.trees.feature >= 0] >= scores.first().minSamplesSplit).all()
+
+
+def walked(nodes, row, trees, depth, least):
+    """Class shares by a walk over the node table that stops where the setting says."""
+    total = [0.0, 0.0]
+    for t in range(trees):
+        at, level = nodes[t, 0], 0
+        while at.feature >= 0 and at.rows >= least and level < depth:
+            at = nodes[t, at.left if row[at.feature] <= at.threshold else at.right]
+            level += 1
+        total = [a + c / sum(at.counts) for a, c in zip(total, at.counts)]
+    return total
+
+
+@pytest.fixture(scope="module")
+def forest(retention, spark):
+    """A forest with impure leaves, its node table and arrays."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    noisy = F.when(F.crc32(F.col("customer_id").cast("binary")) % 4 == 0, 1 - F.col("label")).otherwise(F.col("label"))
+    train = retention[0].withColumn("label", noisy)
+    model = ml.pipeline(RandomForestClassifier(numTrees=6, maxDepth=7, seed=3), ml.RETENTION_FEATURES).fit(train)
+    table = {(r.tree, r.node): r for r in trees.node_table(ml.classifier_of(model), spark).collect()}
+    return train, model, table, trees.Trees.of(ml.classifier_of(model), spark)
+
+
+def test_prunings_equal_walks_over_the_unpruned_nodes(forest):
+    train, model, table, arrays = forest
+    data = train.select(*ml.RETENTION_FEATURES, "label").collect()
+    settings = ((2, 6), (1, 4, 7), (2, 5, 10, 40))
+    right = trees.right_counts(train.repartition(3), arrays, ml.RETENTION_FEATURES, *settings)
+    assert len(right) == 24
+    for (n, depth, least), (hits, of) in right.items():
+        guesses = [walked(table, r, n, depth, least) for r in data]
+        assert of == len(data) and hits == sum(int(b > a) == r.label for (a, b), r in zip(guesses, data))
+    unpruned = model.transform(train).where("prediction = label").count()
+    assert right[6, 7, 2] == (unpruned, len(data)) and len({hits for hits, _ in right.values()}) > 4
+
+
+def test_a_pruned_forest_has_no_small_parents(forest, retention):
+    train, model, table, arrays = forest
+    assert arrays.importances(4) == pytest.approx(ml.classifier_of(model).featureImportances.toArray())
+    for least in (2, 10, 40, 10_000):
+        cut = arrays.pruned(least, depth=5, trees=4)
+        inner = cut.feature >= 0
+        assert (cut.rows[inner] >= least).all() and cut.depths().max() <= 5 and (cut.depths() >= 0).all()
+        best = trees.PrunedForest(model, cut, ml.RETENTION_FEATURES)
+        for r in best.transform(train).limit(60).collect():
+            a, b = walked(table, [r[f] for f in ml.RETENTION_FEATURES], 4, 5, least)
+            assert r.prediction == float(b > a)
+    assert {r.section for r in ml.best_model_report(best, retention[1]).collect()} == {"report", "importance"}
+
+
+def test_the_whole_grid_has_81_settings():
+    import math
+
+    assert math.prod(len(v) for v in ml.FOREST_GRID.values()) == 81
 
 
 def test_retention_importances_and_confusion(retention):
