@@ -247,10 +247,12 @@ def grid_search(
     most trees and the greatest depth; its prunings give the accuracies of all other settings on
     the whole held-out fold. With ``refit`` also the best forest, fitted with its own number of
     trees and depth on at most ``most`` rows and pruned to its least rows of a split; of equal
-    scores the first setting of the grid wins. ``parallelism`` is as in :func:`cross_validate`.
+    scores the first setting of the grid wins. ``parallelism`` is the number of forests fitted at a
+    time, by default all if the session has as many cores: the levels of deep trees are many small
+    jobs, which leave most of a cluster to the other fits.
     """
     spark = train.sparkSession
-    parallelism = parallelism or max(1, spark.sparkContext.defaultParallelism // 2)
+    parallelism = parallelism or spark.sparkContext.defaultParallelism
     pruning = {name: list(grid.get(name, (usual,))) for name, usual in PRUNING.items()}
     grown = {name: list(values) for name, values in grid.items() if name not in PRUNING}
     fits = [dict(zip(grown, values)) for values in product(*grown.values())]

@@ -63,15 +63,16 @@ class Trees:
 
     @classmethod
     def of(cls, model: Model, spark: SparkSession) -> Trees:
-        table = node_table(model, spark).orderBy("tree", "node").toPandas()
-        sizes = table.groupby("tree", sort=True).size().to_numpy()
+        table = node_table(model, spark).toArrow().sort_by([("tree", "ascending"), ("node", "ascending")])
+        col = lambda name: table[name].to_numpy()
+        sizes = np.unique(col("tree"), return_counts=True)[1]
         roots = np.cumsum(sizes) - sizes
         shift = np.repeat(roots, sizes)  # nodes of a tree are numbered from 0 without gaps
-        col = lambda name: table[name].to_numpy()
         child = lambda name: np.where(col("feature") < 0, -1, col(name) + shift)
+        counts = table["counts"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
         return cls(
             roots, child("left"), child("right"), col("feature"), col("threshold").astype(float),
-            col("rows"), col("gain").astype(float), np.array(table["counts"].tolist(), float),
+            col("rows"), col("gain").astype(float), counts.astype(float),
         )
 
     @property
