@@ -7,39 +7,43 @@ entity away all the same. How much is estimated from co-occurrence in the whole
 
 which is 1 if the term never occurs without the entity and falls as it occurs elsewhere. A term
 whose disclosure reaches ``generalise_at`` for any entity is replaced by its class, one that
-reaches ``remove_at`` is removed, wherever it occurs.
-
-Counts are of distinct contexts (a word with two neighbours on each side, in one text), so
-copies of a document are evidence only once, but the same words in different documents count
-every time. A pair needs ``least_contexts`` of them. The corpus is read
-three times: for the surroundings of entities; for all contexts of the candidate terms; and to
-apply the result. Tasks know candidate terms by a bitmap of fixed size; what it lets through by
-chance is dropped in an exact join.
+reaches ``remove_at`` is removed, wherever it occurs. Protected are single entities and what they
+share: the domain of an e-mail address, the network of an IP address, the first digits of a card
+or phone number.
+
+Counts are of distinct texts: copies of a document are evidence once, and what stands in
+different documents counts in each. A pair needs ``least_texts`` of them. The corpus is read for
+the digests of texts, for the surroundings of entities, for the counts of the candidate terms, and to
+apply the result. Tasks know candidate terms and repeated texts by bitmaps of fixed size. The
+terms of other texts are counted inside the task; only repeated texts send a row per term, of
+which one per text counts. What the bitmaps let through by chance costs work, not results.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopledger.llm.common import sliced
 from shopledger.plans.pinning import pin
 from shopledger.plans.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that count as near it, and neighbours that make a context.
-NEAR, NEIGHBOURS = 8, 2
-#: Bits of the broadcast bitmap: 2^20 are 128 KB, whatever the size of the corpus.
-BITMAP_BITS = 1 << 20
+#: Words on either side of an entity that count as near it.
+NEAR = 8
+#: Bits of the bitmaps of terms (128 KB) and of repeated texts (1 MB), whatever the size of the corpus.
+BITMAP_BITS, TEXT_BITS = 1 << 20, 1 << 23
+#: Terms that a task counts before it sends them.
+TERMS_HELD = 200_000
 _BLOCK = 32_768
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,7 +52,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _DIGIT_OR_AT = re.compile(r"[0-9]"), re.compile(r"[0-9@]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
 Span = tuple[str, int, int]
@@ -101,9 +105,12 @@ def entity_name(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_DIGIT.findall(raw))}"
 
 
-def _hash(words: Sequence[str], digest: int) -> int:
-    h = xxhash.xxh3_64_intdigest(" ".join(words).encode(errors="surrogatepass"), digest)
-    return h - (1 << 64) if h >> 63 else h
+def protected(kind: str, raw: str) -> tuple[str, str]:
+    """The entity, and what it shares with others of its kind."""
+    name = entity_name(kind, raw)
+    bare = name.split(":", 1)[1]
+    shared = {"email": bare.rpartition("@")[2], "ip": bare.rpartition(".")[0], "card": bare[:6], "phone": bare[:5]}
+    return name, f"{kind} in {shared[kind]}"
 
 
 def terms_of(text: str, hidden: Sequence[Span]) -> list[tuple[str, int, int]]:
@@ -118,117 +125,148 @@ def terms_of(text: str, hidden: Sequence[Span]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little")
-
-
-def _context(digest: int, terms: Sequence[tuple[str, int, int]], i: int) -> int:
-    around = [t for t, _, _ in terms[max(0, i - NEIGHBOURS) : i + NEIGHBOURS + 1]]
-    return _hash(["<" * max(0, NEIGHBOURS - i), *around], digest)
-
-
-def near_entities(text: str) -> Iterator[tuple[str, str, int]]:
-    """(term, entity, context) of the words near each entity; a null term counts the entity itself."""
+def near_entities(text: str) -> set[tuple[str, str]]:
+    """(term, entity) of the words near each entity; an empty term stands for the entity itself."""
     spans = find_entities(text)
     if not spans:
-        return
-    terms, digest = terms_of(text, spans), _digest(text)
+        return set()
+    terms, found = terms_of(text, spans), set()
     starts = [a for _, a, _ in terms]
     for kind, a, b in spans:
-        entity = entity_name(kind, text[a:b])
         i = bisect.bisect_left(starts, a)
-        around = range(max(0, i - NEAR), min(len(terms), i + NEAR))
-        yield "", entity, _hash([terms[j][0] for j in around], digest)
-        for j in around:
-            yield terms[j][0], entity, _context(digest, terms, j)
+        around = {t for t, _, _ in terms[max(0, i - NEAR) : i + NEAR]} | {""}
+        found.update((t, entity) for t in around for entity in protected(kind, text[a:b]))
+    return found
 
 
-def in_bitmap(bitmap: bytes, term: str) -> bool:
-    bit = zlib.crc32(term.encode()) % BITMAP_BITS
+def in_bitmap(bitmap: bytes, bit: int) -> bool:
     return bool(bitmap[bit >> 3] >> (bit & 7) & 1)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
+def _term_bit(term: str) -> int:
+    return zlib.crc32(term.encode()) % BITMAP_BITS
 
 
-_NEAR_SCHEMA = "term string, entity string, context bigint, words bigint"
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column("text").to_pylist()]
 
 
 def _near_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = _texts(batch)
-        rows = {r for t in texts for r in near_entities(t)}
-        words = sum(t.count(" ") + 1 for t in texts)
-        columns = [*zip(*sorted(rows), strict=True)] if rows else [(), (), ()]
-        yield pa.record_batch(
-            [
-                pa.array([*columns[0], None], pa.string()),
-                pa.array([*columns[1], None], pa.string()),
-                pa.array([*columns[2], None], pa.int64()),
-                pa.array([0] * len(rows) + [words], pa.int64()),
-            ],
-            ["term", "entity", "context", "words"],
-        )
-
-
-def _bitmap_of(terms: DataFrame) -> bytes | None:
-    """The terms' bits, at most 128 KB; None without terms."""
-    bit = F.crc32(F.col("term").cast("binary")) % BITMAP_BITS
-    blocks = terms.groupBy(F.floor(bit / _BLOCK).cast("int").alias("block")).agg(
-        F.bitmap_construct_agg(bit % _BLOCK).alias("bits")
+    for batch in sliced(batches):
+        texts = zip(batch.column("digest").to_pylist(), _texts(batch), strict=True)
+        rows = {(*pair, digest) for digest, text in texts for pair in near_entities(text)}
+        columns = [*zip(*rows)] if rows else [(), (), ()]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "entity", "digest"])
+
+
+def _bitmap_of(bits: DataFrame, size: int) -> bytes | None:
+    """Bitmap of the column ``bit``, ``size`` bits at most; None without rows."""
+    blocks = bits.groupBy(F.floor(F.col("bit") / _BLOCK).cast("int").alias("block")).agg(
+        F.bitmap_construct_agg(F.col("bit") % _BLOCK).alias("bits")
     )
-    rows = blocks.collect()  # one row per block, at most BITMAP_BITS / 32,768
+    rows = blocks.collect()  # one row per block, at most size / 32,768
     if not rows:
         return None
-    out = bytearray(BITMAP_BITS // 8)
+    out = bytearray(size // 8)
     for row in rows:
         at = row["block"] * _BLOCK // 8
         out[at : at + len(row["bits"])] = row["bits"]
     return bytes(out)
 
 
-def _occurrences(text: str, bitmap: bytes) -> Iterator[tuple[str, int, int, int]]:
-    """(term, context, start, end) of the words whose bit is set."""
-    likely = {t for t in {w.lower() for w in _TERM.findall(text)} if in_bitmap(bitmap, t)}
-    if likely:
-        terms, digest = terms_of(text, find_entities(text)), _digest(text)
-        for i, (t, a, b) in enumerate(terms):
-            if t in likely:
-                yield t, _context(digest, terms, i), a, b
+def _bitmap_of_terms(terms: DataFrame) -> bytes | None:
+    return _bitmap_of(terms.select((F.crc32(F.col("term").cast("binary")) % BITMAP_BITS).alias("bit")), BITMAP_BITS)
 
 
-def disclosing_terms(
-    docs: DataFrame, generalise_at: float = 0.9, remove_at: float = 0.97, least_contexts: int = 3
-) -> DataFrame:
-    """``term, disclosure, action`` of the terms that reveal some entity too strongly."""
+class _Likely:
+    """The terms whose bit is set, remembered for frequent words."""
+
+    def __init__(self, bitmap: bytes):
+        self.bitmap, self.known = bitmap, {}
+
+    def among(self, words: Iterable[str]) -> set[str]:
+        if len(self.known) > TERMS_HELD:
+            self.known.clear()
+        known, found = self.known, set()
+        for word in words:
+            term = known.get(word)
+            if term is None:
+                low = word.lower()
+                term = known[word] = low if in_bitmap(self.bitmap, _term_bit(low)) else ""
+            if term:
+                found.add(term)
+        return found
+
+
+def _occurrences(text: str, likely: _Likely) -> Iterator[Span]:
+    """(term, start, end) of the words outside entities whose bit is set."""
+    some = likely.among(set(_TERM.findall(text)))
+    if some:
+        yield from (x for x in terms_of(text, find_entities(text)) if x[0] in some)
+
+
+def text_counts(docs: DataFrame, terms: DataFrame, repeated: bytes | None) -> DataFrame:
+    """``term, n_term``: distinct texts with each term, and with some others that share a bit."""
+    bitmap = _bitmap_of_terms(terms)
+
+    def told(counts: dict[str, int], rows: set[tuple[str, int]]) -> pa.RecordBatch:
+        columns = [[*counts, *(t for t, _ in rows)], [*[None] * len(counts), *(d for _, d in rows)], [*counts.values(), *[1] * len(rows)]]
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["term", "digest", "n"])
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely, counts, rows = _Likely(bitmap), Counter(), set()
+        for batch in sliced(batches):
+            for digest, text in zip(batch.column("digest").to_pylist(), _texts(batch), strict=True):
+                found = likely.among(set(_TERM.findall(text)))
+                if found and _DIGIT_OR_AT.search(text):
+                    found &= {t for t, _, _ in terms_of(text, find_entities(text))}
+                if repeated and in_bitmap(repeated, digest % TEXT_BITS):
+                    rows.update((t, digest) for t in found)
+                else:
+                    counts.update(found)
+            if len(counts) + len(rows) > TERMS_HELD:
+                yield told(counts, rows)
+                counts, rows = Counter(), set()
+        yield told(counts, rows)
+
+    sent = docs.mapInArrow(counted, "term string, digest bigint, n bigint").groupBy("term", "digest").agg(F.sum("n").alias("n"))
+    return sent.groupBy("term").agg(F.sum(F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+
+
+def rated_terms(docs: DataFrame, least_texts: int = 3) -> DataFrame:
+    """``term, disclosure`` of every term near entities in ``least_texts`` distinct texts: the highest
+    disclosure of any entity. ``docs`` needs ``text``; null and empty texts hold no terms."""
     ship(docs.sparkSession)
-    near = pin(docs.select("text").mapInArrow(_near_batches, _NEAR_SCHEMA), "pii_near")
-    n = near.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n"))
-    counts = near.where("entity IS NOT NULL").groupBy("entity", "term").agg(F.countDistinct("context").alias("n_both"))
-    counts = pin(counts.where((F.col("term") == "") | (F.col("n_both") >= least_contexts)), "pii_pairs")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.xxhash64(body).alias("digest"), body.alias("text"))
+    near = docs.mapInArrow(_near_batches, "term string, entity string, digest bigint")
+    counts = near.groupBy("entity", "term").agg(F.countDistinct("digest").alias("n_both"))
+    counts = pin(counts.where((F.col("term") == "") | (F.col("n_both") >= least_texts)), "pii_pairs")
     pairs = counts.where("term <> ''")
     entities = counts.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    bitmap = _bitmap_of(pairs.select("term"))
-    if bitmap is None:
-        return docs.sparkSession.createDataFrame([], "term string, disclosure double, action string")
-
-    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {(t, c) for text in _texts(batch) for t, c, _, _ in _occurrences(text, bitmap)}
-            terms, hashes = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.record_batch([pa.array(terms, pa.string()), pa.array(hashes, pa.int64())], ["term", "context"])
-
-    everywhere = docs.select("text").mapInArrow(contexts, "term string, context bigint")
-    n_term = everywhere.groupBy("term").agg(F.countDistinct("context").alias("n_term"))
-    joined = pairs.join(entities, "entity").join(n_term, "term")
-    total = F.lit(float(n.first()["n"]))
-    information = F.greatest(F.log2(total / F.col("n_entity")), F.lit(1.0))
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "term string, disclosure double")
+    digests = pin(docs.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("again")), "pii_texts")
+    repeated = _bitmap_of(digests.where("again").select(F.pmod("digest", F.lit(TEXT_BITS)).alias("bit")), TEXT_BITS)
+    joined = pairs.join(entities, "entity").join(text_counts(docs, pairs, repeated), "term")
+    information = F.greatest(F.log2(F.lit(float(digests.count())) / F.col("n_entity")), F.lit(1.0))
     share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     rated = joined.select("term", (1 + F.log2(share) / information).alias("disclosure"))
-    rated = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    return rated.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def disclosing_terms(
+    docs: DataFrame, generalise_at: float = 0.9, remove_at: float = 0.97, least_texts: int = 3
+) -> DataFrame:
+    """``term, disclosure, action`` of the terms that reveal some entity too strongly.
+
+    Null and empty texts hold none; repeated texts count once; an empty table gives no rows.
+    """
     action = F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    return pin(rated.where(F.col("disclosure") >= generalise_at).withColumn("action", action), "pii_terms")
+    rated = rated_terms(docs, least_texts).where(F.col("disclosure") >= generalise_at)
+    return pin(rated.withColumn("action", action), "pii_terms")
 
 
 _SPAN = T.ArrayType(
@@ -257,16 +295,17 @@ def personal_data(docs: DataFrame, keep: Sequence[str] = ("doc_id",), terms: Dat
     kept = F.struct(*[F.col(f"`{k}`") for k in keep]).alias("kept")
     digest = F.sha2(text, 256)
     df = docs.select(kept, digest.alias("digest"), _entities(text).alias("base"))
-    bitmap = _bitmap_of(terms)
+    bitmap = _bitmap_of_terms(terms)
     if bitmap is None:
         return df.select("kept.*", F.col("base").alias("spans"))
 
     def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        likely = _Likely(bitmap)
+        for batch in sliced(batches):
             rows = [
-                (d, t, a, b)
+                (d, *x)
                 for d, text in zip(batch.column("digest").to_pylist(), _texts(batch), strict=True)
-                for t, _, a, b in _occurrences(text, bitmap)
+                for x in _occurrences(text, likely)
             ]
             columns = [*zip(*rows, strict=True)] if rows else [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
@@ -314,7 +353,12 @@ def _sanitised(text: pd.Series, kinds: pd.Series, starts: pd.Series, ends: pd.Se
 
 
 def sanitised_documents(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``docs`` with the texts sanitised, and ``n_chars``, if there, that of the new text."""
+    """``docs`` with the texts sanitised, and ``n_chars``, if there, that of the new text.
+
+    Rows, their number and all other columns stay as they are, whatever their names; a null text
+    stays null, an empty one empty, and texts without personal data do not change. Repeated rows
+    are treated each; an empty table gives no rows.
+    """
     fields = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in fields]).alias("_row")
     found = personal_data(docs.select(row, "text"), ["_row"], terms)
@@ -335,6 +379,7 @@ def told(spans: Column) -> Column:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """Personal data of every document; disclosing terms come from ``documents`` as well."""
     df = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))

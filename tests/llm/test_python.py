@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -86,6 +87,67 @@ def test_pii_signature_of_many_texts_counts_in_each(spark):
     assert terms["zanthor"] == (1.0, "remove") and terms["quill"] == (1.0, "remove")
 
 
+def brute_disclosure(texts, least):
+    """Highest disclosure of each term, from whole distinct texts."""
+    texts, both, entities, terms = {t or "" for t in texts}, {}, {}, {}
+    for text in texts:
+        found = brute_pii(text)
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        words = [(w, a) for w, a, b in words if not any(x < b and a < y for _, x, y in found)]
+        for w in {w for w, _ in words}:
+            terms[w] = terms.get(w, 0) + 1
+        near = set()
+        for kind, a, b in found:
+            raw = text[a:b].lower()
+            digits = re.sub("[^0-9]", "", raw)
+            if kind in ("email", "ip"):
+                names = raw, raw.rpartition("@" if kind == "email" else ".")[2 if kind == "email" else 0]
+            else:
+                names = digits, digits[: 6 if kind == "card" else 5]
+            i = sum(x < a for _, x in words)
+            around = {w for w, _ in words[max(0, i - 8) : i + 8]}
+            near |= {(kind, depth, n, w) for depth, n in enumerate(names) for w in around | {None}}
+        for *e, w in near:
+            both[tuple(e), w] = both.get((tuple(e), w), 0) + 1
+    out = {}
+    for (e, w), n in both.items():
+        if w is not None and n >= least:
+            information = max(1.0, math.log2(len(texts) / both[e, None]))
+            out[w] = max(out.get(w, -math.inf), 1 + math.log2(n / terms[w]) / information)
+    return out
+
+
+def test_pii_disclosure_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["Anna", "berta", "Carl", "dora", "emil", "fritz", "gustav", "heinrich", "ida", "jot"]
+    entities = ["a1@one.example", "b2@one.example", "c3@two.example", "10.1.2.3", "10.1.2.9", "4111 1111 1111 1111", "+49 170 5550100", "+49 170 5559999"]
+    texts = [None, "", "  "]
+    for _ in range(160):
+        some = [rng.choice(words) for _ in range(rng.randrange(3, 30))]
+        for e in rng.sample(entities, rng.choice([0, 0, 1, 2])):
+            some.insert(rng.randrange(len(some) + 1), e)
+            if e.endswith("one.example"):
+                some.append("Onecorp")
+        texts.append(rng.choice([" ", "\n", " \t"]).join(some))
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts + 40 * texts[5:6] + texts[9:30] + 30 * ["far away"])]
+    want = brute_disclosure([t for _, t, *_ in rows], 3)
+    docs = clashing(documents(spark, rows)).repartition(5)
+    got = {r["term"]: r["disclosure"] for r in pii.rated_terms(docs).collect()}
+    assert got == pytest.approx(want) and len(got) == 11 and got["onecorp"] == max(got.values())
+    monkeypatch.setattr(pii, "TERMS_HELD", 2)  # counts are sent as often as it takes
+    assert {r["term"]: r["disclosure"] for r in pii.rated_terms(docs).collect()} == got
+
+
+def test_pii_classes_are_protected(spark):
+    filler = "one two three four five six seven eight nine ten".split()
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(filler, k=30)) + (f" Zanthor staff p{i}@zanthor.example" if i < 20 else ""), "", "", 0) for i in range(200)]
+    terms = {r["term"]: r["action"] for r in pii.disclosing_terms(documents(spark, rows)).collect()}
+    assert terms["zanthor"] == terms["staff"] == "remove" and not set(terms) & set(filler)
+    out = by_id(pii.sanitised_documents(documents(spark, rows)))
+    assert out[3]["text"].endswith("[EMAIL]") and "anthor" not in out[3]["text"] and out[150]["text"] == rows[150][1]
+
+
 def test_pii_edges(spark):
     got = pii.personal_data(clashing(documents(spark)))
     assert got.count() == len(EDGES) and not any(r["spans"] for r in got.collect())
