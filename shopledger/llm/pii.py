@@ -235,26 +235,41 @@ def text_counts(docs: DataFrame, terms: DataFrame, repeated: bytes | None) -> Da
     return sent.groupBy("term").agg(F.sum(F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
 
 
-def rated_terms(docs: DataFrame, least_texts: int = 3) -> DataFrame:
+def _disclosure(n_both: Column, n_term: Column, n_entity: Column, texts: int) -> Column:
+    information = F.greatest(F.log2(F.lit(float(texts)) / n_entity), F.lit(1.0))
+    return 1 + F.log2(F.least(F.lit(1.0), n_both / n_term)) / information
+
+
+def rated_terms(docs: DataFrame, least_texts: int = 3, at_least: float | None = None) -> DataFrame:
     """``term, disclosure`` of every term near entities in ``least_texts`` distinct texts: the highest
-    disclosure of any entity. ``docs`` needs ``text``; null and empty texts hold no terms."""
+    disclosure of any entity. ``docs`` needs ``text``; null and empty texts hold no terms.
+
+    With ``at_least`` terms below it are left out. A term is in as many texts at least as it is
+    near any entity in, which bounds its disclosure from above; only terms whose bound
+    reaches ``at_least`` are counted in the whole corpus.
+    """
     ship(docs.sparkSession)
     body = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.xxhash64(body).alias("digest"), body.alias("text"))
-    near = docs.mapInArrow(_near_batches, "term string, entity string, digest bigint")
+    near = pin(docs.mapInArrow(_near_batches, "term string, entity string, digest bigint"), "pii_near")
     counts = near.groupBy("entity", "term").agg(F.countDistinct("digest").alias("n_both"))
-    counts = pin(counts.where((F.col("term") == "") | (F.col("n_both") >= least_texts)), "pii_pairs")
-    pairs = counts.where("term <> ''")
+    counts = pin(counts.where((F.col("term") == "") | (F.col("n_both") >= least_texts)), "pii_counts")
     entities = counts.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
+    digests = pin(docs.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("again")), "pii_texts")
+    texts = digests.count()
+    pairs = counts.where("term <> ''").join(entities, "entity")
+    if at_least is not None:
+        anywhere = near.where("term <> ''").groupBy("term").agg(F.countDistinct("digest").alias("n_near"))
+        bound = _disclosure(F.col("n_both"), F.col("n_near"), F.col("n_entity"), texts)
+        pairs = pairs.join(anywhere, "term").where(bound >= at_least).drop("n_near")
+    pairs = pin(pairs, "pii_pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
-    digests = pin(docs.groupBy("digest").agg((F.count(F.lit(1)) > 1).alias("again")), "pii_texts")
     repeated = _bitmap_of(digests.where("again").select(F.pmod("digest", F.lit(TEXT_BITS)).alias("bit")), TEXT_BITS)
-    joined = pairs.join(entities, "entity").join(text_counts(docs, pairs, repeated), "term")
-    information = F.greatest(F.log2(F.lit(float(digests.count())) / F.col("n_entity")), F.lit(1.0))
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    rated = joined.select("term", (1 + F.log2(share) / information).alias("disclosure"))
-    return rated.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    joined = pairs.join(text_counts(docs, pairs, repeated), "term")
+    disclosure = _disclosure(F.col("n_both"), F.col("n_term"), F.col("n_entity"), texts)
+    rated = joined.select("term", disclosure.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    return rated if at_least is None else rated.where(F.col("disclosure") >= at_least)
 
 
 def disclosing_terms(
@@ -265,7 +280,7 @@ def disclosing_terms(
     Null and empty texts hold none; repeated texts count once; an empty table gives no rows.
     """
     action = F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    rated = rated_terms(docs, least_texts).where(F.col("disclosure") >= generalise_at)
+    rated = rated_terms(docs, least_texts, generalise_at)
     return pin(rated.withColumn("action", action), "pii_terms")
 
 

@@ -134,6 +134,9 @@ def test_pii_disclosure_equals_brute_force(spark, monkeypatch):
     docs = clashing(documents(spark, rows)).repartition(5)
     got = {r["term"]: r["disclosure"] for r in pii.rated_terms(docs).collect()}
     assert got == pytest.approx(want) and len(got) == 11 and got["onecorp"] == max(got.values())
+    for at_least in (-1.0, 0.03, 0.5):  # bounds leave out only what is below
+        high = {r["term"]: r["disclosure"] for r in pii.rated_terms(docs, at_least=at_least).collect()}
+        assert high == {t: d for t, d in got.items() if d >= at_least}
     monkeypatch.setattr(pii, "TERMS_HELD", 2)  # counts are sent as often as it takes
     assert {r["term"]: r["disclosure"] for r in pii.rated_terms(docs).collect()} == got
 
