@@ -448,17 +448,22 @@ def linked_groups(
 
 
 def representatives(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
-    """One document of each group, that of the least id, with all its columns; blank ones all stay."""
+    """One document of each group, that of the least id, with all its columns, whatever their names.
+
+    Null, empty and blank texts have no group and all stay; of repeated rows one stays; of a
+    group whose ids are all null, too. An empty table gives no rows. Texts are compared whole.
+    """
     digest, place = private(docs, "_digest"), private(docs, "_place")
+    of, least = private(docs, "_of"), private(docs, "_least")
     marked = docs.withColumn(digest, F.xxhash64("text"))
     groups = linked_groups(marked, ["doc_id", digest], n, percent, star_rounds)
     groups = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", digest)).alias("row"))
-    kept = groups.select(F.col("row.doc_id").alias("_id"), F.col(f"row.`{digest}`").alias("_d"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(digest).eqNullSafe(F.col("_d"))
+    kept = groups.select(F.col("row.doc_id").alias(least), F.col(f"row.`{digest}`").alias(of))
+    same = F.col("doc_id").eqNullSafe(F.col(least)) & F.col(digest).eqNullSafe(F.col(of))
     blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     once = Window.partitionBy("doc_id", digest).orderBy("doc_id")
     full = marked.where(~blank).join(kept, same).withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
-    return full.select(*docs.columns).unionByName(docs.where(blank))
+    return full.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(blank))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

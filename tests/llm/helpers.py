@@ -27,7 +27,7 @@ def clashing(df):
     """The frame with further columns named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ["kept", "_w", "ids", "spans", "size", "cls", "features", "_row", "h", "row", "pos", "target", "digest", "_text"]
+    names = ["kept", "_w", "ids", "spans", "size", "cls", "features", "_row", "h", "row", "pos", "target", "digest", "_text", "_id", "_d", "_of"]
     return df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
 
 
