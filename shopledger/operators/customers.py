@@ -207,7 +207,7 @@ def running_total(tx: DataFrame, key: str) -> DataFrame:
     """
     summed = tx.groupBy(key, "invoice_date").agg(F.sum("total_value").alias("value"))
     totals = running_sums(
-        place(summed, [key, "invoice_date"]), [key], ["invoice_date"], ["value"]
+        place(summed, [key, "invoice_date"], [key]), [key], ["invoice_date"], ["value"]
     ).select(
         F.col(key).alias("_key"),
         F.col("invoice_date").alias("_date"),

@@ -16,23 +16,26 @@ from shopledger.functions.tails import chi2_p_value, f_p_value
 from shopledger.operators.products import by_price_segment, with_price_segment
 from shopledger.operators.reports import spend_and_line_values
 from shopledger.plans.distribution import long_form
-from shopledger.plans.placement import RANGE, place, running_sums
+from shopledger.plans.placement import RANGE, SLOT, place, running_sums
 
 LEVEL = 0.05
 
 
-def kruskal(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+def kruskal(
+    df: DataFrame, value: str, group: str, by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
     """Kruskal-Wallis H with tie correction, per ``by``; null where fewer than two groups.
 
-    Values are counted per (by, value, group); ties get their mean rank.
+    Values are counted per (by, value, group); ties get their mean rank. ``ranges`` is the number
+    of ranges that rank the counts, by default as many as their number asks for.
     """
     counts = (
         df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
         .groupBy(*by, F.col(value).alias("value"), F.col(group).alias("sample"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = place(counts, [*by, "value"])
-    ties = F.sum("n").over(Window.partitionBy(*by, RANGE, "value")).cast("double")
+    placed = place(counts, [*by, "value"], by, ranges)
+    ties = F.sum("n").over(Window.partitionBy(SLOT, *by, RANGE, "value")).cast("double")
     ranked = running_sums(placed, by, ["value"], ["n"]).withColumn("t", ties)
     n, t = F.col("n").cast("double"), F.col("t")
     mean_rank = F.col("n_upto") - t + (t + 1) / 2

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shopledger.plans.distribution import Distribution, long_form, one_row_quantiles
 from shopledger.plans.pinning import pin, pinned_scope, shared_folder
-from shopledger.plans.placement import RANGE, place, running_sums
+from shopledger.operators.stats import kruskal
+from shopledger.plans.placement import RANGE, place, ranges_for, running_sums
 from shopledger.plans.results import shaped, shaped_sql
 
 
@@ -56,7 +57,7 @@ def test_running_sums_cross_ranges(spark, groups):
     picks = random.Random(3)
     data = [("a" if picks.random() < 0.8 else "b", picks.randrange(400), 1 + i % 5) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, v int, x int")
-    placed = place(df, [*groups, "v"])
+    placed = place(df, [*groups, "v"], groups, ranges=4)
     assert placed.select(RANGE).distinct().count() > 1
     got = running_sums(placed, groups, ["v"], ["x"]).select("g", "v", "x_upto", "x_all").collect()
     assert len(got) == len(data)
@@ -68,10 +69,42 @@ def test_running_sums_cross_ranges(spark, groups):
 
 def test_running_sums_keep_null_groups(spark):
     df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "g string, v int, x int")
-    got = running_sums(place(df, ["g", "v"]), ["g"], ["v"], ["x"])
+    got = running_sums(place(df, ["g", "v"], ["g"], ranges=3), ["g"], ["v"], ["x"])
     assert sorted((r.g or "", r.x_upto) for r in got.collect()) == [("", 2), ("", 5), ("a", 5)]
 
 
+def test_ranges_follow_the_rows(spark):
+    assert [ranges_for(n, 8) for n in (0, 9_999, 25_000, 10**6, 10**7, 10**9)] == [1, 1, 3, 8, 10, 1000]
+    df = spark.range(45_000).select((F.col("id") * 7919 % 45_000).alias("v"), F.lit(1).alias("x"))
+    counts = [r["count"] for r in place(df, ["v"]).groupBy(RANGE).count().collect()]
+    assert len(counts) == 4 and max(counts) < 2 * min(counts)  # four cores
+    assert place(df.where("v < 20000"), ["v"]).select(RANGE).distinct().count() == 2
+    got = running_sums(place(df, ["v"], ranges=7), [], ["v"], ["x"])
+    assert got.where("x_upto <> v + 1").count() == 0
+
+
+def test_placed_rows_are_read_in_place(spark):
+    # Nulls, a group with most rows, and ties; broadcasts off, so joins must use the buckets.
+    df = spark.createDataFrame([(None if i % 7 == 0 else "ab"[i % 11 == 0], float(i % 50), "xyz"[i % 3]) for i in range(2000)], "g string, v double, s string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sums = running_sums(place(df.withColumn("n", F.lit(1)), ["g", "v"], ["g"], ranges=5), ["g"], ["v"], ["n"])
+        sums.collect()
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        test = kruskal(df, "v", "s", ["g"], ranges=5)
+        found = {r.g: r.h_statistic for r in test.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    final = plan.split("== Initial Plan ==")[0]
+    # What moves are the sums per (group, range), to the windows and to the join; never the rows.
+    moved = [line for line in final.splitlines() if "Exchange " in line]
+    assert len(moved) == 2 and "hashpartitioning(g#" in moved[1] and "hashpartitioning(_side__slot" in moved[0], final
+    assert final.count("Bucketed: true") == 2 and "Bucketed: false" not in final
+    whole = {r.g: r.h_statistic for r in kruskal(df, "v", "s", ["g"], ranges=1).collect()}
+    assert found == pytest.approx(whole) and len(found) == 3
+
+
 def test_quantiles_match_brute_force(spark):
     picks = random.Random(5)
     data = [(g, round(picks.gauss(50, 20), picks.choice([0, 2]))) for g in "abc" for _ in range(701)]
