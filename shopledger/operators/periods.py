@@ -189,20 +189,41 @@ def retention_summary(tx: DataFrame, y0: int, y1: int, win_back: float = 0.1) ->
 def cohort_activity(tx: DataFrame) -> DataFrame:
     """Customers per (invoice month, month of their first purchase).
 
-    Lines are reduced to distinct (customer, month) pairs first, so the window over a customer
-    sees at most one row per calendar month.
+    Each task ORs the months of a customer into bitmaps, one for every ``ERA`` months; only these
+    small rows are shuffled. The first month and all others are read off the bits. Lines
+    without a date have no month.
     """
-    months = tx.select(
-        "customer_id", calendar.month_start(F.col("invoice_date")).alias("invoice_month")
-    ).distinct()
-    first = F.min("invoice_month").over(Window.partitionBy("customer_id"))
-    return (
-        months.withColumn("first_month", first)
-        .groupBy("invoice_month", "first_month")
-        .agg(F.count("customer_id").alias("customers"))
+    eras = customer_months(tx)
+    begin = F.col("era") * ERA
+    first = F.min(begin + F.bit_count(F.col("bits").bitwiseAND(-F.col("bits")) - 1))
+    customers = eras.groupBy("customer_id").agg(first.alias("first"), F.collect_list(F.struct(begin.alias("at"), "bits")).alias("eras"))
+    bits = F.sequence(F.lit(0), F.lit(ERA - 1))
+    set_bits = lambda e: F.filter(bits, lambda k: F.getbit(e["bits"], k) == 1)
+    months = F.flatten(F.transform("eras", lambda e: F.transform(set_bits(e), lambda k: e["at"] + k)))
+    date = lambda m: F.make_date(F.floor(m / 12).cast("int"), (F.pmod(m, F.lit(12)) + 1).cast("int"), F.lit(1))
+    cells = customers.select("customer_id", "first", F.explode(months).alias("month")).groupBy("month", "first")
+    return cells.agg(F.count("customer_id").alias("customers")).select(
+        date(F.col("month")).alias("invoice_month"), date(F.col("first")).alias("first_month"), "customers"
     )
 
 
+#: Months in one bitmap of a customer; the sign bit stays free.
+ERA = 63
+
+
+def customer_months(tx: DataFrame) -> DataFrame:
+    """The months in which a customer bought: ``customer_id``, ``era``, ``bits``.
+
+    Bit k of era e stands for month ``ERA * e + k`` counted from year 0. Rows of several parts of
+    the lines are put together by another ``bit_or``.
+    """
+    date = F.col("invoice_date")
+    month = F.year(date) * 12 + F.month(date) - 1
+    one = F.expr(f"shiftleft(1L, CAST(pmod(month, {ERA}) AS INT))")
+    lines = tx.where(date.isNotNull()).select("customer_id", month.alias("month"))
+    return lines.groupBy("customer_id", F.floor(F.col("month") / ERA).cast("int").alias("era")).agg(F.bit_or(one).alias("bits"))
+
+
 def cohort_retention(activity: DataFrame) -> DataFrame:
     """Percent of each cohort still buying, by whole months since the first purchase."""
     since = F.months_between("invoice_month", "first_month").cast("int")

@@ -22,9 +22,31 @@ ACCURACY = 50_000
 #: rows or more on either side; the last holds all rows of a group of less than a thousand.
 MARGINS = (4 / ACCURACY, 100 / ACCURACY, 1.0)
 
+#: Exponents of the bins of an exact sum: 60 bits each, so magnitudes from 2^-140 to 2^220.
+BINS = (160, 100, 40, -20, -80, -140)
+
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that is the same in any order of addition.
+
+    A value is cut at fixed exponents into whole multiples of powers of two, which are added
+    exactly; the six sums are joined at the end. What lies below 2^-140 is lost, and the sum is
+    right to about 1e-15 of the sum of absolute values. Values of 2^220 or more, infinite ones and
+    NaN are added as doubles.
+    """
+    inside = F.abs(value) < 2.0**220
+    rest = F.abs(value)
+    total = F.coalesce(F.sum(F.when(~inside | F.isnan(value), value)), F.lit(0.0))
+    for e in BINS:
+        part = F.floor(rest * 2.0**-e)
+        signed = F.when(inside, part * F.when(value < 0, -1).otherwise(1))
+        total = total + F.coalesce(F.sum(signed.cast("decimal(28,0)")).cast("double"), F.lit(0.0)) * 2.0**e
+        rest = rest - part.cast("double") * 2.0**e
+    return F.when(F.count(value) > 0, total)
+
+
 def long_form(df: DataFrame, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row (by, measure, value) per measure of each row; nulls are left out."""
     pairs = F.array(
@@ -102,13 +124,12 @@ class Distribution:
     def describe(self) -> DataFrame:
         """count, total, mean, std (n-1), min, q1, median, q3, max.
 
-        The total is a decimal sum of eight digits after the point, which does not depend on the
-        order of addition; values must be below 1e20.
+        The total is that of :func:`exact_sum`, which does not depend on the order of addition.
         """
-        exact = F.sum(F.col("value").cast("decimal(28,8)"))
+        total = exact_sum(F.col("value"))
         more = [
-            F.count(F.lit(1)).alias("count"), exact.cast("double").alias("total"),
-            (exact.cast("double") / F.count(F.lit(1))).alias("mean"), F.stddev_samp("value").alias("std"),
+            F.count(F.lit(1)).alias("count"), total.alias("total"),
+            (total / F.count(F.lit(1))).alias("mean"), F.stddev_samp("value").alias("std"),
             F.min("value").alias("min"), F.max("value").alias("max"),
         ]
         groups = self._bracketed(QUARTILES, *more)

@@ -49,6 +49,25 @@ def test_first_year_without_customers(tx):
     assert periods.retention_summary(tx, 2001, 2010).first().net_change_pct is None
 
 
+def test_cohorts_from_bitmaps_equal_brute_force(make_lines):
+    import datetime as dt
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(2)
+    data = [(str(i), "A", 1, f"{rng.choice([1969, 1997, 2003, 2010, 2031])}-{rng.randrange(1, 13):02}-0{rng.randrange(1, 10)}", 1, f"c{rng.randrange(40)}") for i in range(400)]
+    months = defaultdict(set)
+    for *_, date, _, c in data:
+        months[c].add(date[:7])
+    want = Counter((m, min(found)) for found in months.values() for m in found)
+    activity = periods.cohort_activity(make_lines(data).repartition(5))
+    got = {(r.invoice_month.strftime("%Y-%m"), r.first_month.strftime("%Y-%m")): r.customers for r in activity.collect()}
+    assert got == want and all(isinstance(r.invoice_month, dt.date) for r in activity.take(1))
+    plan = periods.cohort_activity(make_lines(data))._jdf.queryExecution().executedPlan().toString()
+    # One exchange each of bitmaps, customers and cells.
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
 def test_cohorts(tx):
     activity = periods.cohort_activity(tx)
     retention = periods.cohort_retention(activity)

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from shopledger.plans.distribution import Distribution, long_form, one_row_quantiles
+from shopledger.plans.distribution import Distribution, exact_sum, long_form, one_row_quantiles
 from shopledger.plans.pinning import pin, pinned_scope, shared_folder
 from shopledger.operators.stats import kruskal
 from shopledger.plans.placement import RANGE, place, ranges_for, running_sums
@@ -169,6 +169,31 @@ def test_describe(spark):
     assert got["b"]["count"] == 1 and got["b"]["std"] is None and got["b"].median == 7.0
 
 
+def test_exact_sums_of_doubles(spark):
+    import math
+
+    rng = random.Random(1)
+    kinds = {
+        "tiny": [i * 1e-9 for i in range(1000)],
+        "huge": [3e20, 1.5, -2e20, 3e-7] * 50,
+        "mixed": [rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 25) for _ in range(3000)],
+        "beyond": [1e300, 2.0, -1e80],
+        "money": [rng.randrange(10**9) / 100 for _ in range(2000)],
+        "none": [None],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in kinds.items() for v in vs], "g string, v double")
+    sums = lambda d: {r.g: r.total for r in d.groupBy("g").agg(exact_sum(F.col("v")).alias("total")).collect()}
+    got = sums(df)
+    for g, values in kinds.items():
+        if g == "none":
+            assert got[g] is None
+        else:
+            assert abs(got[g] - math.fsum(values)) <= 1e-14 * math.fsum(map(abs, values)), g
+    assert got == sums(df.repartition(7)) == sums(df.orderBy("v"))
+    mean = Distribution(long_form(df.where("g = 'tiny'"), ["v"])).describe().first()["mean"]
+    assert mean == pytest.approx(4.995e-07, rel=1e-12)
+
+
 def test_box_whiskers_and_outliers(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 5, 100]], "v double")
     row = Distribution(long_form(df, ["v"])).box().first()
