@@ -9,9 +9,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopledger.functions import calendar
 from shopledger.operators import classifiers as ml
 from shopledger.operators import cleaning, customers, dependence, evaluation, insights
-from shopledger.operators import periods, products, reports, stats
+from shopledger.operators import periods, products, reports, stats, uniques
 from shopledger.plans.pinning import pin
 from shopledger.plans.results import shaped
 from shopledger.sources import testdata
@@ -474,6 +475,12 @@ QUERIES: dict[str, Query] = {
         "year:i, revenue:4, orders:i, customers:i, volume:i",
         lambda g: periods.metrics_by_year(g.tx, Y0, Y1),
     ),
+    "unique_counts": Query(
+        "span:s, measure:s, n:i",
+        lambda g: uniques.unique_counts(
+            pin(uniques.period_bitmaps(g.tx, ["customer_id", "invoice", "stock_code"], calendar.month_start(F.col("invoice_date"))), "bitmaps")
+        ),
+    ),
     "yoy_changes": Query(COMPARE, lambda g: periods.yoy_changes(g.tx, Y0, Y1)),
     "monthly_yoy": Query("month:i, " + SIDES, lambda g: periods.monthly_yoy(g.tx, Y0, Y1)),
     "price_segment_yoy": Query(

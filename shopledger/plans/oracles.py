@@ -491,6 +491,12 @@ SELECT f AS f_statistic, p AS p_value, p < 0.05 AS significant FROM (
          + lgamma(a + b + i) - lgamma(b) - lgamma(a + 1 + i) + i * ln(z)))) AS p
   FROM (SELECT f, d2 / 2 AS a, d1 / 2 AS b, d2 / (d2 + d1 * f) AS z FROM anova))""",
     "metrics_by_year": "SELECT * FROM by_year",
+    "unique_counts": """
+SELECT span, measure, count(DISTINCT key) AS n FROM (
+    SELECT measure, key, unnest([strftime(invoice_date, '%Y-%m'), strftime(invoice_date, '%Y'), 'all']) AS span FROM (
+        SELECT invoice_date, unnest(['customer_id', 'invoice', 'stock_code']) AS measure,
+               unnest([customer_id, invoice, stock_code]) AS key FROM tx))
+GROUP BY span, measure""",
     "yoy_changes": _compare("by_year", ["revenue", "orders", "customers", "volume"]),
     "monthly_yoy": _sides("month"),
     "price_segment_yoy": _sides("price_segment", f"(FROM txs WHERE year IN ({Y0}, {Y1}))"),

@@ -68,6 +68,30 @@ def test_cohorts_from_bitmaps_equal_brute_force(make_lines):
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 3
 
 
+def test_unions_of_stored_bitmaps_equal_recounting(make_lines, spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from shopledger.operators import uniques
+    from shopledger.plans.pinning import pin
+
+    rng = random.Random(7)
+    data = [(str(rng.randrange(90)), f"p{rng.randrange(30)}", 1, f"{rng.choice([2009, 2010])}-0{rng.randrange(1, 10)}-05", 1, f"c{rng.randrange(60)}") for _ in range(500)]
+    lines = make_lines(data).repartition(6)
+    stored = pin(uniques.period_bitmaps(lines, ["customer_id", "stock_code"], F.trunc("invoice_date", "month")), "stored")
+    for low, high in (("2009-01", "2010-09"), ("2009-03", "2009-05"), ("2010-02", "2010-02"), ("2009-08", "2010-03")):
+        some = stored.where(F.date_format("period", "yyyy-MM").between(low, high))
+        got = {r.measure: r.n for r in uniques.united(some).collect()}
+        inside = [d for d in data if low <= d[3][:7] <= high]
+        assert got == {"customer_id": len({d[5] for d in inside}), "stock_code": len({d[1] for d in inside})}
+    keys = uniques.numbered(spark.range(70_000).select(F.col("id").cast("string").alias("k")), "k")
+    stats = keys.agg(F.count("k"), F.countDistinct("number"), F.min("number"), F.max("number")).first()
+    assert stats[:3] == (70_000, 70_000, 0) and stats[3] < 80_000
+    large = uniques.period_bitmaps(spark.range(70_000).select("id", (F.col("id") % 3).alias("p")), ["id"], F.col("p"))
+    assert uniques.united(large.where("period < 2")).first()["n"] == 46_667 and large.where("block > 1").count() > 0
+
+
 def test_cohorts(tx):
     activity = periods.cohort_activity(tx)
     retention = periods.cohort_retention(activity)
