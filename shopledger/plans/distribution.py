@@ -6,6 +6,9 @@ below each bracket, and counts by value those inside; the wanted value follows f
 counts. Nothing near the size of the data is shuffled, sorted or written, and no group is ever
 held in one task, which the built-in exact ``percentile`` would do: inside a bracket lie at
 most ``8 / ACCURACY`` of a large group's rows, besides ties, which count as one.
+
+The found values are pinned, one row per group, and checked: a group with a rank outside its
+bracket is counted anew by value, spread over ranges.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopledger.plans.pinning import pin
+from shopledger.plans.placement import place, running_sums
+
 #: Rank error of the sketches as a share of the rows: 1 / ACCURACY.
 ACCURACY = 50_000
 #: Half widths of the brackets as shares of the rows. A group takes the narrowest one that is two
@@ -116,10 +122,31 @@ class Distribution:
         ranked = ranked.groupBy(*self.keys, "n_all").agg(
             *[_interpolated(at, i).alias(name) for i, (name, at) in enumerate(zip(probabilities, positions))]
         )
-        if not keep:
-            return ranked.drop("n_all")
-        joined = groups.alias("g").join(ranked.alias("r"), self._same("g", "r"))
-        return joined.select(*[f"g.{k}" for k in self.keys], *[f"g.{k}" for k in keep], *[f"r.{q}" for q in probabilities])
+        if keep:
+            joined = groups.alias("g").join(ranked.alias("r"), self._same("g", "r"))
+            ranked = joined.select(*[f"g.{k}" for k in self.keys], *[f"g.{k}" for k in keep], *[f"r.{q}" for q in probabilities])
+        else:
+            ranked = ranked.drop("n_all")
+        return self._checked(pin(ranked, "quantiles"), dict(zip(probabilities, positions)))
+
+    def _checked(self, found: DataFrame, positions: dict[str, str]) -> DataFrame:
+        """``found``, with groups that lack a value counted anew.
+
+        A value is missing where its rank lies outside the bracket. Such a group's rows are counted
+        by value, and running counts over ranges of values find all its ranks.
+        """
+        lacking = reduce(Column.__or__, [F.col(name).isNull() for name in positions])
+        missed = found.where(lacking)
+        if missed.isEmpty():
+            return found
+        rows = self.long.alias("l").join(missed.alias("m"), self._same("l", "m"), "left_semi")
+        counts = rows.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = running_sums(place(counts, [*self.keys, "value"], self.keys), self.keys, ["value"], ["n"])
+        counts = counts.select(*self.keys, "n_all", F.lit(0).alias("i"), F.col("value").alias("v"), "n", "n_upto")
+        again = counts.groupBy(*self.keys, "n_all").agg(*[_interpolated(at, 0).alias(name) for name, at in positions.items()])
+        again = pin(again.drop("n_all"), "quantiles")
+        mended = missed.drop(*positions).alias("m").join(again.alias("a"), self._same("m", "a"))
+        return found.where(~lacking).unionByName(mended.select("m.*", *[f"a.{q}" for q in positions]))
 
     def describe(self) -> DataFrame:
         """count, total, mean, std (n-1), min, q1, median, q3, max.

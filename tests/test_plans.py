@@ -152,13 +152,41 @@ def test_pinned_scope_deletes_what_it_pinned(spark):
     assert not Path(path).exists()
 
 
-def test_descriptions_pin_nothing_and_join_on_keys(spark):
-    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "g string, v double")
+def test_descriptions_pin_a_row_per_group_and_join_on_keys(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 997).cast("double").alias("v"))
     before = set(Path(shared_folder(spark)).iterdir())
     out = Distribution(long_form(df, ["v"], ["g"]), ["g"]).describe()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert out.count() == 2 and set(Path(shared_folder(spark)).iterdir()) == before
+    made = set(Path(shared_folder(spark)).iterdir()) - before
+    assert [spark.read.parquet(str(p)).count() for p in made] == [2] and out.count() == 2
+
+
+@pytest.mark.parametrize("shift", [-0.3, 0.3])
+@pytest.mark.parametrize("alpha", [1.0, 0.4])
+def test_wrong_brackets_are_found_and_counted_anew(spark, monkeypatch, shift, alpha):
+    # Brackets of group "a" (and of the null group) are those of other ranks; "b" keeps its own.
+    picks = random.Random(11)
+    data = [(g, float(picks.randrange(50) if g == "b" else picks.randrange(10**6))) for g in ("a", "b", None) for _ in range(4000)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    dist = lambda: Distribution(long_form(df, ["v"], ["g"]), ["g"])
+    want = {r.g: tuple(r) for r in dist().quantiles(alpha=alpha).collect()}
+    honest = Distribution._bracketed
+
+    def wrong(self, probabilities, *more):
+        shifted = {n: min(1.0, max(0.0, p + shift)) for n, p in probabilities.items()}
+        a = honest(self, shifted, *more).where("NOT g <=> 'b'")
+        return a.unionByName(honest(self, probabilities, *more).where("g <=> 'b'"))
+
+    monkeypatch.setattr(Distribution, "_bracketed", wrong)
+    monkeypatch.setattr("shopledger.plans.placement.RANGE_ROWS", 500)
+    assert {r.g: tuple(r) for r in dist().quantiles(alpha=alpha).collect()} == want
+    assert want[None][2:] and len(want) == 3
+    if alpha == 1.0:
+        for g, row in want.items():
+            assert row[-3:] == pytest.approx([linear([v for h, v in data if h == g], p) for p in (0.25, 0.5, 0.75)])
+        got = {r.g: r for r in dist().describe().collect()}
+        assert all((got[g].q1, got[g].median, got[g].q3) == want[g][-3:] and got[g]["count"] == 4000 for g in want)
 
 
 def test_describe(spark):
