@@ -49,10 +49,10 @@ def anchors(df: DataFrame, keep: Sequence[str], text: Column, out: str, k: int =
     return fixed(df, keep, **{out: made, f"{out}_least": F.when(unsure, least)})
 
 
-def hashes(found: Column, least: Column) -> Column:
-    """The hashes of the anchors, or ``least`` (see :func:`anchors`) where there are none."""
-    own = F.transform(found, lambda a: a["hash"])
-    return F.when((F.size(found) == 0) & least.isNotNull(), F.array(least)).otherwise(own)
+def with_least(found: Column, least: Column) -> Column:
+    """The anchors, or ``least`` (see :func:`anchors`) at place 0 where there are none."""
+    alone = F.array(F.struct(F.lit(0).alias("pos"), least.alias("hash")))
+    return F.when((F.size(found) == 0) & least.isNotNull(), alone).otherwise(found)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -61,9 +61,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union).cast("double")
 
 
+def matched(df: DataFrame, keep: Sequence[str], **pairs: tuple[str, str]) -> DataFrame:
+    """``keep`` and the likeness (0 to 1) of each pair of columns of anchors by matching positions.
+
+    Anchors of equal hash, each at its first place, are matched and put in the order of the one
+    text. A match counts if its place in the other text follows that of the match before it, so
+    each jump back costs one. The likeness is the share of these among all distinct anchors of
+    both: 1 for equal texts and for two without anchors, and never above that of the bare hashes.
+    Anchors of both texts are sorted by hash once, so a long text costs little more than its sort.
+    """
+    tagged = lambda c, side: F.transform(c, lambda a: F.struct(a["hash"].alias("hash"), F.lit(side).alias("side"), a["pos"].alias("pos")))
+    df = fixed(df, keep, **{n: F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))) for n, (a, b) in pairs.items()})
+
+    def first_places(n: str) -> Column:
+        before = lambda i: F.get(n, i - 1)
+        new = lambda x, i: (i == 0) | (x["hash"] != before(i)["hash"]) | (x["side"] != before(i)["side"])
+        return F.filter(n, lambda x, i: F.coalesce(new(x, i), F.lit(True)))
+
+    def matches(n: str) -> Column:
+        after = lambda i: F.get(n, i + 1)
+        both = lambda x, i: F.when(after(i)["hash"] == x["hash"], F.struct(x["pos"].alias("a"), after(i)["pos"].alias("b")))
+        return F.array_sort(F.filter(F.transform(n, both), lambda p: p.isNotNull()))
+
+    def share(n: str) -> Column:
+        common = f"{n}_common"
+        forward = F.filter(common, lambda p, i: F.coalesce(p["b"] > F.get(common, i - 1)["b"], F.lit(True)))
+        union = F.size(n) - F.size(common)
+        return F.when(union == 0, F.lit(1.0)).otherwise(F.size(forward) / union).cast("double")
+
+    df = fixed(df, keep, **{n: first_places(n) for n in pairs})
+    df = fixed(df, [*keep, *pairs], **{f"{n}_common": matches(n) for n in pairs})
+    return fixed(df, keep, **{n: share(n) for n in pairs})
+
+
 def text_form(found: Column) -> Column:
-    """Anchors in order of position, 16 hexadecimal digits each."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " ")
+    """Hashes of the anchors in order of position, 16 hexadecimal digits each."""
+    return F.array_join(F.transform(found, lambda a: F.lpad(F.lower(F.hex(a["hash"])), 16, "0")), " ")
 
 
 def ranges_of(key: str, cuts: Sequence[int]) -> Column:
@@ -137,10 +170,11 @@ def op7(spark, sf_dir: str) -> DataFrame:
     df = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     df = fixed(
         df, ["doc_id", "n_chars"], edited_sha256=F.sha2("edited", 256),
-        **{n: hashes(F.col(c), F.col(f"{c}_least")) for n, c in (("a", "anchors"), ("e", "edited_anchors"), ("x", "next_anchors"))},
+        **{n: with_least(F.col(c), F.col(f"{c}_least")) for n, c in (("a", "anchors"), ("e", "edited_anchors"), ("x", "next_anchors"))},
     )
-    return df.select(
-        "doc_id", "n_chars", "edited_sha256",
-        text_form(F.col("a")).alias("fingerprint"), text_form(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"),
+    df = fixed(
+        df, ["doc_id", "n_chars", "edited_sha256", "a", "e", "x"],
+        fingerprint=text_form(F.col("a")), edited_fingerprint=text_form(F.col("e")),
     )
+    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    return matched(df, out, near_edited=("a", "e"), near_next=("a", "x"))

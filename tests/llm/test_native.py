@@ -153,6 +153,43 @@ def test_texts_without_an_anchor_are_told_apart(spark, tmp_path):
         assert got[i]["edited_fingerprint"] and got[i]["near_edited"] < 1
 
 
+def brute_likeness(a, b):
+    """Likeness of two lists of (pos, hash): matches in order of the one text that go forward in the other."""
+    first = lambda found: {h: p for p, h in sorted(found, reverse=True)}
+    one, two = first(a), first(b)
+    union = len(one.keys() | two.keys())
+    places = [two[h] for _, h in sorted((p, h) for h, p in one.items() if h in two)]
+    forward = sum(i == 0 or places[i] > places[i - 1] for i in range(len(places)))
+    return forward / union if union else 1.0
+
+
+def test_likeness_matches_positions(spark):
+    rng = random.Random(5)
+    lists = [sorted((rng.randrange(60), rng.randrange(25)) for _ in range(rng.randrange(12))) for _ in range(80)]
+    moved = [(i, 100 + (i + 6) % 12) for i in range(12)]  # the halves change places
+    pairs = list(zip(lists[::2], lists[1::2])) + [([], []), (lists[3], lists[3]), ([(i, 100 + i) for i in range(12)], moved)]
+    kind = "array<struct<pos:int,hash:bigint>>"
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"doc_id bigint, a {kind}, b {kind}")
+    got = {r["doc_id"]: r["near"] for r in fingerprints.matched(df, ["doc_id"], near=("a", "b")).collect()}
+    assert got == {i: brute_likeness(a, b) for i, (a, b) in enumerate(pairs)}
+    assert [got[i] for i in range(len(pairs) - 3, len(pairs))] == [1.0, 1.0, 11 / 12]
+
+
+def test_registered_fingerprints_equal_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    part = lambda: [str(rng.randrange(9000)) for _ in range(40)]
+    a, b, c = part(), part(), part()
+    texts = [" ".join(w) for w in (a + b + c, b + a + c, a + b, a + b, part(), [], c[:14] + a)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in fingerprints.op7(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert got[i]["near_next"] == brute_likeness(brute_anchors(t), brute_anchors(following)), i
+        assert got[i]["near_edited"] == brute_likeness(brute_anchors(t), brute_anchors(edited)), i
+    assert 0 < got[0]["near_next"] < 1 and got[2]["near_next"] == 1.0
+
+
 def brute_secrets(text):
     assign = re.compile(
         r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -198,3 +235,21 @@ def test_ledger_scans_only_what_is_new(spark):
     third, _ = secret_scan.scan(more, ["path", "version"], first.unionByName(again), [*secret_scan.RULES[:2], *changed])
     assert {r["rule"] for r in third.collect()} == {"hex@2"}
     assert [x.count() for x in secret_scan.scan(old.limit(0), ["path"])] == [0, 0]
+
+
+def test_deliveries_meet_the_ledger(spark, tmp_path):
+    rows = [(i, SECRETS[i % len(SECRETS)] if i % 3 else f"plain {i % 5}", "", "", 0) for i in range(40)] + EDGES
+    docs = documents(spark, rows)
+    older, newer = secret_scan.older_and_newer(docs, "doc_id")
+    assert older.count() and newer.count() and older.count() + newer.count() == len(rows)
+    added, found = secret_scan.scan_deliveries([older, newer, docs.limit(0)], ["doc_id"])
+    kinds = len(secret_scan.RULES)
+    contents = lambda df: {r["text"] or "" for r in df.collect()}
+    assert contents(older) & contents(newer)  # the second delivery holds known contents
+    assert added.count() == added.select("blob", "rule").distinct().count() == kinds * len(contents(docs))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(found) == plain(secret_scan.scan(docs, ["doc_id"])[1])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert secret_scan.op9(spark, str(tmp_path)).count() == len(rows)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert secret_scan.op9(spark, str(tmp_path / "none")).count() == 0
