@@ -117,6 +117,30 @@ def scan(
     return fresh, paths.select(*keys, "blob", F.coalesce(spans, F.array().cast(SPANS)).alias("spans"))
 
 
+def scan_deliveries(
+    deliveries: Sequence[DataFrame], keys: Sequence[str], ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`scan` of one delivery of versions after another, each with the ledger so far.
+
+    Content that an earlier delivery brought is not scanned again. Returns the rows to add to
+    ``ledger``, and the findings of every row of every delivery. An empty delivery adds nothing.
+    """
+    added = findings = None
+    for versions in deliveries:
+        fresh, found = scan(versions, keys, ledger, rules)
+        ledger = fresh if ledger is None else ledger.unionByName(fresh)
+        added = fresh if added is None else added.unionByName(fresh)
+        findings = found if findings is None else findings.unionByName(found)
+    return added, findings
+
+
+def older_and_newer(docs: DataFrame, key: str) -> list[DataFrame]:
+    """All rows in two deliveries: up to the (approximate) middle key, with null keys, and beyond."""
+    middle = docs.agg(F.percentile_approx(key, 0.5).alias("m")).first()["m"]
+    newer = F.coalesce(F.col(key) > F.lit(middle), F.lit(False))
+    return [docs.where(~newer), docs.where(newer)]
+
+
 def told(spans: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     return F.array_join(
@@ -125,9 +149,12 @@ def told(spans: Column) -> Column:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Secrets in every document, each document being one path with one version."""
+    """Secrets in every document, delivered in two halves by id; a document is a version of its id.
+
+    The second half meets the ledger of the first: copies of its contents are known there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    _, found = scan(docs, ["doc_id"])
+    _, found = scan_deliveries(older_and_newer(docs, "doc_id"), ["doc_id"])
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
