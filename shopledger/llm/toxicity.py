@@ -151,13 +151,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
     """``doc_id, text, label, fold`` of at most ``most`` labelled rows outside the held-out fifth.
 
     An id with several labels counts as toxic if any of them is; rows without a label are not
-    used. The rows are those of the least md5 of their id, so reruns agree.
+    used. The rows are those of the least md5 of their id, so reruns agree. Only ``most`` ids with
+    two numbers each are broadcast; no text moves.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
     known = known.agg(F.max("toxic").cast("double").alias("label"), F.md5(F.first("doc_id").cast("string").cast("binary")).alias("place"))
     known = known.withColumn("fold", remainder(F.col("doc_id"))).where("fold <> 0")
     known = known.orderBy("place", "doc_id").limit(most).select("doc_id", "label", "fold")
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(pin(known, "toxic_known")), "doc_id")
 
 
 def _entry_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

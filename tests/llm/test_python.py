@@ -474,3 +474,14 @@ def test_features_see_disguises():
     assert toxicity.revealed("1d10t") == "idiot" and toxicity.revealed("i.d.i.o.t") == "idiot"
     names = dict(zip(toxicity.FEATURES, toxicity.features("you 1d10t MORONS", table), strict=True))
     assert names["lexicon_rate"] == 2 / 3 and names["obfuscated_hits"] > 0 and names["person_near_lexicon"] == 1
+
+
+def test_training_moves_no_text(labelled):
+    docs, labels = labelled
+    rows = toxicity.training_rows(docs.repartition(5), labels)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    physical = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in physical and "BuildRight" in physical and "SortMergeJoin" not in physical
+    few = toxicity.training_rows(docs, labels, 10)
+    assert few.select("doc_id").distinct().count() == 10
