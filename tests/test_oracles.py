@@ -27,3 +27,4 @@ def test_matches_oracle(spark, con, name):
     want = canonical(columns, cursor.fetchall())
     assert want
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == want
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
