@@ -1,11 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into text blocks with their place in the DOM. A linear classifier turns the
-features of a block (its ancestors' tags, classes and ids, link density, length) into the odds
-that it is content; the costs of either label become the capacities of its edges to the two
-terminals. Blocks next to each other on the page, and blocks near each other in the DOM, are
-tied by smoothness edges. A maximum flow gives the minimum cut: the labelling of least total
-cost. Scripts, styles, forms and the like never become blocks.
+features of a block (length, sentence end, link density, tag, its parent's share of the page's
+text, wording of notices, and the tags, classes and ids around it) into the odds that it is
+content; the costs of either label become the capacities of its edges to the two terminals.
+Blocks next to each other on the page, and blocks near each other in the DOM, are tied by
+smoothness edges of like strength, so a block that looks doubtful alone follows its neighbours.
+A maximum flow gives the minimum cut: the labelling of least total cost. Scripts, styles, forms
+and the like never become blocks.
 """
 
 from __future__ import annotations
@@ -44,17 +46,30 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
-#: Words in classes, ids and roles of what surrounds an article, and of articles.
+#: Words in classes, ids and roles that name what surrounds an article, that may do so, and that name articles.
 _AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav"
-    " navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs header masthead topbar footer foot"
-    " bottombar sidebar sidenav side aside rail widget widgets cookie cookies consent gdpr notice notices alert"
-    " popup modal overlay toast newsletter subscribe subscription signup login register search share sharing"
-    " social related recommended recommendations more trending popular pagination pager toolbar legal copyright"
-    " disclaimer comment comments commentlist disqus reply replies respond discussion feedback form hidden"
-    " complementary contentinfo search".split()
+    " navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs header masthead footer sidebar sidenav"
+    " aside cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup"
+    " login share sharing social related recommended recommendations trending pagination pager comment comments"
+    " commentlist disqus reply replies respond discussion feedback hidden complementary contentinfo".split()
+)
+_PERHAPS = frozenset(
+    "topbar foot bottombar side rail widget widgets overlay toast register search more popular toolbar legal"
+    " copyright disclaimer form".split()
 )
 _WITHIN = frozenset("article post entry story content maincontent main body text prose copy".split())
+#: Wording of notices and invitations.
+_NOTICE = re.compile(
+    r"\bcookies?\b|\ball rights reserved\b|©|\bprivacy policy\b|\bterms of (?:use|service)\b|\bsubscribe\b|\bsign up\b"
+    r"|\blog in\b|\bread more\b|\bshare this\b|\badvertisement\b|\bclick here\b|\bpowered by\b", re.I
+)
+_SENTENCE = re.compile(r"""[.!?…。][\s"'”’»)\]]*\Z""")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = frozenset("p blockquote pre".split()) | _HEADINGS
+
+#: Log odds that an element's name, or its kind, gives all text within.
+NAMED, MAYBE_NAMED, ARTICLE = -6.0, -2.5, 1.5
 
 
 @dataclass
@@ -65,16 +80,14 @@ class Block:
     path: tuple[int, ...]  # numbers of the open elements, outermost first
     tag: str
     linked: int
-    around: int  # enclosing elements that look like surroundings
-    within: int  # enclosing elements that look like an article
+    named: float  # log odds from the names of enclosing elements
 
 
 @dataclass
 class _Open:
     tag: str
     number: int
-    around: bool
-    within: bool
+    named: float
 
 
 @dataclass
@@ -104,7 +117,7 @@ class _Reader:
                 Block(
                     text, tuple(e.number for e in blocks), blocks[-1].tag if blocks else "body",
                     len(" ".join("".join(self.links).split())),
-                    sum(e.around for e in blocks), sum(e.within for e in blocks),
+                    min(2 * ARTICLE, max(NAMED, sum(e.named for e in blocks))),
                 )
             )
         self.parts, self.links = [], []
@@ -125,7 +138,7 @@ class _Reader:
         if tag in VOID or tag in ("html", "body") and any(e.tag == tag for e in self.open):
             return
         self.count += 1
-        self.open.append(_Open(tag, self.count, *self.looks(tag, attributes)))
+        self.open.append(_Open(tag, self.count, self.looks(tag, attributes)))
         self.dropped += tag in DROPPED
         self.anchors += tag == "a"
 
@@ -154,7 +167,7 @@ class _Reader:
             if tag in INLINE and self.open[i].tag not in INLINE:
                 return
 
-    def looks(self, tag: str, attributes: str) -> tuple[bool, bool]:
+    def looks(self, tag: str, attributes: str) -> float:
         words: set[str] = set()
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -167,10 +180,14 @@ class _Reader:
                 words.update(_NAME.findall(value))
         in_article = any(e.tag in ("article", "main") for e in self.open)
         around = tag in ("nav", "aside", "menu", "footer") or tag == "header" and not in_article
-        if tag not in ("html", "body", "article", "main"):
-            around |= bool(words & _AROUND) and not words & _WITHIN
-        around |= bool(words & {"comment", "comments", "hidden", "reply", "replies"})
-        return around, tag in ("article", "main") or bool(words & _WITHIN)
+        within = tag in ("article", "main") or bool(words & _WITHIN)
+        if tag in ("html", "body", "article", "main") or words & _WITHIN:
+            named = around or bool(words & {"comment", "comments", "hidden", "reply", "replies"})
+        else:
+            named = around or bool(words & _AROUND)
+        if named:
+            return NAMED
+        return ARTICLE if within else MAYBE_NAMED if words & _PERHAPS else 0.0
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -226,36 +243,48 @@ def _end_of(page: str, tag: str, at: int) -> int:
     return m.end() if m else len(page)
 
 
-def content_odds(block: Block) -> float:
-    """Log odds that the block is content."""
-    linked = block.linked / len(block.text)
-    odds = 0.5 + 2.5 * min(block.within, 2) - 9.0 * min(block.around, 2) - 4.0 * (linked > 0.5)
-    odds += 1.0 * (block.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td"))
-    odds += min(len(block.text), 200) / 100 - 0.5
+def content_odds(blocks: Sequence[Block]) -> list[float]:
+    """Log odds of each block that it is content; no feature of the text outweighs a clear name."""
+    mass: dict[tuple[int, ...], int] = {}
+    for b in blocks:
+        mass[b.path[:-1]] = mass.get(b.path[:-1], 0) + len(b.text) - b.linked
+    most = max(mass.values(), default=0) or 1
+    odds = []
+    for b in blocks:
+        x = b.named - 5.0 * b.linked / len(b.text)
+        x += min(b.text.count(" ") + 1, 40) / 20 - 1.0
+        x += 1.0 if _SENTENCE.search(b.text[-20:]) else 0.5 if b.tag in _HEADINGS else -0.5
+        x += 1.0 if b.tag in _PROSE else 0.3 if b.tag in ("li", "td", "th", "dd", "dt") else -0.3
+        x += 2.0 * math.sqrt(max(mass[b.path[:-1]], 0) / most) - 1.0
+        x -= 2.0 * min(2, sum(1 for _ in _NOTICE.finditer(b.text)))
+        odds.append(x)
     return odds
 
 
-#: Strength of the ties between neighbours on the page, and in the DOM.
-NEXT, NEAR = 0.5, 1.0
+#: Strength of the tie between siblings, its decay per further step in the DOM, the share of it
+#: between blocks of different tags, and the share between siblings that do not touch.
+TIE, DECAY, UNLIKE, APART = 2.0, 0.6, 0.5, 0.25
 
 
 def smoothness(blocks: Sequence[Block]) -> list[tuple[int, int, float]]:
-    """Ties of each block to the one before: for its place, and for the share of its DOM path."""
+    """Ties of each block to the one before, for its place and the nearness of both in the DOM."""
     ties = []
     for i in range(1, len(blocks)):
         a, b = blocks[i - 1].path, blocks[i].path
         common = 0
         while common < min(len(a), len(b)) and a[common] == b[common]:
             common += 1
-        distance = len(a) + len(b) - 2 * common
-        ties.append((i - 1, i, NEXT / (1 + distance) + NEAR * 0.5**distance))
-    # Blocks of one parent are tied also where others stand between them.
-    last: dict[tuple[int, ...], int] = {}
+        further = max(0, len(a) + len(b) - 2 * common - 2)
+        like = 1.0 if blocks[i - 1].tag == blocks[i].tag else UNLIKE
+        ties.append((i - 1, i, TIE * DECAY**further * like))
+    # Blocks of one parent and tag are tied also where others stand between them.
+    last: dict[tuple, int] = {}
     for i, block in enumerate(blocks):
-        j = last.get(block.path[:-1])
+        key = (block.path[:-1], block.tag)
+        j = last.get(key)
         if j is not None and j < i - 1:
-            ties.append((j, i, NEAR * 0.25))
-        last[block.path[:-1]] = i
+            ties.append((j, i, TIE * APART))
+        last[key] = i
     return ties
 
 
@@ -332,7 +361,7 @@ def minimum_cut(odds: Sequence[float], ties: Sequence[tuple[int, int, float]]) -
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by empty lines."""
     blocks = read_blocks(page or "")
-    kept = minimum_cut([content_odds(b) for b in blocks], smoothness(blocks))
+    kept = minimum_cut(content_odds(blocks), smoothness(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
@@ -344,8 +373,9 @@ def _main_text(page: pd.Series) -> pd.Series:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns but ``html``, and ``text``, the main text of each page.
 
-    Null, empty and text-free pages give the empty text; repeated rows stay. A column named
-    ``text`` in the input is replaced.
+    Null, empty and text-free pages give the empty text; repeated rows stay, each with its text, and
+    an empty table gives no rows. Pages are read whole, whatever their length, one at a time. Nulls in
+    other columns pass through. A column named ``text`` in the input is replaced; any other name stays.
     """
     ship(pages.sparkSession)
     others = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "text")]

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from helpers import EDGES, LONG, by_id, clashing, documents
 from hypothesis import given, settings
@@ -300,6 +301,58 @@ def test_minimum_cut_is_minimal():
         assert cost(html_extract.minimum_cut(odds, ties)) == pytest.approx(best, abs=1e-4)
 
 
+LINES = [
+    "The river rose for three days before anybody in the village thought of moving the cattle.",
+    "By the fourth morning the lower road had gone, and with it the only way to reach the mill.",
+    "Nobody had seen water in the church since the winter of the long frost, forty years before.",
+]
+
+
+def labels(html):
+    blocks = html_extract.read_blocks(html)
+    odds = html_extract.content_odds(blocks)
+    kept = html_extract.minimum_cut(odds, html_extract.smoothness(blocks))
+    return [(b.text, x > 0, k) for b, x, k in zip(blocks, odds, kept, strict=True)]
+
+
+def test_html_without_helpful_names():
+    story = "".join(f"<p>{x}</p>" for x in LINES)
+    menu = "<div><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div>"
+    notes = "<div>We use cookies to improve this site. Read more</div>", "<div>© 2020 Village Press. All rights reserved.</div>"
+    whole = f"<body>{menu}{notes[0]}<div><h1>The flood</h1>{story}</div>{notes[1]}</body>"
+    assert html_extract.main_text(whole) == "\n\n".join(["The flood", *LINES])
+    # A doubtful name does not outweigh the page's only prose, but a clear one does.
+    assert html_extract.main_text(f'<div class="legal">{story}</div>') == "\n\n".join(LINES)
+    assert html_extract.main_text(f'<div class="comments">{story}</div>') == ""
+    # Nor does the wording of a notice inside an article.
+    told = "She left cookies for the dogs, click here and there went the clock, and then she was gone for good."
+    assert html_extract.main_text(f"<article>{story}<p>{told}</p></article>") == "\n\n".join([*LINES, told])
+
+
+def test_the_cut_overrules_the_classifier():
+    story = [f"<p>{x}</p>" for x in LINES]
+    got = labels(f"<div>{story[0]}<p>cookies</p>{story[1]}{story[2]}</div><div>cookies</div>")
+    # The same word stays between two paragraphs, and goes where it stands alone.
+    assert [g for g in got if g[0] == "cookies"] == [("cookies", False, True), ("cookies", False, False)]
+    odd = "<div><div>Home and garden and sport.</div><div>Log in</div><div>Menu</div></div>"
+    got = {text: (alone, kept) for text, alone, kept in labels(f"<div>{''.join(story)}</div>{odd}")}
+    assert got["Log in"] == (False, False) and all(got[x] == (True, True) for x in LINES)
+
+
+def test_cut_helps_on_pages_stripped_of_names():
+    # 4,521 blocks; on the 850 of the smallest scale the cut has 10 labels wrong, the classifier alone 7.
+    html = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    names, tags = re.compile(r'\s(?:class|id|role)="[^"]*"'), re.compile(r"<(/?)(?:article|nav|aside|footer|header|main|section)\b")
+    wrong, n = [0, 0], 0
+    for one in filter(None, html):
+        truth, bare = labels(one), labels(tags.sub(r"<\1div", names.sub("", one)))
+        if [t[0] for t in truth] == [b[0] for b in bare]:
+            n += len(truth)
+            wrong[0] += sum(t[2] != b[1] for t, b in zip(truth, bare, strict=True))
+            wrong[1] += sum(t[2] != b[2] for t, b in zip(truth, bare, strict=True))
+    assert n > 1000 and wrong[1] < wrong[0] and wrong[1] <= 0.01 * n
+
+
 def test_text_deep_inside_a_link_is_linked():
     deep = "<a href=x>" + "<div>" * 12 + "far inside" + "</div>" * 12 + "</a><p>outside</p>"
     blocks = [(b.text, b.linked) for b in html_extract.read_blocks(deep)]
