@@ -132,8 +132,23 @@ def described(docs: DataFrame, keep: Sequence[str], n: int) -> DataFrame:
     return df.mapInArrow(rows, schema)
 
 
+def beyond_two(keys: np.ndarray) -> np.ndarray:
+    """Which places hold a key that two earlier places hold already."""
+    order = np.argsort(keys, kind="stable")
+    found = keys[order]
+    new = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    earlier = np.arange(len(keys)) - np.repeat(new, np.diff(np.append(new, len(keys))))
+    out = np.empty(len(keys), bool)
+    out[order] = earlier >= 2
+    return out
+
+
 def _meeting(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(cls, size) of the classes that share as many segments with others as a link asks for."""
+    """(cls, size) of the classes that share as many segments with others as a link asks for.
+
+    Of a key's classes in one batch two are enough to tell that it is shared; the rows of the
+    others are sure and go where a key of their own sends them, so no task gets a frequent key whole.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a class gives its keys once per task
@@ -149,14 +164,16 @@ def _meeting(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     sizes += [len(found)] * len(k)
                     needs += [2 * need + i] * len(k)
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            sure = beyond_two(flat)
+            flat = np.where(sure, _mixed(flat ^ _mixed(np.arange(len(flat), dtype=np.uint64))), flat)
             columns = [pa.array(flat.view(np.int64)), pa.array(classes, pa.binary())]
-            columns += [pa.array(sizes, pa.int32()), pa.array(needs, pa.int32())]
-            yield pa.record_batch(columns, ["key", "cls", "size", "need"])
+            columns += [pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(sure)]
+            yield pa.record_batch(columns, ["key", "cls", "size", "need", "sure"])
 
-    df = docs.select("text").mapInArrow(rows, "key bigint, cls binary, size int, need int")
+    df = docs.select("text").mapInArrow(rows, "key bigint, cls binary, size int, need int, sure boolean")
     whole = Window.partitionBy("key")
     df = df.select("*", F.min("cls").over(whole).alias("_a"), F.max("cls").over(whole).alias("_z"))
-    shared = df.where("_a <> _z").groupBy("cls", "size", "need").agg(F.count(F.lit(1)).alias("n"))
+    shared = df.where("sure OR _a <> _z").groupBy("cls", "size", "need").agg(F.count(F.lit(1)).alias("n"))
     return shared.where("n >= need div 2").select("cls", "size").distinct()
 
 
@@ -286,7 +303,10 @@ def prefix_lengths(size: int, percent: int) -> tuple[int, int]:
 
 
 def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
-    """(key, id, size, pos): the first n-grams of every set in the global order, rarest first."""
+    """(key, id, size, pos): the first n-grams of every set in the global order, rarest first.
+
+    Only those of two sets or more; the rows of a key beyond two of a batch are counted apart.
+    """
     whole = with_counts(segments).groupBy("id", "size").agg(
         F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("counts")).alias("counts")
     )
@@ -309,16 +329,17 @@ def _prefixes(segments: DataFrame, percent: int) -> DataFrame:
                 sizes.append(np.full(len(first), size, np.int32))
                 places.append(np.arange(len(first), dtype=np.int32))
             kinds = (np.int64, np.int64, np.int32, np.int32)
-            arrays = [
-                pa.array(np.concatenate(c) if c else np.empty(0, k))
+            columns = [
+                np.concatenate(c) if c else np.empty(0, k)
                 for c, k in zip((keys, ids, sizes, places), kinds, strict=True)
             ]
-            yield pa.record_batch(arrays, ["key", "id", "size", "pos"])
+            columns.append(np.where(beyond_two(columns[0]), columns[1] + 1, 0))
+            yield pa.record_batch([*map(pa.array, columns)], ["key", "id", "size", "pos", "apart"])
 
-    df = whole.mapInArrow(rows, "key bigint, id bigint, size int, pos int")
-    lists = Window.partitionBy("key")
+    df = whole.mapInArrow(rows, "key bigint, id bigint, size int, pos int, apart bigint")
+    lists = Window.partitionBy("key", "apart")
     df = df.withColumn("_n", F.count(F.lit(1)).over(lists))
-    return df.where("_n > 1").drop("_n")
+    return df.where("_n > 1 OR apart > 0").drop("_n", "apart")
 
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -380,22 +401,21 @@ def linked_classes(docs: DataFrame, n: int, percent: int, star_rounds: int) -> D
         if found is not None:
             members = lists.join(found.withColumnRenamed("node", "id"), "id", "left")
             members = members.withColumn("component", F.coalesce("component", "id"))
-            whole = Window.partitionBy("key")
-            members = members.select(
-                "*", F.min("component").over(whole).alias("_a"), F.max("component").over(whole).alias("_z")
-            ).where("_a <> _z").drop("_a", "_z")
-            members = pin(members, "jaccard_members")
-            if members.isEmpty():
-                break
         fields = ("id", "size", "pos", "component")
+        # The leader is another one in every round: first the one that shows the n-gram first.
+        rank = F.col("pos") / F.col("size") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        keys = members.groupBy("key").agg(
+            F.min("component").alias("_a"), F.max("component").alias("_z"),
+            F.min(F.struct(rank.alias("rank"), *fields)).alias("first"),
+        )
+        keys = pin(keys.where("_a <> _z").select("key", *[F.col(f"first.{c}").alias(f"{c}_y") for c in fields]), "jaccard_keys")
+        if keys.isEmpty():
+            break
         if turn < star_rounds:
-            # The leader is another one in every round: first the one that shows the n-gram first.
-            rank = [F.col("pos") / F.col("size")] if turn == 0 else [F.xxhash64("id", F.lit(turn))]
-            order = Window.partitionBy("key").orderBy(*rank, "id")
-            leader = [F.first(c).over(order).alias(f"{c}_y") for c in fields]
-            pairs = members.select(*[F.col(c).alias(f"{c}_x") for c in fields], *leader)
+            pairs = members.select("key", *[F.col(c).alias(f"{c}_x") for c in fields]).join(keys, "key")
             pairs = pairs.where(F.col("component_x") != F.col("component_y"))
         else:
+            members = pin(members.join(keys.select("key"), "key"), "jaccard_members")
             one = members.select("key", *[F.col(c).alias(f"{c}_x") for c in fields])
             two = members.select("key", *[F.col(c).alias(f"{c}_y") for c in fields])
             pairs = one.join(two, (one["key"] == two["key"]) & (F.col("id_x") < F.col("id_y"))

@@ -437,6 +437,26 @@ def test_linked_sets_share_a_key(percent):
             assert len(np.intersect1d(*keys)), (size, drop)
 
 
+@given(st.lists(st.integers(0, 4), max_size=40))
+def test_rows_of_a_key_beyond_two(keys):
+    want = [keys[:i].count(k) >= 2 for i, k in enumerate(keys)]
+    assert jaccard.beyond_two(np.array(keys, np.uint64)).tolist() == want
+
+
+def test_a_frequent_segment_meets_in_no_one_task(spark):
+    # Texts that share 49 % of their shingles: of a key, no more than two rows of a batch go to its task.
+    half = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, f"{half} " + " ".join(f"own{i}x{j}" for j in range(30)), "", "", 0) for i in range(400)]
+    sets = [jaccard.shingles(r[1], 3) for r in rows]
+    keys = np.concatenate([k for s in sets for k, _ in jaccard.segment_keys(s, 45)])
+    held = keys[~jaccard.beyond_two(keys)]
+    assert np.unique(keys, return_counts=True)[1].max() >= 100 and np.unique(held, return_counts=True)[1].max() == 2
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked_groups(documents(spark, rows), n=3, percent=45).collect()}
+    assert set(got.values()) == {0} and len(got) == 400
+    apart = {r["doc_id"]: r["component_id"] for r in jaccard.linked_groups(documents(spark, rows), n=3, percent=90).collect()}
+    assert all(k == v for k, v in apart.items())
+
+
 def test_heavy_fragments_are_counted_in_parts(spark):
     rng = random.Random(8)
     rows = [(i, f, [f * 1000 - 1, *rng.sample(range(f * 1000, f * 1000 + 40), 5)]) for i in range(60) for f in range(3) if f < 2 or i < 4]
