@@ -59,11 +59,12 @@ _PERHAPS = frozenset(
     " copyright disclaimer form".split()
 )
 _WITHIN = frozenset("article post entry story content maincontent main body text prose copy".split())
-#: Wording of notices and invitations.
-_NOTICE = re.compile(
-    r"\bcookies?\b|\ball rights reserved\b|©|\bprivacy policy\b|\bterms of (?:use|service)\b|\bsubscribe\b|\bsign up\b"
-    r"|\blog in\b|\bread more\b|\bshare this\b|\badvertisement\b|\bclick here\b|\bpowered by\b", re.I
+#: Fixed wording of notices and invitations, in lower case.
+_NOTICE = (
+    "cookie", "cookies", "all rights reserved", "©", "privacy policy", "terms of use", "terms of service", "subscribe",
+    "sign up", "log in", "read more", "share this", "advertisement", "click here", "powered by",
 )
+_NOTICE_WORDS = re.compile("|".join(w if w == "©" else rf"\b{w}\b" for w in _NOTICE))
 _SENTENCE = re.compile(r"""[.!?…。][\s"'”’»)\]]*\Z""")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = frozenset("p blockquote pre".split()) | _HEADINGS
@@ -256,7 +257,9 @@ def content_odds(blocks: Sequence[Block]) -> list[float]:
         x += 1.0 if _SENTENCE.search(b.text[-20:]) else 0.5 if b.tag in _HEADINGS else -0.5
         x += 1.0 if b.tag in _PROSE else 0.3 if b.tag in ("li", "td", "th", "dd", "dt") else -0.3
         x += 2.0 * math.sqrt(max(mass[b.path[:-1]], 0) / most) - 1.0
-        x -= 2.0 * min(2, sum(1 for _ in _NOTICE.finditer(b.text)))
+        low = b.text.lower()
+        if any(w in low for w in _NOTICE):
+            x -= 2.0 * min(2, sum(1 for _ in _NOTICE_WORDS.finditer(low)))
         odds.append(x)
     return odds
 
