@@ -53,6 +53,10 @@ FOREST_GRID = {
 MAX_DEPTH, MAX_BINS, MAX_FIT_ROWS = 30, 256, 200_000
 
 
+#: Forests of the grid fitted at a time, and the nodes that all of these may grow before they are
+#: taken over as arrays: Spark holds half a KB for a node on the driver, and as much again to fit it.
+FITS, FIT_NODES = 3, 250_000
+
 #: Bits of the hash that one scan counts by.
 HASH_BITS = 16
 
@@ -229,6 +233,30 @@ def tree_rules(model: PipelineModel, features: Sequence[str], like: DataFrame) -
     return like.sparkSession.createDataFrame(rows, "line int, rule string")
 
 
+def forest_in_parts(
+    fit: DataFrame, num_trees: int, max_depth: int, nodes: int = FIT_NODES, **others
+) -> tuple[Trees, PipelineModel]:
+    """The trees of a forest that is fitted in parts of about ``nodes`` nodes, and the first part.
+
+    The trees of a forest are drawn alike and independently, so parts with seeds of their own make
+    up one forest. The first part is so small that its trees cannot exceed the number, whatever they
+    look like; the mean size of the trees found last sets how many the next part has, at least one.
+    """
+    # Spark draws features for a split as in a forest only where it fits more than one tree.
+    drawn = {"featureSubsetStrategy": "sqrt" if num_trees > 1 else "all"} | others
+    size = max(1, min(2 ** (max_depth + 1), 2 * fit.count()))
+    parts: list[Trees] = []
+    first, done = None, 0
+    while done < num_trees:
+        count = min(num_trees - done, max(1, int(nodes // size)))
+        forest = RandomForestClassifier(numTrees=count, maxDepth=max_depth, seed=SEED + 100_003 * done, **drawn)
+        model = pipeline(forest, RETENTION_FEATURES).fit(fit)
+        parts.append(Trees.of(classifier_of(model), fit.sparkSession))
+        size = parts[-1].sizes.mean()
+        first, done = first or model, done + count
+    return Trees.joined(parts), first
+
+
 #: Parameters that prune a forest: its trees, depth, and the rows a node needs to be split.
 PRUNING = {"numTrees": 20, "maxDepth": 5, "minSamplesSplit": 2}
 
@@ -248,11 +276,11 @@ def grid_search(
     the whole held-out fold. With ``refit`` also the best forest, fitted with its own number of
     trees and depth on at most ``most`` rows and pruned to its least rows of a split; of equal
     scores the first setting of the grid wins. ``parallelism`` is the number of forests fitted at a
-    time, by default all if the session has as many cores: the levels of deep trees are many small
-    jobs, which leave most of a cluster to the other fits.
+    time, by default ``FITS``: the levels of deep trees are many small jobs, which leave most of a
+    cluster to other fits. Together they grow about ``FIT_NODES`` nodes on the driver at a time.
     """
     spark = train.sparkSession
-    parallelism = parallelism or spark.sparkContext.defaultParallelism
+    parallelism = parallelism or FITS
     pruning = {name: list(grid.get(name, (usual,))) for name, usual in PRUNING.items()}
     grown = {name: list(values) for name, values in grid.items() if name not in PRUNING}
     fits = [dict(zip(grown, values)) for values in product(*grown.values())]
@@ -262,17 +290,15 @@ def grid_search(
         for fold in range(k)
     ]
 
-    def forest(numTrees: int, maxDepth: int, **others) -> RandomForestClassifier:
-        return RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth, seed=SEED, **others)
+    jobs = list(product(range(k), range(len(fits))))
+    nodes = FIT_NODES // min(parallelism, len(jobs))
 
     def score(job: tuple[int, int]) -> tuple[int, int, dict]:
         fold, i = job
         fit, held = sides[fold]
-        largest = forest(max(pruning["numTrees"]), max(pruning["maxDepth"]), **fits[i])
-        trees = Trees.of(classifier_of(pipeline(largest, RETENTION_FEATURES).fit(fit)), spark)
+        trees, _ = forest_in_parts(fit, max(pruning["numTrees"]), max(pruning["maxDepth"]), nodes, **fits[i])
         return fold, i, right_counts(held, trees, RETENTION_FEATURES, *pruning.values())
 
-    jobs = list(product(range(k), range(len(fits))))
     with ThreadPool(min(parallelism, len(jobs))) as pool:
         found = {(fold, i): right for fold, i, right in pool.imap_unordered(inheritable_thread_target(spark)(score), jobs)}
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
@@ -286,8 +312,9 @@ def grid_search(
     if refit:
         winner = dict(points[max(range(len(rows)), key=lambda r: rows[r][-1])])
         least = winner.pop("minSamplesSplit", PRUNING["minSamplesSplit"])
-        fitted = pipeline(forest(**({n: PRUNING[n] for n in ("numTrees", "maxDepth")} | winner)), RETENTION_FEATURES).fit(fit_rows(train, most))
-        best = PrunedForest(fitted, Trees.of(classifier_of(fitted), spark).pruned(least), RETENTION_FEATURES)
+        usual = {name: winner.pop(name, PRUNING[name]) for name in ("numTrees", "maxDepth")}
+        trees, first = forest_in_parts(pin(fit_rows(train, most), "fit"), *usual.values(), FIT_NODES, **winner)
+        best = PrunedForest(first, trees.pruned(least), RETENTION_FEATURES)
     columns = ", ".join(f"{name} int" for name in grid)
     table = spark.createDataFrame(rows, f"{columns}, score double")
     return table.orderBy(F.desc("score"), *grid), best

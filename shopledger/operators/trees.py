@@ -5,7 +5,8 @@ becomes a leaf, and its own class counts are the prediction. The same goes for a
 and for fewer trees. So one fit serves every setting of these three parameters.
 
 A model lives on the driver and is sent to the workers, as Spark ML does itself; its size is
-bounded by the number of trees, their depth, and the rows that fit it.
+bounded by the number of trees, their depth, and the rows that fit it. Spark's own objects take
+about ten times the memory of these arrays, so a large forest is fitted in parts, joined as arrays.
 """
 
 from __future__ import annotations
@@ -75,6 +76,21 @@ class Trees:
             col("rows"), col("gain").astype(float), counts.astype(float),
         )
 
+    @classmethod
+    def joined(cls, parts: Sequence[Trees]) -> Trees:
+        """One forest of the trees of all parts, in their order."""
+        sizes = [len(p.left) for p in parts]
+        shift = np.cumsum(sizes) - sizes
+        child = lambda name: [np.where(p.feature < 0, -1, getattr(p, name) + s) for p, s in zip(parts, shift)]
+        columns = {name: [getattr(p, name) for p in parts] for name in ("feature", "threshold", "rows", "gain", "counts")}
+        columns |= {"roots": [p.roots + s for p, s in zip(parts, shift)], "left": child("left"), "right": child("right")}
+        return cls(**{name: np.concatenate(arrays) for name, arrays in columns.items()})
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Nodes of each tree."""
+        return np.diff(np.append(self.roots, len(self.left)))
+
     @property
     def shares(self) -> np.ndarray:
         """Share of each class among the rows of each node."""
@@ -194,7 +210,10 @@ class Trees:
 
 @dataclass(frozen=True)
 class PrunedForest:
-    """A fitted pipeline whose last stage is a forest, with prunings of that forest."""
+    """A fitted pipeline whose last stage is a forest, with prunings of that forest.
+
+    Of a forest fitted in parts, the pipeline is that of the first one; ``trees`` are those of all.
+    """
 
     fitted: PipelineModel
     trees: Trees
@@ -244,4 +263,6 @@ def right_counts(
     picked = df.select(*[F.col(c).cast("double") for c in features], F.col("label").cast("double"))
     parts = picked.mapInArrow(score, "trees bigint, depth bigint, least bigint, hits bigint, n bigint")
     sums = parts.groupBy("trees", "depth", "least").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-    return {(r.trees, r.depth, r.least): (r.hits, r.n) for r in sums.collect()}
+    found = {(r.trees, r.depth, r.least): (r.hits, r.n) for r in sums.collect()}
+    shared.destroy()
+    return found

@@ -238,6 +238,32 @@ def test_a_pruned_forest_has_no_small_parents(forest, retention):
     assert {r.section for r in ml.best_model_report(best, retention[1]).collect()} == {"report", "importance"}
 
 
+def test_a_forest_fitted_in_parts_is_a_whole_forest(forest):
+    train = forest[0]
+    whole, model = ml.forest_in_parts(train, 6, 7)
+    assert ml.classifier_of(model).getNumTrees == 6 and len(whole.roots) == 6
+    cut, first = ml.forest_in_parts(train, 6, 7, nodes=150)
+    assert ml.classifier_of(first).getNumTrees == 1 and len(cut.roots) == 6  # no fit grew all trees
+    assert len({tuple(cut.threshold[r : r + n]) for r, n in zip(cut.roots, cut.sizes)}) == 6  # no tree is drawn twice
+    assert cut.sizes.sum() == len(cut.left) == (cut.depths() >= 0).sum() and cut.depths().max() <= 7
+    assert len({cut.feature[r] for r in cut.roots}) > 1  # features are drawn per split, also in a part of one tree
+    x = train.select(*ml.RETENTION_FEATURES).toPandas().to_numpy(float)
+    same = (cut.probabilities(x).argmax(axis=1) == whole.probabilities(x).argmax(axis=1)).mean()
+    assert same > 0.8
+    joined = trees.Trees.joined([whole.pruned(trees=2), whole.pruned(depth=3)])
+    votes = 2 * whole.pruned(trees=2).probabilities(x) + 6 * whole.pruned(depth=3).probabilities(x)
+    assert joined.probabilities(x) * 8 == pytest.approx(votes)
+
+
+def test_grid_search_grows_few_nodes_at_a_time(retention, monkeypatch):
+    grown = []
+    monkeypatch.setattr(ml, "FIT_NODES", 120)
+    inside = ml.Trees.of
+    monkeypatch.setattr(ml.Trees, "of", lambda model, spark: grown.append(model.getNumTrees) or inside(model, spark))
+    ml.grid_search(retention[0], {"numTrees": (2, 5), "maxDepth": (4,)}, k=2, refit=True)
+    assert max(grown) < 5 and sum(grown) in (12, 15)
+
+
 def test_the_whole_grid_has_81_settings():
     import math
 
