@@ -7,7 +7,8 @@ counts. Nothing near the size of the data is shuffled, sorted or written, and no
 held in one task, which the built-in exact ``percentile`` would do: inside a bracket lie at
 most ``8 / ACCURACY`` of a large group's rows, besides ties, which count as one.
 
-The found values are pinned, one row per group, and checked: a group with a rank outside its
+The brackets are written for the second pass, one row per group, which keeps the rows where they
+are. The found values are pinned, one row per group, and checked: a group with a rank outside its
 bracket is counted anew by value, spread over ranges.
 """
 
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopledger.plans.pinning import pin
+from shopledger.plans.pinning import held, pin
 from shopledger.plans.placement import place, running_sums
 
 #: Rank error of the sketches as a share of the rows: 1 / ACCURACY.
@@ -99,7 +100,16 @@ class Distribution:
     def _quantiles(
         self, groups: DataFrame, probabilities: dict[str, float], alpha: float = 1.0, keep: Sequence[str] = ()
     ) -> DataFrame:
-        count = len(probabilities)
+        positions = [_position(p, alpha) for p in probabilities.values()]
+        # With a written copy the planner sees how few groups there are, and broadcasts them: a join
+        # dealt by group would put all rows of a group into one task.
+        with held(groups, "brackets") as brackets:
+            found = pin(self._ranked(brackets, dict(zip(probabilities, positions)), keep), "quantiles")
+        return self._checked(found, dict(zip(probabilities, positions)))
+
+    def _ranked(self, groups: DataFrame, positions: dict[str, str], keep: Sequence[str]) -> DataFrame:
+        """The values at the positions, from the rows' places against the brackets of ``groups``."""
+        count = len(positions)
         rows = self.long.alias("l").join(groups.select(*self.keys, "n_all", "ends").alias("g"), self._same("l", "g"))
         value = F.col("l.value")
         fits = [F.when(F.col("n_all") * m >= 2, F.lit(2 * count * k)) for k, m in enumerate(MARGINS[:-1])]
@@ -118,16 +128,15 @@ class Distribution:
         )
         upward = Window.partitionBy(*self.keys, "i").orderBy(F.col("v").asc_nulls_first())
         ranked = parts.withColumn("n_upto", F.sum("n").over(upward))
-        positions = [_position(p, alpha) for p in probabilities.values()]
         ranked = ranked.groupBy(*self.keys, "n_all").agg(
-            *[_interpolated(at, i).alias(name) for i, (name, at) in enumerate(zip(probabilities, positions))]
+            *[_interpolated(at, i).alias(name) for i, (name, at) in enumerate(positions.items())]
         )
         if keep:
             joined = groups.alias("g").join(ranked.alias("r"), self._same("g", "r"))
-            ranked = joined.select(*[f"g.{k}" for k in self.keys], *[f"g.{k}" for k in keep], *[f"r.{q}" for q in probabilities])
+            ranked = joined.select(*[f"g.{k}" for k in self.keys], *[f"g.{k}" for k in keep], *[f"r.{q}" for q in positions])
         else:
             ranked = ranked.drop("n_all")
-        return self._checked(pin(ranked, "quantiles"), dict(zip(probabilities, positions)))
+        return ranked
 
     def _checked(self, found: DataFrame, positions: dict[str, str]) -> DataFrame:
         """``found``, with groups that lack a value counted anew.

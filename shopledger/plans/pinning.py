@@ -68,6 +68,17 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """Like :func:`pin`, but the copy is deleted at the end of the block."""
+    path = shared_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        _drop([c for c in _copies if c.path == path])
+
+
 def pin_bucketed(df: DataFrame, label: str, buckets: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Like :func:`pin`, dealt into ``buckets`` by ``keys`` and sorted in each.
 

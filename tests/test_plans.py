@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from shopledger.plans.distribution import Distribution, exact_sum, long_form, one_row_quantiles
@@ -162,6 +163,22 @@ def test_descriptions_pin_a_row_per_group_and_join_on_keys(spark):
     assert [spark.read.parquet(str(p)).count() for p in made] == [2] and out.count() == 2
 
 
+def test_rows_of_a_group_are_not_dealt_into_one_task(spark, monkeypatch):
+    plans = []
+    seen = lambda df, label: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or pin(df, label)
+    monkeypatch.setattr("shopledger.plans.distribution.pin", seen)
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "id % 1009 AS x")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(threshold)
+    spark.conf.set(threshold, 50_000)  # less than the estimate of the groups from the rows
+    try:
+        found = rows(Distribution(long_form(df, ["x"], ["g"]), ["g"]).describe(), "g", "count")
+    finally:
+        spark.conf.set(threshold, usual)
+    assert found == [("a", 2000), ("b", 4000)]
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
 @pytest.mark.parametrize("shift", [-0.3, 0.3])
 @pytest.mark.parametrize("alpha", [1.0, 0.4])
 def test_wrong_brackets_are_found_and_counted_anew(spark, monkeypatch, shift, alpha):
