@@ -19,6 +19,9 @@ from shopledger.plans.pinning import pin, pin_bucketed
 RANGE, SLOT = "_range", "_slot"
 #: Rows of a range: as many as one task sorts in memory; and as few as are worth a task.
 RANGE_ROWS, TASK_ROWS = 1_000_000, 10_000
+#: Ranges are dealt to as many buckets by hash, so some share one (up to six of a thousand), and one task
+#: sorts a bucket: placed ranges are smaller than what a task sorts by this factor.
+SHARED = 4
 
 
 def ranges_for(rows: int, cores: int, most: int = RANGE_ROWS) -> int:
@@ -35,7 +38,8 @@ def place(df: DataFrame, keys: Sequence[str], group: Sequence[str] = (), ranges:
     ``_slot`` is a hash of (group, range) and never null.
     """
     held = pin(df, "to_place")
-    ranges = ranges or ranges_for(held.count(), df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ranges = ranges or ranges_for(held.count(), cores, RANGE_ROWS // SHARED)
     placed = held.repartitionByRange(ranges, *keys).withColumn(RANGE, F.spark_partition_id())
     placed = placed.withColumn(SLOT, F.xxhash64(*group, RANGE))
     return pin_bucketed(placed, "placed", ranges, [SLOT], [SLOT, *keys])

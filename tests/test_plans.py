@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shopledger.plans.distribution import Distribution, exact_sum, long_form, one_row_quantiles
 from shopledger.plans.pinning import pin, pinned_scope, shared_folder
 from shopledger.operators.stats import kruskal
-from shopledger.plans.placement import RANGE, place, ranges_for, running_sums
+from shopledger.plans.placement import RANGE, SLOT, place, ranges_for, running_sums
 from shopledger.plans.results import shaped, shaped_sql
 
 
@@ -84,6 +84,16 @@ def test_ranges_follow_the_rows(spark):
     assert got.where("x_upto <> v + 1").count() == 0
 
 
+def test_no_task_sorts_much_more_than_the_rows_of_a_range(spark, monkeypatch):
+    # One group, so a range is one slot; with ranges of all 10,000 rows, two of them met in one bucket.
+    monkeypatch.setattr("shopledger.plans.placement.RANGE_ROWS", 10_000)
+    df = spark.range(40_000).select(F.lit("a").alias("g"), (F.col("id") * 7919 % 40_000).alias("v"))
+    placed = place(df, ["g", "v"], ["g"])
+    ranges = placed.agg(F.max(RANGE)).first()[0] + 1
+    per_bucket = [r["count"] for r in placed.groupBy(F.pmod(F.hash(SLOT), F.lit(ranges))).count().collect()]
+    assert sum(per_bucket) == 40_000 and max(per_bucket) < 12_500
+
+
 def test_placed_rows_are_read_in_place(spark):
     # Nulls, a group with most rows, and ties; broadcasts off, so joins must use the buckets.
     df = spark.createDataFrame([(None if i % 7 == 0 else "ab"[i % 11 == 0], float(i % 50), "xyz"[i % 3]) for i in range(2000)], "g string, v double, s string")
