@@ -33,6 +33,7 @@ from shopledger.operators.evaluation import (
     train_test_split,
     with_folds,
 )
+from shopledger.operators.forests import Cells, CountedForest
 from shopledger.operators.trees import PrunedForest, Trees, right_counts
 from shopledger.plans.pinning import pin
 
@@ -53,9 +54,9 @@ FOREST_GRID = {
 MAX_DEPTH, MAX_BINS, MAX_FIT_ROWS = 30, 256, 200_000
 
 
-#: Forests of the grid fitted at a time, and the nodes that all of these may grow before they are
-#: taken over as arrays: Spark holds half a KB for a node on the driver, and as much again to fit it.
-FITS, FIT_NODES = 3, 250_000
+#: Folds of the grid worked on at a time, and the nodes that the fits of all these may send to the
+#: driver's JVM before they are taken over as arrays: some 60 bytes a node.
+FITS, FIT_NODES = 3, 2_000_000
 
 #: Bits of the hash that one scan counts by.
 HASH_BITS = 16
@@ -234,23 +235,25 @@ def tree_rules(model: PipelineModel, features: Sequence[str], like: DataFrame) -
 
 
 def forest_in_parts(
-    fit: DataFrame, num_trees: int, max_depth: int, nodes: int = FIT_NODES, **others
+    fit: DataFrame, num_trees: int, max_depth: int, nodes: int = FIT_NODES, cells: Cells | None = None, **others
 ) -> tuple[Trees, PipelineModel]:
     """The trees of a forest that is fitted in parts of about ``nodes`` nodes, and the first part.
 
-    The trees of a forest are drawn alike and independently, so parts with seeds of their own make
-    up one forest. The first part is so small that its trees cannot exceed the number, whatever they
-    look like; the mean size of the trees found last sets how many the next part has, at least one.
+    A tree depends on its number, so parts make up the same forest as one fit. The first part is so
+    small that its trees cannot exceed the nodes, whatever they look like; the mean size of the trees
+    found last sets how many the next part has, at least one. ``cells`` may be those of an earlier
+    fit of the same rows.
     """
-    # Spark draws features for a split as in a forest only where it fits more than one tree.
-    drawn = {"featureSubsetStrategy": "sqrt" if num_trees > 1 else "all"} | others
+    # Features are drawn for a split only where there is more than one tree, as Spark does.
+    drawn = {"featuresTried": "sqrt" if num_trees > 1 else "all"} | others
     size = max(1, min(2 ** (max_depth + 1), 2 * fit.count()))
     parts: list[Trees] = []
     first, done = None, 0
     while done < num_trees:
         count = min(num_trees - done, max(1, int(nodes // size)))
-        forest = RandomForestClassifier(numTrees=count, maxDepth=max_depth, seed=SEED + 100_003 * done, **drawn)
+        forest = CountedForest(cells, numTrees=count, maxDepth=max_depth, seed=SEED, firstTree=done, **drawn)
         model = pipeline(forest, RETENTION_FEATURES).fit(fit)
+        cells = classifier_of(model).cells
         parts.append(Trees.of(classifier_of(model), fit.sparkSession))
         size = parts[-1].sizes.mean()
         first, done = first or model, done + count
@@ -274,13 +277,13 @@ def grid_search(
     Per fold and setting of the parameters that change the splits, one forest is fitted with the
     most trees and the greatest depth; its prunings give the accuracies of all other settings on
     the whole held-out fold. With ``refit`` also the best forest, fitted with its own number of
-    trees and depth on at most ``most`` rows and pruned to its least rows of a split; of equal
-    scores the first setting of the grid wins. ``parallelism`` is the number of forests fitted at a
-    time, by default ``FITS``: the levels of deep trees are many small jobs, which leave most of a
-    cluster to other fits. Together they grow about ``FIT_NODES`` nodes on the driver at a time.
+    trees and depth and pruned to its least rows of a split; of equal scores the first setting of
+    the grid wins. Forests are fitted on at most ``most`` rows. ``parallelism`` is the
+    number of folds worked on at a time, by default ``FITS``: the short steps of one leave most of
+    a cluster to others. Their fits send about ``FIT_NODES`` nodes to the driver at a time.
     """
     spark = train.sparkSession
-    parallelism = parallelism or FITS
+    parallelism = min(parallelism or FITS, k)
     pruning = {name: list(grid.get(name, (usual,))) for name, usual in PRUNING.items()}
     grown = {name: list(values) for name, values in grid.items() if name not in PRUNING}
     fits = [dict(zip(grown, values)) for values in product(*grown.values())]
@@ -290,17 +293,19 @@ def grid_search(
         for fold in range(k)
     ]
 
-    jobs = list(product(range(k), range(len(fits))))
-    nodes = FIT_NODES // min(parallelism, len(jobs))
-
-    def score(job: tuple[int, int]) -> tuple[int, int, dict]:
-        fold, i = job
-        fit, held = sides[fold]
-        trees, _ = forest_in_parts(fit, max(pruning["numTrees"]), max(pruning["maxDepth"]), nodes, **fits[i])
-        return fold, i, right_counts(held, trees, RETENTION_FEATURES, *pruning.values())
-
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        found = {(fold, i): right for fold, i, right in pool.imap_unordered(inheritable_thread_target(spark)(score), jobs)}
+    def score(fold: int) -> list[tuple[int, int, dict]]:
+        (fit, held), cells, found = sides[fold], None, []
+        for i, setting in enumerate(fits):
+            largest = max(pruning["numTrees"]), max(pruning["maxDepth"])
+            trees, first = forest_in_parts(fit, *largest, FIT_NODES // parallelism, cells, **setting)
+            cells = classifier_of(first).cells
+            found.append((fold, i, right_counts(held, trees, RETENTION_FEATURES, *pruning.values())))
+            del trees, first  # the driver holds one forest of a fold at a time
+        return found
+
+    with ThreadPool(parallelism) as pool:
+        scored = pool.imap_unordered(inheritable_thread_target(spark)(score), range(k))
+        found = {(fold, i): right for of_fold in scored for fold, i, right in of_fold}
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
     rows = []
     for point in points:

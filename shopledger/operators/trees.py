@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopledger.plans.pinning import shared_path
@@ -64,24 +64,33 @@ class Trees:
 
     @classmethod
     def of(cls, model: Model, spark: SparkSession) -> Trees:
-        table = node_table(model, spark).toArrow().sort_by([("tree", "ascending"), ("node", "ascending")])
+        """Of a model fitted by Spark, or of one that holds its nodes."""
+        nodes = getattr(model, "nodes", None)
+        return nodes if isinstance(nodes, cls) else cls.of_nodes(node_table(model, spark).toArrow())
+
+    @classmethod
+    def of_nodes(cls, table: pa.Table) -> Trees:
+        """Of a table like that of :func:`node_table`."""
+        table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
         col = lambda name: table[name].to_numpy()
         sizes = np.unique(col("tree"), return_counts=True)[1]
         roots = np.cumsum(sizes) - sizes
         shift = np.repeat(roots, sizes)  # nodes of a tree are numbered from 0 without gaps
-        child = lambda name: np.where(col("feature") < 0, -1, col(name) + shift)
+        child = lambda name: np.where(col("feature") < 0, -1, col(name) + shift).astype(np.int32)
         counts = table["counts"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
         return cls(
-            roots, child("left"), child("right"), col("feature"), col("threshold").astype(float),
-            col("rows"), col("gain").astype(float), counts.astype(float),
+            roots, child("left"), child("right"), col("feature").astype(np.int16), col("threshold").astype(float),
+            col("rows"), col("gain").astype(float), counts,
         )
 
     @classmethod
     def joined(cls, parts: Sequence[Trees]) -> Trees:
         """One forest of the trees of all parts, in their order."""
+        if len(parts) == 1:
+            return parts[0]
         sizes = [len(p.left) for p in parts]
         shift = np.cumsum(sizes) - sizes
-        child = lambda name: [np.where(p.feature < 0, -1, getattr(p, name) + s) for p, s in zip(parts, shift)]
+        child = lambda name: [np.where(p.feature < 0, -1, getattr(p, name) + s).astype(np.int32) for p, s in zip(parts, shift)]
         columns = {name: [getattr(p, name) for p in parts] for name in ("feature", "threshold", "rows", "gain", "counts")}
         columns |= {"roots": [p.roots + s for p, s in zip(parts, shift)], "left": child("left"), "right": child("right")}
         return cls(**{name: np.concatenate(arrays) for name, arrays in columns.items()})
@@ -119,6 +128,15 @@ class Trees:
             self.rows[kept], self.gain[kept], self.counts[kept],
         )
 
+    def merged(self) -> Trees:
+        """Splits between two leaves of one class taken back, from below up."""
+        guess, feature, depth = self.counts.argmax(axis=1), self.feature.copy(), self.depths()
+        for level in range(depth.max() - 1, -1, -1):
+            (nodes,) = np.nonzero((depth == level) & (feature >= 0))
+            left, right = self.left[nodes], self.right[nodes]
+            feature[nodes[(feature[left] < 0) & (feature[right] < 0) & (guess[left] == guess[right])]] = -1
+        return replace(self, feature=feature).pruned()
+
     def step(self, nodes: np.ndarray, x: np.ndarray, least_rows: int = 0) -> np.ndarray:
         """Where the rows of ``x`` at these nodes go; they stay at leaves and small nodes."""
         feature = self.feature[nodes]
@@ -225,43 +243,72 @@ class PrunedForest:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` and ``prediction``."""
-        ship(df.sparkSession)
-        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+        return predicted(df, self.trees, [F.col(c).cast("double") for c in self.features])
+
+
+def predicted(df: DataFrame, trees: Trees, features: Sequence[Column]) -> DataFrame:
+    """``df`` and ``prediction``, the class of the greatest mean share."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+
+    def guess(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in columns])
+        parts = [shared.value.probabilities(x[i : i + ROWS]).argmax(axis=1) for i in range(0, len(x), ROWS)]
+        return pd.Series(np.concatenate(parts).astype(float))
+
+    return df.withColumn("prediction", F.pandas_udf("double")(guess)(*features))
 
-        def predicted(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(float) for c in columns])
-            parts = [shared.value.probabilities(x[i : i + ROWS]).argmax(axis=1) for i in range(0, len(x), ROWS)]
-            return pd.Series(np.concatenate(parts).astype(float))
 
-        made = F.pandas_udf("double")(predicted)
-        return df.withColumn("prediction", made(*[F.col(c).cast("double") for c in self.features]))
+def counted(df: DataFrame, features: Sequence[str], cuts: Sequence[np.ndarray]) -> DataFrame:
+    """Rows (``n``) by the bins of their features between ascending cuts, and by ``label``.
+
+    A value equal to a cut lies below it; null and NaN lie in the last bin, where trees send them.
+    """
+    ship(df.sparkSession)
+    names = [*features, "label"]
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *values, label = batch.columns
+            places = [np.searchsorted(c, v.to_numpy(zero_copy_only=False)) for c, v in zip(cuts, values)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(p, pa.int32()) for p in places], label], names=names)
+
+    picked = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col("label").cast("double").alias("label"))
+    placed = picked.mapInArrow(bins, ", ".join(f"{c} int" for c in features) + ", label double")
+    return placed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
 def right_counts(
     df: DataFrame, trees: Trees, features: Sequence[str], counts: Sequence[int], depths: Sequence[int], least_rows: Sequence[int]
 ) -> dict[tuple[int, int, int], tuple[int, int]]:
-    """(right, all) rows of ``df`` by (trees, depth, least rows). Tasks send one row per setting."""
+    """(right, all) rows of ``df`` by (trees, depth, least rows). Tasks send one row per setting.
+
+    Rows between the same thresholds of the trees go the same way, so they are counted first and
+    walk the trees as one.
+    """
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(trees)
+    cuts = [trees.splits(i) for i in range(len(features))]
+    usual = [np.append(c, np.inf) for c in cuts]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right: dict[tuple[int, int, int], int] = {}
         rows = 0
         for batch in batches:
-            data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            rows += len(data)
-            for i in range(0, len(data), ROWS):
-                x, label = data[i : i + ROWS, :-1], data[i : i + ROWS, -1]
-                for n, depth, least, guess in shared.value.predictions(x, counts, depths, least_rows):
-                    right[n, depth, least] = right.get((n, depth, least), 0) + int((guess == label).sum())
+            for i in range(0, batch.num_rows, ROWS):
+                *places, label, n = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, ROWS).columns)
+                x = np.column_stack([values[p] for values, p in zip(usual, places)])
+                rows += int(n.sum())
+                for count, depth, least, guess in shared.value.predictions(x, counts, depths, least_rows):
+                    right[count, depth, least] = right.get((count, depth, least), 0) + int(n[guess == label].sum())
         if rows:
             columns = [*zip(*right), right.values(), [rows] * len(right)]
             names = ["trees", "depth", "least", "hits", "n"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
-    picked = df.select(*[F.col(c).cast("double") for c in features], F.col("label").cast("double"))
-    parts = picked.mapInArrow(score, "trees bigint, depth bigint, least bigint, hits bigint, n bigint")
+    cells = counted(df, features, cuts).repartition(4 * spark.sparkContext.defaultParallelism)
+    parts = cells.mapInArrow(score, "trees bigint, depth bigint, least bigint, hits bigint, n bigint")
     sums = parts.groupBy("trees", "depth", "least").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     found = {(r.trees, r.depth, r.least): (r.hits, r.n) for r in sums.collect()}
     shared.destroy()

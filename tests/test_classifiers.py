@@ -1,13 +1,16 @@
 """Splits, scores and models on a small made-up customer table."""
 
 import random
+from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from shopledger.operators import classifiers as ml
-from shopledger.operators import evaluation, trees
+from shopledger.operators import evaluation, forests, trees
 from shopledger.operators.dependence import few_values, feature_grids, partial_dependence, split_points
 
 
@@ -277,3 +280,111 @@ def test_retention_importances_and_confusion(retention):
         assert sum(r.importance for r in weights if r.model == model) == pytest.approx(1)
     table = evaluation.confusion_matrix(ml.retention_tree(train).transform(test)).collect()
     assert sum(r.predicted_0 + r.predicted_1 for r in table) == test.count()
+
+
+class Undrawn:
+    """Every row once, all features in their order."""
+
+    poisson = staticmethod(lambda n: n)
+    random = staticmethod(lambda shape: np.tile(np.arange(shape[1]), (shape[0], 1)))
+
+
+@pytest.fixture(scope="module")
+def vectors(forest):
+    return ml.pipeline(ml.DecisionTreeClassifier(), ml.RETENTION_FEATURES).getStages()[0].transform(forest[0])
+
+
+def thresholds_one_by_one(values, most):
+    """Spark ML's rule on all values: a split where the rows below come nearest to the next multiple."""
+    counts = sorted(Counter(values).items())
+    bins = min(most, len(values))
+    if len(counts) <= bins:
+        return [(a + b) / 2 for (a, _), (b, _) in zip(counts, counts[1:])]
+    found, below, target = [], counts[0][1], Fraction(len(values), bins)
+    for (a, _), (b, n) in zip(counts, counts[1:]):
+        if abs(below - target) < abs(below + n - target):
+            found.append((a + b) / 2)
+            target += Fraction(len(values), bins)
+        below += n
+    return found
+
+
+@pytest.mark.parametrize("bins", [2, 5, 32, 1000])
+def test_thresholds_come_from_all_rows(spark, bins):
+    picks = random.Random(4)
+    data = [(picks.random(), float(int(picks.expovariate(0.2))), 0.0 if i % 3 else picks.random(), 7.0) for i in range(700)]
+    df = spark.createDataFrame([(list(r),) for r in data], "x array<double>").repartition(3)
+    found = forests.thresholds(df, 4, bins)
+    for cuts, values in zip(found, zip(*data)):
+        assert cuts.tolist() == pytest.approx(thresholds_one_by_one(values, bins))
+    assert not len(found[3]) and all(len(cuts) < bins for cuts in found)
+
+
+@pytest.mark.parametrize("depth, least", [(1, 1), (5, 1), (9, 4), (30, 1)])
+def test_a_grown_tree_is_that_of_spark(forest, vectors, depth, least, spark):
+    cells = forests.Cells.of(vectors, "features", "label", 32)
+    assert cells.n.sum() == forest[0].count()
+    own = forests.grown(cells, Undrawn, depth, least, 4)
+    tree = ml.DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least).fit(vectors)
+    given = trees.Trees.of(tree, spark)
+    below = lambda t, i: () if t.feature[i] < 0 else (t.feature[i], round(t.threshold[i], 9))
+    pairs = [(own.roots[0], given.roots[0])]
+    for a, b in pairs:  # grows
+        assert below(own, a) == below(given, b) and own.counts[a].tolist() == given.counts[b].tolist()
+        assert own.rows[a] == given.rows[b] and (own.gain[a] == pytest.approx(given.gain[b]) or own.feature[a] < 0)
+        if own.feature[a] >= 0:
+            pairs += [(own.left[a], given.left[b]), (own.right[a], given.right[b])]
+    assert len(pairs) == len(own.left) == len(given.left)
+    assert own.importances(4) == pytest.approx(tree.featureImportances.toArray())
+
+
+def test_a_forest_does_not_depend_on_its_parts_or_partitions(forest):
+    train = forest[0]
+    whole, model = ml.forest_in_parts(train, 5, 9)
+    for other, _ in (ml.forest_in_parts(train.repartition(7), 5, 9, nodes=100), ml.forest_in_parts(train, 5, 9, cells=ml.classifier_of(model).cells)):
+        for name in ("roots", "left", "right", "feature", "threshold", "rows", "gain", "counts"):
+            assert (getattr(other, name) == getattr(whole, name)).all()
+    guesses = model.transform(train).select("prediction", *ml.RETENTION_FEATURES).toPandas()
+    assert (guesses.prediction == whole.probabilities(guesses[[*ml.RETENTION_FEATURES]].to_numpy(float)).argmax(axis=1)).all()
+
+
+def test_the_draws_of_a_forest(forest):
+    train = forest[0]
+    n = train.count()
+    whole, _ = ml.forest_in_parts(train, 60, 3)
+    drawn = whole.rows[whole.roots]
+    assert len(set(drawn)) > 20 and abs(drawn.mean() - n) < 4 * (n / 60) ** 0.5 and drawn.std() == pytest.approx(n**0.5, rel=0.4)
+    for least in (1, 40):
+        some, _ = ml.forest_in_parts(train, 6, 9, minInstancesPerNode=least)
+        assert (some.rows >= least).all() and (least == 1 or some.rows.min() < 3 * least)
+
+
+def test_a_deeper_forest_takes_no_more_jobs(forest, spark):
+    jobs = []
+    for depth in (2, 12):
+        spark.sparkContext.setJobGroup(f"depth {depth}", "")
+        ml.forest_in_parts(forest[0], 4, depth)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"depth {depth}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < jobs[1] <= jobs[0] + 1
+
+
+def test_a_forest_needs_rows_and_whole_labels(forest):
+    train = forest[0]
+    with pytest.raises(ValueError, match="rows"):
+        ml.forest_in_parts(train.where("false"), 2, 2)
+    for label in (0.5, -1.0, None):
+        with pytest.raises(ValueError, match="labels"):
+            ml.forest_in_parts(train.withColumn("label", F.lit(label).cast("double")), 2, 2)
+    alike, _ = ml.forest_in_parts(train.withColumn("label", F.lit(0.0)), 2, 2)
+    assert len(alike.left) == 2 and (alike.probabilities(np.zeros((3, 4))) == 1).all()
+
+
+def test_rows_with_null_or_nan_walk_like_the_greatest(forest):
+    train, _, _, arrays = forest
+    odd = train.withColumn("frequency", F.when(F.col("tenure_days") % 2 == 0, None).when(F.col("tenure_days") % 3 == 0, float("nan")).otherwise(F.col("frequency")))
+    great = odd.withColumn("frequency", F.when(F.isnan(F.coalesce("frequency", F.lit(float("nan")))), 1e300).otherwise(F.col("frequency")))
+    found, same = (trees.right_counts(d, arrays, ml.RETENTION_FEATURES, (6,), (3, 7), (2,)) for d in (odd, great))
+    assert found == same
+    unlabelled = trees.right_counts(train.withColumn("label", F.lit(None).cast("double")), arrays, ml.RETENTION_FEATURES, (6,), (7,), (2,))
+    assert unlabelled == {(6, 7, 2): (0, train.count())}
