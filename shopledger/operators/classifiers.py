@@ -50,7 +50,8 @@ FOREST_GRID = {
 
 #: Defaults of the parameters that bound a fitted model, which lives on the driver: the deepest
 #: tree Spark ML grows (in place of unbounded depth), the thresholds tried per feature, and the
-#: labelled rows used to fit, chosen by a stable hash of the customer. Scoring covers all rows.
+#: labelled rows used to fit, chosen by a stable hash of the customer. Scoring covers all rows. The
+#: forests of the grid, and the best one, are fitted on all rows.
 MAX_DEPTH, MAX_BINS, MAX_FIT_ROWS = 30, 256, 200_000
 
 
@@ -62,13 +63,15 @@ FITS, FIT_NODES = 3, 2_000_000
 HASH_BITS = 16
 
 
-def fit_rows(train: DataFrame, most: int = MAX_FIT_ROWS) -> DataFrame:
-    """At most ``most`` rows of ``train``, those of the least hash of their customer.
+def fit_rows(train: DataFrame, most: int | None = MAX_FIT_ROWS) -> DataFrame:
+    """At most ``most`` rows of ``train``, those of the least hash of their customer; without it, all.
 
     Counts by hash bucket (a bounded number) show in which bucket the last row lies; the rows of
     that bucket give its hash. The rows are then filtered where they are: nothing is moved or
     sorted, and every partition keeps its share. Rows that repeat a customer stay together.
     """
+    if most is None:
+        return train
     hashed = F.xxhash64("customer_id")
     bucket = F.shiftright(hashed, 64 - HASH_BITS)
     counts = sorted(train.groupBy(bucket.alias("b")).count().collect())
@@ -269,7 +272,7 @@ def grid_search(
     grid: dict[str, Sequence] = FOREST_GRID,
     k: int = 3,
     parallelism: int | None = None,
-    most: int = MAX_FIT_ROWS,
+    most: int | None = None,
     refit: bool = False,
 ) -> tuple[DataFrame, PrunedForest | None]:
     """k-fold accuracy of every forest of ``grid``, best first.
@@ -278,7 +281,7 @@ def grid_search(
     most trees and the greatest depth; its prunings give the accuracies of all other settings on
     the whole held-out fold. With ``refit`` also the best forest, fitted with its own number of
     trees and depth and pruned to its least rows of a split; of equal scores the first setting of
-    the grid wins. Forests are fitted on at most ``most`` rows. ``parallelism`` is the
+    the grid wins. Forests are fitted on all rows, or on ``most`` if given. ``parallelism`` is the
     number of folds worked on at a time, by default ``FITS``: the short steps of one leave most of
     a cluster to others. Their fits send about ``FIT_NODES`` nodes to the driver at a time.
     """

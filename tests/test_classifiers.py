@@ -388,3 +388,15 @@ def test_rows_with_null_or_nan_walk_like_the_greatest(forest):
     assert found == same
     unlabelled = trees.right_counts(train.withColumn("label", F.lit(None).cast("double")), arrays, ml.RETENTION_FEATURES, (6,), (7,), (2,))
     assert unlabelled == {(6, 7, 2): (0, train.count())}
+
+
+def test_the_grid_and_its_winner_are_fitted_on_all_rows(spark, monkeypatch):
+    many = 2 * ml.MAX_FIT_ROWS + 20_000
+    ids = spark.range(0, many, 1, 4).withColumn("h", F.xxhash64("id"))
+    values = {c: (F.abs("h") % m).cast("double") for c, m in zip(ml.RETENTION_FEATURES, (97, 89, 83, 101))}
+    train = ids.select(F.col("id").cast("string").alias("customer_id"), *[v.alias(c) for c, v in values.items()], (F.abs("h") % 2).cast("double").alias("label"))
+    fitted, fit = [], ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, df, *a: fitted.append(df.count()) or fit(self, df, *a))
+    _, best = ml.grid_search(train, {"numTrees": (2,), "maxDepth": (2,)}, k=2, refit=True)
+    assert min(fitted[:2]) > ml.MAX_FIT_ROWS and sum(fitted[:2]) == many == fitted[2] and len(fitted) == 3
+    assert best.trees.rows[best.trees.roots] == pytest.approx([many] * 2, rel=0.01)
